@@ -101,3 +101,93 @@ assigned AS (
   FROM (SELECT *, row_number() OVER () AS rid FROM crops WHERE kind<>'texture') c,
        LATERAL (SELECT arg_min(f.bw,(abs(f.bw/f.bh - c.w/c.h), f.ord)) AS bw, arg_min(f.bh,(abs(f.bw/f.bh - c.w/c.h), f.ord)) AS bh FROM fam f) b)"""
 )
+
+
+# ---- planes and fingerprints of documents -----------------------------------
+CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ."
+
+
+def planes(spark: SparkSession, sf: str) -> DataFrame:
+    """An 8x8 plane per document: how often each of 64 characters occurs in the whole text."""
+    text = F.col("text")
+    counts = F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in CHARS])
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("image_id"),
+        F.concat(F.lit("doc/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("uri"),
+        (512 + F.col("n_chars") % 512).alias("width"),
+        F.lit(768).cast("bigint").alias("height"),
+        counts.alias("plane"),
+    )
+
+
+_COUNTS = ",".join(f"(length(text)-length(replace(text,'{c}','')))::DOUBLE" for c in CHARS)
+PLANES = f"""planes AS (
+  SELECT doc_id AS image_id, 'doc/' || source || '/' || doc_id || '.png' AS uri, 512 + n_chars%512 AS width, 768 AS height, [{_COUNTS}] AS plane
+  FROM documents)"""
+
+
+def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean hash, difference hash and normalised counts of every document's plane."""
+    from lumenloom.functions import hashing as H
+    from lumenloom.functions.numeric import let
+
+    def share_of(plane):
+        return let(plane, lambda p: let(F.greatest(F.lit(1.0), H.mean_of(p) * 64), lambda n: F.transform(p, lambda v: v / n)))
+
+    p = planes(spark, sf)
+    return p.select(
+        "image_id",
+        "uri",
+        F.substring_index("uri", "/", -1).alias("name"),
+        H.pack_bits(H.average_bits(F.col("plane"))).alias("h1"),
+        H.pack_bits(H.difference_bits(F.col("plane"), 8, 8)).alias("h2"),
+        share_of(F.col("plane")).alias("color"),
+        (F.col("width") / F.col("height")).alias("aspect"),
+        "width",
+        "height",
+    )
+
+
+FINGERPRINTS = (
+    PLANES
+    + """,
+fp0 AS (SELECT *, list_sum(plane)/64 AS m FROM planes),
+fp AS (SELECT image_id, uri, width, height, width/height AS aspect,
+  array_to_string(list_transform(plane, lambda v: CASE WHEN v>m THEN '1' ELSE '0' END),'') AS b1,
+  array_to_string(list_transform(range(1,64), lambda i: CASE WHEN i%8=0 THEN '' WHEN plane[i+1]>plane[i] THEN '1' ELSE '0' END),'') AS b2,
+  list_transform(plane, lambda v: v/greatest(1.0,m*64)) AS color FROM fp0)"""
+)
+
+
+# ---- embeddings as planes and frames ------------------------------------------
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("e"), "label"
+    )
+
+
+VECTORS = "vectors AS (SELECT vec_id AS image_id, embedding::DOUBLE[] AS e, label FROM embeddings)"
+
+
+def frames(spark: SparkSession, sf: str) -> DataFrame:
+    """One video per label, its vectors as frames."""
+    from lumenloom.functions import hashing as H
+
+    w = Window.partitionBy("label").orderBy("image_id")
+    v = vectors(spark, sf).withColumn("frame_idx", F.row_number().over(w).cast("bigint") - 1)
+    return v.select(
+        F.col("label").alias("video_id"),
+        "frame_idx",
+        F.lit(4.0).alias("fps"),
+        F.count(F.lit(1)).over(Window.partitionBy("label")).alias("total_frames"),
+        F.col("e").alias("hist"),
+        H.pack_bits(H.average_bits(F.col("e"))).alias("h1"),
+    )
+
+
+FRAMES = (
+    VECTORS
+    + """,
+frames AS (SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY image_id) - 1 AS frame_idx, 4.0::DOUBLE AS fps,
+  count(*) OVER (PARTITION BY label) AS total_frames, e AS hist FROM vectors)"""
+)

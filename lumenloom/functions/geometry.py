@@ -14,7 +14,7 @@ from lumenloom.functions.bucketing import (
     unpack_height,
     unpack_width,
 )
-from lumenloom.functions.numeric import clamp, half_even, half_up, halve, staged, toward_zero
+from lumenloom.functions.numeric import clamp, half_even, half_up, halve, let, staged, toward_zero
 from lumenloom.params import DEFAULT_AREA, SNAP_LOSS, ArbOptions, Target
 
 
@@ -65,8 +65,8 @@ def aspect_crop(df: DataFrame, src_w: str, src_h: str, want_w: str, want_h: str,
     return staged(
         df,
         {"_ok": usable},
-        {"_ar": F.when(F.col("_ok"), F.col(want_w) / F.col(want_h))},
-        {"_trim_sides": F.when(F.col("_ok"), sw / sh > F.col("_ar"))},
+        {"_ar": F.when(F.col("_ok"), F.try_divide(F.col(want_w), F.col(want_h)))},
+        {"_trim_sides": F.when(F.col("_ok"), F.try_divide(sw, sh) > F.col("_ar"))},
         {
             "_cw": F.when(F.col("_trim_sides"), F.least(half_even(sh * F.col("_ar")).cast("bigint"), sw)).otherwise(sw),
             "_ch": F.when(~F.col("_trim_sides"), F.least(half_even(sw / F.col("_ar")).cast("bigint"), sh)).otherwise(sh),
@@ -118,7 +118,7 @@ def fit_box_to_ratio(
     return staged(
         df,
         {"_ar": F.col(target[0]) / F.col(target[1])},
-        {"_wide": F.when(h != 0, w / h > F.col("_ar"))},
+        {"_wide": F.try_divide(w, h) > F.col("_ar")},
         {
             "_gw": F.when(F.col("_wide"), w).otherwise(h * F.col("_ar")),
             "_gh": F.when(F.col("_wide"), w / F.col("_ar")).otherwise(h),
@@ -167,7 +167,7 @@ def fit_box_to_ratio_floor_first(
     return staged(
         df,
         {"_ar": F.col(target[0]) / F.col(target[1])},
-        {"_wide": w / h > F.col("_ar")},
+        {"_wide": F.try_divide(w, h) > F.col("_ar")},
         {
             "_gh": F.when(w / F.col("_ar") <= ih, w / F.col("_ar")).otherwise(F.greatest(h, ih)),
             "_gw": F.when(h * F.col("_ar") <= iw, h * F.col("_ar")).otherwise(F.greatest(w, iw)),
@@ -203,7 +203,7 @@ def fit_box_to_ratio_floor_first(
 
 def nearest_bucket(df: DataFrame, w: str, h: str, target: Target, out_w: str = "bw", out_h: str = "bh") -> DataFrame:
     """Bucket with the nearest aspect ratio; empty boxes fall to one grid cell."""
-    ratio = F.col(w) / F.col(h)
+    ratio = F.try_divide(F.col(w), F.col(h))
     cell = (target.step << 20) + target.step
     packed = F.when((F.col(w) <= 0) | (F.col(h) <= 0), F.lit(cell).cast("bigint")).otherwise(
         nearest_packed(ratio, equal_area_family(target))
@@ -219,34 +219,31 @@ def choose_arb_bucket(df: DataFrame, w: str, h: str, o: ArbOptions, out_w: str =
     family = arb_family(o)
     if not family:
         return nearest_bucket(df, w, h, Target(DEFAULT_AREA, o.step), out_w, out_h)
-    cw, ch = F.col(w), F.col(h)
-
-    def score(b: Column) -> Column:
-        scale = F.greatest(b["bw"] / F.greatest(F.lit(1), cw), b["bh"] / F.greatest(F.lit(1), ch))
-        return F.struct(
-            F.abs(cw / ch - b["bw"] / b["bh"]).alias("d"),
-            F.abs(F.log(F.greatest(scale, F.lit(1e-8)))).alias("s"),
-            (F.abs(b["bw"] * b["bh"] - cw * ch) / F.greatest(F.lit(1), cw * ch)).alias("a"),
-            b["ord"].alias("ord"),
-            b["bw"].alias("bw"),
-            b["bh"].alias("bh"),
-        )
+    every = family_literal(family)
 
-    def fitting(b: Column) -> Column:
-        return (b["bw"] <= F.greatest(F.lit(1), cw)) & (b["bh"] <= F.greatest(F.lit(1), ch))
+    def best(size: Column) -> Column:
+        cw, ch = size["w"], size["h"]
+
+        def score(b: Column) -> Column:
+            scale = F.greatest(b["bw"] / F.greatest(F.lit(1), cw), b["bh"] / F.greatest(F.lit(1), ch))
+            return F.struct(
+                F.abs(F.try_divide(cw, ch) - b["bw"] / b["bh"]).alias("d"),
+                F.abs(F.log(F.greatest(scale, F.lit(1e-8)))).alias("s"),
+                (F.abs(b["bw"] * b["bh"] - cw * ch) / F.greatest(F.lit(1), cw * ch)).alias("a"),
+                b["ord"].alias("ord"),
+                b["bw"].alias("bw"),
+                b["bh"].alias("bh"),
+            )
 
-    every = family_literal(family)
-    if o.no_upscale:
-        some = F.filter(every, fitting)
-        pool = F.when(F.size(some) > 0, some).otherwise(every)
-    else:
-        pool = every
-    return staged(
-        df,
-        {"_pool": pool},
-        {"_best": F.array_min(F.transform(F.col("_pool"), score))},
-        {out_w: F.col("_best.bw"), out_h: F.col("_best.bh")},
-    )
+        if not o.no_upscale:
+            return F.array_min(F.transform(every, score))
+        fitting = F.filter(every, lambda b: (b["bw"] <= F.greatest(F.lit(1), cw)) & (b["bh"] <= F.greatest(F.lit(1), ch)))
+        return F.array_min(
+            let(fitting, lambda some: F.transform(F.when(F.size(some) > 0, some).otherwise(every), score))
+        )
+
+    size = F.struct(F.col(w).alias("w"), F.col(h).alias("h"))
+    return staged(df, {"_best": let(size, best)}, {out_w: F.col("_best.bw"), out_h: F.col("_best.bh")})
 
 
 def limit_output(df: DataFrame, w: str, h: str, max_base: int, min_reso: int, step: int, out: str) -> DataFrame:
@@ -259,7 +256,7 @@ def limit_output(df: DataFrame, w: str, h: str, max_base: int, min_reso: int, st
     small = F.sqrt(F.greatest(F.lit(1), cw * ch)) <= F.lit(float(max_base))
     return staged(
         df,
-        {"_ar": cw / ch},
+        {"_ar": F.try_divide(cw, ch)},
         {"_tw": F.sqrt(cap * F.col("_ar"))},
         {
             "_ow": F.greatest(least, (half_even(F.col("_tw") / grid) * grid).cast("bigint")),
@@ -315,23 +312,29 @@ def snap_texture(
     iw, ih = F.col(image[0]).cast("bigint"), F.col(image[1]).cast("bigint")
     usable = (w > 0) & (h > 0) & (iw > 0) & (ih > 0)
 
-    def fits(b: Column) -> Column:
-        return (b["bw"] <= w) & (b["bh"] <= h) & (b["bw"] <= iw) & (b["bh"] <= ih)
+    def best(d: Column) -> Column:
+        fit = F.filter(
+            family_literal(texture_family(target, max_ar)),
+            lambda b: (b["bw"] <= d["w"]) & (b["bh"] <= d["h"]) & (b["bw"] <= d["iw"]) & (b["bh"] <= d["ih"]),
+        )
 
-    return staged(
-        df,
-        {"_fit": F.when(usable, F.filter(family_literal(texture_family(target, max_ar)), fits))},
-        {"_top": F.array_max(F.transform(F.col("_fit"), lambda b: b["bw"] * b["bh"]))},
-        {
-            "_best": F.array_min(
+        def nearest(pool: Column, top: Column) -> Column:
+            near = F.filter(pool, lambda b: b["bw"] * b["bh"] >= top * 0.98)
+            return F.array_min(
                 F.transform(
-                    F.filter(F.col("_fit"), lambda b: b["bw"] * b["bh"] >= F.col("_top") * 0.98),
+                    near,
                     lambda b: F.struct(
-                        F.abs(b["bw"] / b["bh"] - w / h).alias("d"), b["ord"].alias("ord"), b["bw"].alias("bw"), b["bh"].alias("bh")
+                        F.abs(b["bw"] / b["bh"] - F.try_divide(d["w"], d["h"])).alias("d"), b["ord"].alias("ord"), b["bw"].alias("bw"), b["bh"].alias("bh")
                     ),
                 )
             )
-        },
+
+        return let(fit, lambda pool: let(F.array_max(F.transform(pool, lambda b: b["bw"] * b["bh"])), lambda top: nearest(pool, top)))
+
+    drawn = F.struct(w.alias("w"), h.alias("h"), iw.alias("iw"), ih.alias("ih"))
+    return staged(
+        df,
+        {"_best": F.when(usable, let(drawn, best))},
         {"_bw": F.col("_best.bw"), "_bh": F.col("_best.bh")},
         {
             "_nx": clamp(half_even(x + w / 2 - F.col("_bw") / 2).cast("bigint"), F.lit(0), iw - F.col("_bw")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +31,20 @@ def clamp(c: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(c, high))
 
 
-def staged(df: DataFrame, *stages: dict[str, Column], drop: bool = True) -> DataFrame:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    A lambda that captures an outer expression has it inlined by the optimizer
+    and recomputed for every array element; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def staged(df: DataFrame, *stages: dict[str, Column]) -> DataFrame:
     """Add columns in stages so later ones may name earlier ones.
 
-    Names starting with an underscore are temporaries and are dropped at the end.
+    Underscored names of all stages but the last are temporaries and are dropped.
     """
-    temps: list[str] = []
     for stage in stages:
         df = df.withColumns(stage)
-        temps += [n for n in stage if n.startswith("_")]
-    return df.drop(*temps) if drop and temps else df
+    return df.drop(*[n for stage in stages[:-1] for n in stage if n.startswith("_")])

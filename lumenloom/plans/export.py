@@ -24,8 +24,8 @@ def _rendered(df: DataFrame, crop: str, target_w: str, target_h: str, o: ExportO
                 "needs_resize": F.lit(True),
             }
         )
-    df = df.withColumns({"_cw": F.col(f"{crop}.w"), "_ch": F.col(f"{crop}.h")})
-    df = plan_export(df, "_cw", "_ch", o.arb, "_plan")
+    df = df.withColumns({"_first_w": F.col(f"{crop}.w"), "_first_h": F.col(f"{crop}.h")})
+    df = plan_export(df, "_first_w", "_first_h", o.arb, "_plan")
     inner = F.col("_plan.crop")
     return df.withColumns(
         {
@@ -42,7 +42,7 @@ def _rendered(df: DataFrame, crop: str, target_w: str, target_h: str, o: ExportO
             "action": F.col("_plan.action"),
             "needs_resize": F.col("_plan.needs_resize"),
         }
-    ).drop("_cw", "_ch", "_plan")
+    ).drop("_first_w", "_first_h", "_plan")
 
 
 def plan_full_crops(crops: DataFrame, o: ExportOptions, order: str | None = None) -> DataFrame:

@@ -108,9 +108,12 @@ CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ."
 
 
 def planes(spark: SparkSession, sf: str) -> DataFrame:
-    """An 8x8 plane per document: how often each of 64 characters occurs in the whole text."""
+    """An 8x8 plane per document: how often each of 64 characters occurs in the whole
+    text, spread over 0..63 so that unrelated texts give unrelated planes."""
     text = F.col("text")
-    counts = F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in CHARS])
+    counts = F.array(
+        *[((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) * 37 % 64).cast("double") for c in CHARS]
+    )
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("image_id"),
         F.concat(F.lit("doc/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("uri"),
@@ -120,7 +123,7 @@ def planes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_COUNTS = ",".join(f"(length(text)-length(replace(text,'{c}','')))::DOUBLE" for c in CHARS)
+_COUNTS = ",".join(f"((length(text)-length(replace(text,'{c}','')))*37%64)::DOUBLE" for c in CHARS)
 PLANES = f"""planes AS (
   SELECT doc_id AS image_id, 'doc/' || source || '/' || doc_id || '.png' AS uri, 512 + n_chars%512 AS width, 768 AS height, [{_COUNTS}] AS plane
   FROM documents)"""
@@ -191,3 +194,52 @@ FRAMES = (
 frames AS (SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY image_id) - 1 AS frame_idx, 4.0::DOUBLE AS fps,
   count(*) OVER (PARTITION BY label) AS total_frames, e AS hist FROM vectors)"""
 )
+
+
+# ---- model scores and captions -----------------------------------------------
+def tag_dict(spark: SparkSession, sf: str) -> DataFrame:
+    """One tag per vector dimension."""
+    i = F.col("tag_idx")
+    cats = F.array(*[F.lit(c) for c in ("general", "character", "copyright", "artist", "meta", "model", "quality", "year", "rating")])
+    dims = table(spark, sf, "embeddings").select(F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("tag_idx")).distinct()
+    return dims.select(
+        "tag_idx",
+        F.when(i % 16 == 15, F.concat(F.lit("rating:r"), i.cast("string")))
+        .when(i % 7 == 0, F.concat(F.lit("tag_"), i.cast("string"), F.lit("_(x)")))
+        .otherwise(F.concat(F.lit("tag_"), i.cast("string")))
+        .alias("name"),
+        F.element_at(cats, i % 9 + 1).alias("category"),
+    )
+
+
+def logits(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).select("image_id", F.transform("e", lambda v: v * 24.0 - 2.0).alias("logits"))
+
+
+DICT = """dict AS (SELECT i AS tag_idx, CASE WHEN i%16=15 THEN 'rating:r' || i WHEN i%7=0 THEN 'tag_' || i || '_(x)' ELSE 'tag_' || i END AS name,
+  ['general','character','copyright','artist','meta','model','quality','year','rating'][i%9+1] AS category FROM range(0,64) t(i))"""
+SCORES = (
+    VECTORS
+    + ","
+    + DICT
+    + """,
+allscores AS (SELECT image_id, tag_idx::INTEGER AS tag_idx, name, category, round(1/(1+exp(-greatest(-80.0::DOUBLE,least(80.0::DOUBLE, e[tag_idx+1]*24.0::DOUBLE-2.0::DOUBLE)))),6) AS conf FROM vectors, dict),
+scores AS (SELECT *, CASE WHEN category='rating' THEN 'rating' WHEN category IN ('meta','year') THEN 'meta' ELSE 'tags' END AS route FROM allscores WHERE conf>0.05)"""
+)
+
+
+def captions(spark: SparkSession, sf: str) -> DataFrame:
+    """Existing captions: every third image, every ninth of them empty."""
+    i = F.col("image_id")
+    return (
+        images(spark, sf)
+        .where(i % 3 == 0)
+        .select(
+            F.regexp_replace("uri", r"\.png$", "").alias("uri_stem"),
+            F.when(i % 9 == 0, F.lit("")).otherwise(F.concat(F.lit(" old_"), i.cast("string"), F.lit(" "))).alias("caption"),
+        )
+    )
+
+
+CAPTIONS = IMAGES + """,
+captions AS (SELECT replace(uri,'.png','') AS uri_stem, CASE WHEN image_id%9=0 THEN '' ELSE ' old_' || image_id || ' ' END AS caption FROM images WHERE image_id%3=0)"""

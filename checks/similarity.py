@@ -67,7 +67,7 @@ def q_perceptual_hash(spark, sf):
         return ((F.element_at(q, r + 1) * 3 + F.element_at(q, c + 33) * 5 + r * c) % 256).cast("int")
 
     px = let(F.col("plane"), lambda q: F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: cell(q, r, c)))))
-    h = p.select("image_id", H.perceptual_hash(px).alias("h"))
+    h = H.with_perceptual_hash(p.select("image_id", px.alias("px")), "px", "h")
     return h.select("image_id", F.lpad(F.bin("h"), 64, "0").alias("bits"))
 
 

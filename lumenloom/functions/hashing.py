@@ -6,13 +6,13 @@ significant bit. Everything but the DCT is a built-in expression.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from lumenloom.functions.numeric import let
 from lumenloom.functions.pixels import perceptual_bits
@@ -84,15 +84,20 @@ def block_means(plane: Column, side: int) -> Column:
     return let(plane, lambda p: F.transform(starts, lambda s: mean_at(p, s)))
 
 
-@pandas_udf("bigint")
-def perceptual_hash(planes: pd.Series) -> pd.Series:
-    """32x32 luminance planes to 64 bits, one matrix product per batch."""
-    known = planes.notna()
-    out = pd.Series([None] * len(planes), dtype="Int64")
-    if known.any():
-        stack = np.stack(planes[known].to_numpy()).astype(np.float64).reshape(-1, 32, 32)
-        out[known.to_numpy()] = perceptual_bits(stack)
-    return out
+def with_perceptual_hash(df: DataFrame, plane: str, out: str) -> DataFrame:
+    """Replace 32x32 luminance planes by their DCT hash, one matrix product per Arrow batch."""
+    kept = [c for c in df.columns if c != plane]
+
+    def hash_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known = pdf[plane].notna().to_numpy()
+            bits = pd.array([None] * len(pdf), dtype="Int64")
+            if known.any():
+                stack = np.stack(pdf.loc[known, plane].to_list()).astype(np.float64).reshape(-1, 32, 32)
+                bits[known] = perceptual_bits(stack)
+            yield pdf[kept].assign(**{out: bits})
+
+    return df.mapInPandas(hash_batches, df.select(*kept).schema.add(out, LongType()))
 
 
 def hamming(a: Column, b: Column) -> Column:

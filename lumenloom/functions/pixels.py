@@ -230,3 +230,21 @@ def decode_png(data: bytes) -> np.ndarray:
             alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
             img = np.concatenate([img, alpha[index][:, :, None]], axis=2)
     return img
+
+
+def _area_weights(n_in: int, n_out: int) -> np.ndarray:
+    """Share of every input pixel in every output pixel."""
+    edges = np.arange(n_out + 1) * (n_in / n_out)
+    at = np.arange(n_in)
+    overlap = np.minimum(edges[1:, None], at[None, :] + 1) - np.maximum(edges[:-1, None], at[None, :])
+    return np.clip(overlap, 0.0, None) * (n_out / n_in)
+
+
+def resize_area(img: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Shrink a byte image to (w, h) by averaging the covered area."""
+    h, w = img.shape[:2]
+    if (w, h) == tuple(size):
+        return img
+    rows, cols = _area_weights(h, size[1]), _area_weights(w, size[0])
+    mixed = np.einsum("yh,hwc,xw->yxc", rows, img.astype(np.float64), cols, optimize=True)
+    return np.clip(np.rint(mixed), 0, 255).astype(np.uint8)

@@ -66,7 +66,7 @@ def neighbour(
         return df.withColumns({new: step(src).over(w) for src, new in cols.items()})
     frozen = _ranges(df, keys, [F.col(order)])
     scope = [*keys, "_range"]
-    pick = F.struct(F.col(order), *[F.col(s) for s in cols])
+    pick = F.struct(*[F.col(src).alias(new) for src, new in cols.items()])
     edge = frozen.groupBy(*scope).agg((F.min_by if ahead else F.max_by)(pick, F.col(order)).alias("_edge"))
     carried = edge.select(*scope, step("_edge").over(Window.partitionBy(*keys).orderBy("_range")).alias("_carry"))
     w = Window.partitionBy(*scope).orderBy(order)
@@ -75,7 +75,7 @@ def neighbour(
     )
     joined = _join_key(local, carried, scope)
     filled = {
-        new: F.when(F.col("_at_edge"), F.col("_carry")[src]).otherwise(F.col(new)) for src, new in cols.items()
+        new: F.when(F.col("_at_edge"), F.col("_carry")[new]).otherwise(F.col(new)) for new in cols.values()
     }
     return joined.withColumns(filled).drop("_at_edge", "_carry", "_range")
 

@@ -21,7 +21,7 @@ from lumenloom.params import CaptionOptions
 from lumenloom.plans.captioning import Scorer, caption_images
 from lumenloom.functions.tags import stem
 from lumenloom.runtime import cut_lineage
-from lumenloom.sources.scan import is_image, plain_path
+from lumenloom.sources.scan import is_image, origin_path
 
 Listener = Callable[[DataFrame, int], None]
 IMAGE_SCHEMA = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
@@ -48,7 +48,7 @@ def image_stream(spark: SparkSession, folder: str, batch_files: int = 8) -> Data
         .option("maxFilesPerTrigger", batch_files)
         .load(folder)
     )
-    uri = plain_path(F.col("image.origin"))
+    uri = origin_path(F.col("image.origin"))
     return raw.select(uri.alias("uri"), "image").where(is_image(F.col("uri")))
 
 

@@ -4,14 +4,19 @@ and the same derivations as DuckDB common table expressions."""
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenloom.runtime import tune
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
+    return tune(spark).read.parquet(os.path.join(sf, f"{name}.parquet"))
 
 
 # ---- images and crops -----------------------------------------------------
@@ -107,19 +112,25 @@ assigned AS (
 CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ."
 
 
+def _character_planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the listed characters in whole texts; one-byte characters never occur inside longer ones."""
+    codes = np.frombuffer(CHARS.encode(), np.uint8)
+    for pdf in batches:
+        counts = [np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)[codes] for t in pdf["text"]]
+        yield pdf[["doc_id", "source", "n_chars"]].assign(plane=[(c * 37 % 64).astype(np.float64) for c in counts])
+
+
 def planes(spark: SparkSession, sf: str) -> DataFrame:
     """An 8x8 plane per document: how often each of 64 characters occurs in the whole
     text, spread over 0..63 so that unrelated texts give unrelated planes."""
-    text = F.col("text")
-    counts = F.array(
-        *[((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) * 37 % 64).cast("double") for c in CHARS]
-    )
-    return table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "text")
+    counted = docs.mapInPandas(_character_planes, "doc_id bigint, source string, n_chars bigint, plane array<double>")
+    return counted.select(
         F.col("doc_id").alias("image_id"),
         F.concat(F.lit("doc/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("uri"),
         (512 + F.col("n_chars") % 512).alias("width"),
         F.lit(768).cast("bigint").alias("height"),
-        counts.alias("plane"),
+        "plane",
     )
 
 

@@ -9,6 +9,7 @@ from lumenloom.functions.bucketing import (
     arb_family,
     family_literal,
     nearest_packed,
+    ratio_groups_literal,
     equal_area_family,
     texture_family,
     unpack_height,
@@ -219,30 +220,39 @@ def choose_arb_bucket(df: DataFrame, w: str, h: str, o: ArbOptions, out_w: str =
     family = arb_family(o)
     if not family:
         return nearest_bucket(df, w, h, Target(DEFAULT_AREA, o.step), out_w, out_h)
-    every = family_literal(family)
-
-    def best(size: Column) -> Column:
-        cw, ch = size["w"], size["h"]
-
-        def score(b: Column) -> Column:
-            scale = F.greatest(b["bw"] / F.greatest(F.lit(1), cw), b["bh"] / F.greatest(F.lit(1), ch))
-            return F.struct(
-                F.abs(F.try_divide(cw, ch) - b["bw"] / b["bh"]).alias("d"),
-                F.abs(F.log(F.greatest(scale, F.lit(1e-8)))).alias("s"),
-                (F.abs(b["bw"] * b["bh"] - cw * ch) / F.greatest(F.lit(1), cw * ch)).alias("a"),
-                b["ord"].alias("ord"),
-                b["bw"].alias("bw"),
-                b["bh"].alias("bh"),
-            )
+    every = ratio_groups_literal(family)
+
+    def score(z: Column, b: Column) -> Column:
+        scale = F.greatest(b["bw"] / z["w"], b["bh"] / z["h"])
+        return F.struct(
+            F.abs(z["ar"] - b["bw"] / b["bh"]).alias("d"),
+            F.abs(F.log(F.greatest(scale, F.lit(1e-8)))).alias("s"),
+            (F.abs(b["bw"] * b["bh"] - z["area"]) / F.greatest(F.lit(1), z["area"])).alias("a"),
+            b["ord"].alias("ord"),
+            b["bw"].alias("bw"),
+            b["bh"].alias("bh"),
+        )
+
+    def nearest(z: Column, pool: Column, must_fit: Column) -> Column:
+        def members(gap: Column) -> Column:
+            near = F.flatten(F.transform(F.filter(pool, lambda g: F.abs(z["ar"] - g["ar"]) <= gap), lambda g: g["b"]))
+            usable = F.filter(near, lambda b: ~must_fit | ((b["bw"] <= z["w"]) & (b["bh"] <= z["h"])))
+            return F.array_min(F.transform(usable, lambda b: score(z, b)))
 
+        return let(F.array_min(F.transform(pool, lambda g: F.abs(z["ar"] - g["ar"]))), members)
+
+    def best(z: Column) -> Column:
         if not o.no_upscale:
-            return F.array_min(F.transform(every, score))
-        fitting = F.filter(every, lambda b: (b["bw"] <= F.greatest(F.lit(1), cw)) & (b["bh"] <= F.greatest(F.lit(1), ch)))
-        return F.array_min(
-            let(fitting, lambda some: F.transform(F.when(F.size(some) > 0, some).otherwise(every), score))
+            return nearest(z, every, F.lit(False))
+        fitting = F.filter(every, lambda g: (g["w"] <= z["w"]) & (g["h"] <= z["h"]))
+        return let(
+            fitting, lambda some: F.when(F.size(some) > 0, nearest(z, some, F.lit(True))).otherwise(nearest(z, every, F.lit(False)))
         )
 
-    size = F.struct(F.col(w).alias("w"), F.col(h).alias("h"))
+    cw, ch = F.col(w), F.col(h)
+    size = F.struct(
+        F.greatest(F.lit(1), cw).alias("w"), F.greatest(F.lit(1), ch).alias("h"), F.try_divide(cw, ch).alias("ar"), (cw * ch).alias("area")
+    )
     return staged(df, {"_best": let(size, best)}, {out_w: F.col("_best.bw"), out_h: F.col("_best.bh")})
 
 

@@ -338,7 +338,7 @@ SELECT CASE WHEN keep THEN 'keep' WHEN out_w<>cw OR out_h<>ch THEN 'downsample'
 
 def q_export_numbers(spark, sf):
     """File numbers in plan order: first-seen bucket, then queue order."""
-    c = crops(spark, sf).withColumn("queue_pos", F.struct("op", "crop_id", "image_id", "kind"))
+    c = crops(spark, sf).withColumn("queue_pos", (F.col("op") * 10 + F.col("crop_id")) * 100_000_000 + F.col("image_id"))
     plan = export.plan_full_crops(c, RESIZE, order="queue_pos").where("status = 'ok'")
     named = naming.number_files(plan.select("op", "crop_id", "image_id", "first_seen", "target_w", "target_h"), [F.col("first_seen"), F.col("op"), F.col("crop_id"), F.col("image_id")])
     return named.select("op", "crop_id", "image_id", "target_w", "target_h", "ordinal", "file_name")

@@ -109,6 +109,11 @@ def color_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
+def color_distance_unrolled(a: str, b: str, bins: int = 64) -> Column:
+    """The same distance of two named columns of fixed length, as compiled arithmetic."""
+    return F.expr(" + ".join(f"abs({a}[{i}] - {b}[{i}])" for i in range(bins)))
+
+
 def color_signature(pixels: DataFrame, key: str, bins: int = 4) -> DataFrame:
     """Normalised RGB histogram of long-form pixels (key, r, g, b).
 

@@ -30,12 +30,15 @@ def bucket_counts(assigned: DataFrame, min_size: int, order: str | None = None)
     """Rows per bucket and whether the bucket is viable.
 
     When none reaches ``min_size`` the largest one is viable; equal counts go to
-    the bucket seen first when ``order`` names the queue position, else to the
-    smallest (bw, bh). The result has one row per bucket of the family, so the
+    the bucket seen first when ``order`` names the queue position (a number keeps
+    the aggregation hash-based), else to the smallest (bw, bh). The result has one row per bucket of the family, so the
     closing window is a few hundred rows at most.
     """
-    first = F.min(order).alias("first_seen") if order else F.min(F.struct("bw", "bh")).alias("first_seen")
-    counts = assigned.groupBy("bw", "bh").agg(F.count(F.lit(1)).alias("n"), first)
+    n = F.count(F.lit(1)).alias("n")
+    if order:
+        counts = assigned.groupBy("bw", "bh").agg(n, F.min(order).alias("first_seen"))
+    else:
+        counts = assigned.groupBy("bw", "bh").agg(n).withColumn("first_seen", F.struct("bw", "bh"))
     everything = Window.partitionBy(F.lit(0))
     ranked = F.row_number().over(everything.orderBy(F.col("n").desc(), F.col("first_seen")))
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenloom.functions.bucketing import nearest_packed, unpack_height, unpack_width
-from lumenloom.functions.numeric import half_even, staged
+from lumenloom.functions.numeric import half_even, let, staged
 from lumenloom.params import Target
 
 
@@ -63,20 +63,16 @@ def surplus_rows(rows: DataFrame, order: Column, batch: int = 8, prefer_duplicat
 def gap_bucket(boxes: DataFrame, counts: DataFrame, batch: int = 8) -> DataFrame:
     """Nearest bucket that one more row would fill to a whole batch, else NULL.
 
-    ``counts`` (bw, bh, n) has one row per bucket and rides along as one array.
+    ``counts`` (bw, bh, n) has one row per bucket and enters as one scalar value.
     """
-    open_ = counts.where((F.col("n") + 1) % batch == 0).agg(F.collect_list(F.struct("bw", "bh")).alias("_open"), F.lit(1).alias("_one"))
-    ratio = F.try_divide(F.col("w"), F.col("h"))
-    scored = F.transform(
-        "_open", lambda b: F.struct(F.abs(b["bw"] / b["bh"] - ratio).alias("d"), b["bw"].alias("bw"), b["bh"].alias("bh"))
-    )
-    return (
-        boxes.withColumn("_one", F.lit(1))
-        .join(F.broadcast(open_), "_one")
-        .withColumn("_best", F.array_min(scored))
-        .withColumns({"fill_w": F.col("_best.bw"), "fill_h": F.col("_best.bh")})
-        .drop("_one", "_open", "_best")
-    )
+    open_ = counts.where((F.col("n") + 1) % batch == 0).agg(F.collect_list(F.struct("bw", "bh")).alias("b")).scalar()
+    size = F.struct(F.try_divide(F.col("w"), F.col("h")).alias("ratio"), F.col("_open").alias("open"))
+
+    def nearest(z: Column) -> Column:
+        gap = F.transform(z["open"], lambda b: F.struct(F.abs(b["bw"] / b["bh"] - z["ratio"]).alias("d"), b["bw"].alias("bw"), b["bh"].alias("bh")))
+        return F.array_min(gap)
+
+    return staged(boxes, {"_open": open_}, {"_best": let(size, nearest)}, {"fill_w": F.col("_best.bw"), "fill_h": F.col("_best.bh")})
 
 
 def crop_preferences(crops: DataFrame, session: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """From model scores to captions.
 
-Scores stay one row per image: the tag dictionary is a single broadcast row of
-arrays, and filtering, ranking and the token budget are array expressions, so
+Scores stay one row per image: the tag dictionary is a single value of arrays, and filtering, ranking and the token budget are array expressions, so
 captioning adds no shuffle to the scan of the scores.
 """
 
@@ -45,15 +44,17 @@ def sigmoid(logit: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def dictionary_row(tag_dict: DataFrame) -> DataFrame:
-    """The dictionary (tag_idx, name, category) as one row of arrays, its size checked."""
+def dictionary_value(tag_dict: DataFrame) -> Column:
+    """The dictionary (tag_idx, name, category) as one value of parallel arrays, its size checked.
+
+    It enters the plan as a scalar subquery, so no join is needed.
+    """
     n = tag_dict.count()
     if n > DICTIONARY_LIMIT:
         raise ValueError(f"tag dictionary has {n} entries; label spaces above {DICTIONARY_LIMIT} are not broadcast")
     ordered = F.array_sort(F.collect_list(F.struct("tag_idx", "name", "category")))
-    return tag_dict.agg(ordered.alias("d")).select(
-        F.col("d.tag_idx").alias("_idx"), F.col("d.name").alias("_names"), F.col("d.category").alias("_categories"), F.lit(1).alias("_one")
-    )
+    arrays = F.struct(F.col("d.tag_idx").alias("idx"), F.col("d.name").alias("names"), F.col("d.category").alias("categories"))
+    return tag_dict.agg(ordered.alias("d")).select(arrays.alias("dictionary")).scalar()
 
 
 def route_of(family: str, name: Column, category: Column) -> Column:
@@ -72,18 +73,15 @@ def score_items(scores: DataFrame, tag_dict: DataFrame, family: str = "camie", d
     The ``camie`` family gives logits: they pass a sigmoid and the prefilter
     before names are attached. Other families give probabilities, all kept.
     """
-    joined = scores.withColumn("_one", F.lit(1)).join(F.broadcast(dictionary_row(tag_dict)), "_one").drop("_one")
-
     def conf(x: Column) -> Column:
         p = sigmoid(x.cast("double")) if family == "camie" else x.cast("double")
         return p if decimals is None else F.round(p, decimals)
 
-    known = F.slice("logits", 1, F.size("_names"))
-    pairs = F.transform(known, lambda x, i: F.struct(i.alias("i"), conf(x).alias("p")))
-    if family == "camie":
-        pairs = F.filter(pairs, lambda s: s["p"] > PREFILTER)
-
     def named(d: Column) -> Column:
+        known = F.slice(F.col("logits"), F.lit(1), F.size(d["names"]))
+        pairs = F.transform(known, lambda x, i: F.struct(i.alias("i"), conf(x).alias("p")))
+        if family == "camie":
+            pairs = F.filter(pairs, lambda s: s["p"] > PREFILTER)
         return F.transform(
             pairs,
             lambda s: F.struct(
@@ -95,8 +93,8 @@ def score_items(scores: DataFrame, tag_dict: DataFrame, family: str = "camie", d
             ),
         )
 
-    arrays = F.struct(F.col("_idx").alias("idx"), F.col("_names").alias("names"), F.col("_categories").alias("categories"))
-    return joined.withColumn("items", let(arrays, named)).drop("_idx", "_names", "_categories")
+    known = scores.withColumn("_dictionary", dictionary_value(tag_dict))
+    return known.withColumn("items", let(F.col("_dictionary"), named)).drop("_dictionary")
 
 
 def long_scores(scored: DataFrame, key: str = "image_id") -> DataFrame:
@@ -211,9 +209,8 @@ def under_presets(scored: DataFrame, presets: DataFrame, max_presets: int = 1000
     n = presets.count()
     if n > max_presets:
         raise ValueError(f"{n} presets; at most {max_presets} are captioned in one job")
-    packed = presets.agg(F.collect_list(F.struct(*presets.columns)).alias("_presets"), F.lit(1).alias("_one"))
-    spread = scored.withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one").drop("_one")
-    return spread.withColumn("preset", F.explode("_presets")).drop("_presets")
+    packed = presets.agg(F.collect_list(F.struct(*presets.columns)).alias("p")).scalar()
+    return scored.withColumn("_presets", packed).withColumn("preset", F.explode("_presets")).drop("_presets")
 
 
 def merge_captions(new: DataFrame, existing: DataFrame, mode: Column | str, key: str = "uri_stem") -> DataFrame:

@@ -41,8 +41,7 @@ def progress(with_state: DataFrame, queued: DataFrame | None = None) -> DataFram
     totals = with_state.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("processed"), F.count_if(~done).alias("pending"))
     if queued is None:
         return totals
-    length = queued.agg(F.count(F.lit(1)).alias("queue_len"))
-    return totals.withColumn("_one", F.lit(1)).join(F.broadcast(length.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return totals.withColumn("queue_len", queued.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 def next_pending(with_state: DataFrame, idx: str = "idx") -> DataFrame:

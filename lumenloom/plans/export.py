@@ -77,7 +77,7 @@ def plan_whole_images(images: DataFrame, o: ExportOptions) -> DataFrame:
     return _rendered(df, "fitted", "target_w", "target_h", o)
 
 
-def run_totals(full_plan: DataFrame, texture_plan: DataFrame, bucket_count: Column | None = None) -> DataFrame:
+def run_totals(full_plan: DataFrame, texture_plan: DataFrame) -> DataFrame:
     """One-row summary of a planned run; each plan is read once."""
     def n(cond: Column, name: str) -> Column:
         return F.count_if(cond).alias(name)
@@ -89,8 +89,6 @@ def run_totals(full_plan: DataFrame, texture_plan: DataFrame, bucket_count: Colu
         F.countDistinct(F.when(F.col("viable"), F.struct("bw", "bh"))).alias("bucket_count"),
     )
     texture = texture_plan.agg(
-        n(F.col("status") == "ok", "texture_processed"), n(F.col("status") == "skipped", "texture_skipped")
-    )
-    # both sides are single rows: an equi-join on a constant pairs them
-    one = F.lit(1).alias("_one")
-    return full.select("*", one).join(F.broadcast(texture.select("*", one)), "_one").drop("_one")
+        F.struct(n(F.col("status") == "ok", "ok"), n(F.col("status") == "skipped", "skipped")).alias("t")
+    ).scalar()
+    return full.withColumn("_t", texture).select("*", F.col("_t.ok").alias("texture_processed"), F.col("_t.skipped").alias("texture_skipped")).drop("_t")

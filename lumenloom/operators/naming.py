@@ -14,11 +14,10 @@ def number_files(df: DataFrame, order: list[Column], out: str = "file_name", pre
     The width follows the number of planned rows, ``total`` when rows that will
     not be written were planned too.
     """
-    planned = df.count() if total is None else total
+    placed = ordinal(df, order, "ordinal")  # already materialised, so counting it is cheap
+    planned = placed.count() if total is None else total
     width = max(digits_floor, len(str(max(1, planned))))
-    return ordinal(df, order, "ordinal").withColumn(
-        out, F.concat(F.lit(prefix), F.lpad(F.col("ordinal").cast("string"), width, "0"), F.lit(".png"))
-    )
+    return placed.withColumn(out, F.concat(F.lit(prefix), F.lpad(F.col("ordinal").cast("string"), width, "0"), F.lit(".png")))
 
 
 def template_names(df: DataFrame, template: str, fields: dict[str, Column], out: str = "file_name") -> Column:

@@ -20,6 +20,8 @@ ARROW = {
     "binary": pa.binary(),
     "array<int>": pa.list_(pa.int32()),
     "array<bigint>": pa.list_(pa.int64()),
+    "array<double>": pa.list_(pa.float64()),
+    "array<string>": pa.list_(pa.string()),
 }
 
 

@@ -28,19 +28,22 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm.common import per_text, prepare
 
-SAMPLE = 20_000  # expected bound of labelled texts used for fitting
-LANDMARKS = 96
-CANDIDATES = 4_000  # words considered as landmarks
-LONGEST = 24  # a word is compared by pieces of this many characters
-STRETCH = 7  # longest stretch of a subsequence
-FLOOR = 0.35
+SAMPLE = 12_000  # expected bound of labelled texts used for fitting
+LANDMARKS = 64
+CANDIDATES = 4_000  # strings considered as landmarks
+EVIDENCE = 6.0  # a landmark's excess among toxic texts, in standard deviations
+STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings that may be landmarks
+LONGEST = 15  # a word is compared by pieces of this many characters
+STRETCH = 6  # longest stretch of a subsequence
+FLOOR = 0.5
 DECAY = 0.6
 MEMO = 400_000
 
 _ALPHABET = 64
 _SPLIT = re.compile(r"[^\s.,;:!?\"()\[\]{}|]+")
 _APART = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")
-_TRIPLES = np.array([(i, j, k) for i in range(LONGEST) for j in range(i + 1, LONGEST) for k in range(j + 1, LONGEST) if k - i < STRETCH])
+_WIDE = LONGEST + 1
+_TRIPLES = np.array([(i, j, k) for i in range(_WIDE) for j in range(i + 1, _WIDE) for k in range(j + 1, _WIDE) if k - i < STRETCH])
 _SPAN = _TRIPLES[:, 2] - _TRIPLES[:, 0] + 1
 
 
@@ -61,12 +64,11 @@ def _pieces(word: str) -> list[str]:
 
 
 def _letters(words: list[str]) -> np.ndarray:
-    """(words, LONGEST) character numbers: 1-26 for a-z, 27-63 for all others, 0 beyond the end."""
-    out = np.zeros((len(words), LONGEST), np.uint32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "replace"), np.uint32)
+    """Character numbers: 63 for a word's beginning, 1-26 for a-z, 27-62 for all others, 0 beyond the end."""
+    out = np.frombuffer("".join([w.ljust(LONGEST, "\0") for w in words]).encode("utf-32-le", "replace"), np.uint32).reshape(-1, LONGEST)
     latin = (out >= 97) & (out <= 122)
-    return np.where(out == 0, 0, np.where(latin, out - 96, 27 + out % (_ALPHABET - 27))).astype(np.uint32)
+    numbers = np.where(out == 0, 0, np.where(latin, out - 96, 27 + out % (_ALPHABET - 28))).astype(np.uint32)
+    return np.hstack((np.full((len(words), 1), _ALPHABET - 1, np.uint32), numbers))
 
 
 def _subsequences(words: list[str]):
@@ -102,20 +104,24 @@ class Likeness:
         self.table[0] = 0
         length = np.sqrt((self.table**2).sum(axis=0))
         self.table /= np.where(length > 0, length, 1)
+        self.most = self.table.max(axis=1) if landmarks else self.table.sum(axis=1)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         for at in range(0, len(words), 2048):
-            chunk = words[at : at + 2048]
-            codes, weights = _subsequences(chunk)
+            codes, weights = _subsequences(words[at : at + 2048])
             features = self.feature[codes]
+            # no landmark can be nearer than this, since a word's length is at least that of its single weights
+            bound = self.most[features] @ weights / np.sqrt(np.maximum((codes > 0) @ (weights * weights), 1e-12))
+            near = np.flatnonzero(bound >= FLOOR)
+            if len(near) == 0:
+                continue
+            features, codes = features[near], codes[near]
             rows, cols = np.nonzero(features)
-            if len(rows):
-                part = self.table[features[rows, cols]] * weights[cols, None]
-                first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-                own = rows[first]
-                length = _norms(codes[own], weights)
-                out[at + own] = np.add.reduceat(part, first) / np.maximum(length, 1e-6)[:, None]
+            part = self.table[features[rows, cols]] * weights[cols, None]
+            first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            own = rows[first]
+            out[at + near[own]] = np.add.reduceat(part, first) / np.maximum(_norms(codes[own], weights), 1e-6)[:, None]
         out[out < FLOOR] = 0
         return out
 
@@ -159,23 +165,28 @@ def _sampled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str
 
 
 def _landmarks(picked: DataFrame, count: int) -> list[str]:
-    """Words that tell toxic texts from others, no two of them alike, found on the sample."""
+    """Words and word beginnings that tell toxic texts from others, no two of them alike, found on the sample."""
+
     def explode():
         def work(texts):
-            return {"words": [sorted(words_of((t or b"").decode("utf-8", "replace"))) for t in texts]}
+            out = []
+            for t in texts:
+                words = words_of((t or b"").decode("utf-8", "replace"))
+                out.append(sorted({w for w in words if 3 <= len(w) <= LONGEST}.union(*({w[:n] for w in words if len(w) > n} for n in STEMS))))
+            return {"words": out}
 
         return work
 
-    words = per_text(picked, "t", explode, {"words": "array<string>"}, ["y"]).select("y", F.explode("words").alias("w")).where(F.length("w").between(3, LONGEST))
-    counts = words.groupBy("w").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    words = per_text(picked, "t", explode, {"words": "array<string>"}, ["y"]).select("y", F.explode("words").alias("w"))
+    counts = words.groupBy("w").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n")).where("n >= 5")
     share = picked.agg(F.avg("y")).first()[0] or 0.0
     lift = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-    best = [r["w"] for r in counts.withColumn("z", lift).orderBy(F.desc("z"), "w").limit(CANDIDATES).collect()]
+    best = [r["w"] for r in counts.withColumn("z", lift).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), F.desc(F.length("w")), "w").limit(CANDIDATES).collect()]
     chosen: list[str] = []
     if best:
         near = np.zeros(len(best), np.float32)
         for i, w in enumerate(best):
-            if near[i] < 0.6 and len(chosen) < count:
+            if near[i] < 0.65 and len(chosen) < count:
                 chosen.append(w)
                 near = np.maximum(near, Likeness([w])(best)[:, 0])
     return chosen
@@ -226,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     k = np.stack(described["likeness"].to_numpy()).astype(np.float64)
     y = described["y"].to_numpy()
     values, vectors = np.linalg.eigh(Likeness(chosen)(chosen).astype(np.float64) + 1e-6 * np.eye(len(chosen)))
-    nystrom = vectors / np.sqrt(np.maximum(values, 1e-3))
+    nystrom = vectors / np.sqrt(np.maximum(values, 0.05))
     w, bias = _svm(k @ nystrom, y)
     direction = nystrom @ w  # margin = likenesses @ direction + bias
     a, b = _curve(k @ direction + bias, y)

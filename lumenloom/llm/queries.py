@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import bpe, chat, decontaminate, langid, toxicity, url_filter, winnow
+from lumenloom.llm import bpe, chat, decontaminate, langid, suffix_dedup, toxicity, url_filter, winnow
 from lumenloom.llm.common import fold
 
 
@@ -13,6 +13,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# --- 1: suffix-array dedup ------------------------------------------------------------
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 # --- 2: URL filters -----------------------------------------------------------------
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -152,6 +157,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple] = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_url_filter": (op2_url_filter, OP2_SQL),
     "op3_fingerprints": (op3_fingerprints, None),
     "op5_decontamination": (op5_decontamination, OP5_SQL),

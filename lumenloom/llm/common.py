@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -73,6 +74,19 @@ def per_text(
     return narrow.mapInArrow(run, schema)
 
 
+def deflated(df: DataFrame, column: str = "data") -> DataFrame:
+    """Deflate a binary column before its rows are shuffled; ``zlib.decompress`` undoes it."""
+    names = df.columns
+    at = names.index(column)
+
+    def run(batches):
+        for b in batches:
+            small = pa.array([zlib.compress(x.as_py(), 1) for x in b.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if i == at else c for i, c in enumerate(b.columns)], names=names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -80,4 +94,4 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["ARROW", "arrow_type", "cut_lineage", "fold", "per_text", "prepare", "union_all"]
+__all__ = ["ARROW", "arrow_type", "cut_lineage", "deflated", "fold", "per_text", "prepare", "union_all"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import bpe, chat, decontaminate, langid, suffix_dedup, toxicity, url_filter, winnow
+from lumenloom.llm import bpe, chat, decontaminate, jaccard_join, langid, suffix_dedup, toxicity, url_filter, winnow
 from lumenloom.llm.common import fold
 
 
@@ -129,6 +129,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"], digests=True)
 
 
+# --- 7: n-gram Jaccard join -----------------------------------------------------------
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- 8: toxicity ----------------------------------------------------------------------
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
@@ -162,6 +167,7 @@ QUERIES: dict[str, tuple] = {
     "op3_fingerprints": (op3_fingerprints, None),
     "op5_decontamination": (op5_decontamination, OP5_SQL),
     "op6_byte_bpe": (op6_byte_bpe, None),
+    "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_toxicity": (op8_toxicity, None),
     "op9_language_id": (op9_language_id, None),
     "op10_chat": (op10_chat, None),

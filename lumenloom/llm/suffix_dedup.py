@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import ARROW, cut_lineage, prepare
+from lumenloom.llm.common import ARROW, cut_lineage, deflated, prepare
 
 LENGTH = 200
 _FIRST = 16  # bytes of the rank that picks representatives
@@ -271,23 +271,10 @@ def _settle(ranked: DataFrame) -> DataFrame:
 _CONTEXT = {"core": "bigint", "k1": "bigint", "k2": "bigint", "place": "bigint", "data": "binary"}
 
 
-def _packed(keyed: DataFrame) -> DataFrame:
-    """Deflate the texts before they are shuffled."""
-    names = keyed.columns
-    at = names.index("data")
-
-    def run(batches):
-        for b in batches:
-            small = pa.array([zlib.compress(x.as_py(), 1) for x in b.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([small if i == at else c for i, c in enumerate(b.columns)], names=names)
-
-    return keyed.mapInArrow(run, keyed.schema)
-
-
 def _contexts(docs: DataFrame, open_: DataFrame, text: str, length: int) -> DataFrame:
     """The bytes that the strings of each open representative cover."""
     wanted = open_.groupBy("k1", "k2").agg(F.collect_set(F.struct("core", "place")).alias("wanted"))
-    joined = _packed(_keyed(docs, text)).join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "data", "wanted")
+    joined = deflated(_keyed(docs, text)).join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "data", "wanted")
 
     def run(batches):
         seen = set()  # copies of a text speak once
@@ -422,7 +409,7 @@ def _with_spans(docs: DataFrame, text: str, length: int, keep: list[str], fields
     """Kept columns and those that ``make`` computes from a text (None if null), its runs' starts and ends."""
     spans = repeated_spans(docs, text, length)
     known = _keyed(docs.withColumn("_null", F.col(f"`{text}`").isNull()), text, [*keep, "_null"])
-    joined = _packed(known).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
+    joined = deflated(known).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
     schema = ", ".join([*[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)], _ddl(fields)])
 
     def run(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import bpe, chat, decontaminate, jaccard_join, langid, suffix_dedup, toxicity, url_filter, winnow
+from lumenloom.llm import bpe, chat, decontaminate, jaccard_join, katz, langid, suffix_dedup, toxicity, url_filter, winnow
 from lumenloom.llm.common import fold
 
 
@@ -86,6 +86,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_next(_read(spark, sf_dir, "documents"))
 
 
+# --- 4: LM scoring --------------------------------------------------------------------
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), train=fold(F.col("doc_id"), 7) != 2)
+
+
 # --- 5: benchmark decontamination -------------------------------------------------
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -165,6 +170,7 @@ QUERIES: dict[str, tuple] = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_url_filter": (op2_url_filter, OP2_SQL),
     "op3_fingerprints": (op3_fingerprints, None),
+    "op4_katz": (op4_katz, None),
     "op5_decontamination": (op5_decontamination, OP5_SQL),
     "op6_byte_bpe": (op6_byte_bpe, None),
     "op7_jaccard_join": (op7_jaccard_join, None),

@@ -178,3 +178,13 @@ QUERIES: dict[str, tuple] = {
     "op9_language_id": (op9_language_id, None),
     "op10_chat": (op10_chat, None),
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = (pipeline, None)

@@ -15,13 +15,13 @@ from lumenloom.llm import queries
 SF = "/root/testdata/sf0.01"
 
 
-def slow_set(text):
+def slow_set(text, n=3):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def slow(rows, num=90, count=False):
-    sets = [slow_set(t) for _, t in rows]
+def slow(rows, num=90, count=False, n=3):
+    sets = [slow_set(t, n) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import ASSIGNED, CROPS, IMAGES, arb_sql, crops, family_sql, images, table
 from lumenloom.functions import bucketing, geometry
 from lumenloom.operators import buckets, naming
+from lumenloom.runtime import cut_lineage
 from lumenloom.params import ArbOptions, ExportOptions, Target
 from lumenloom.plans import export
 
@@ -104,12 +105,15 @@ SELECT image_id, array_to_string(CASE
 
 
 def q_nearest_bucket(spark, sf):
-    df = geometry.nearest_bucket(crops(spark, sf), "w", "h", TARGET)
+    """Every 23rd box lacks its width, every 29th its height."""
+    c = crops(spark, sf)
+    c = c.withColumn("w", F.when(F.col("op") % 23 != 0, F.col("w"))).withColumn("h", F.when(F.col("op") % 29 != 0, F.col("h")))
+    df = geometry.nearest_bucket(c, "w", "h", TARGET)
     return df.select("op", "crop_id", "image_id", "kind", "bw", "bh")
 
 
 S_NEAREST = f"""WITH {CROPS},{family_sql()}
-SELECT op, crop_id, image_id, kind, CASE WHEN w<=0 OR h<=0 THEN 64 ELSE b.bw END::BIGINT AS bw, CASE WHEN w<=0 OR h<=0 THEN 64 ELSE b.bh END::BIGINT AS bh
+SELECT op, crop_id, image_id, kind, CASE WHEN w<=0 OR h<=0 OR op%23=0 OR op%29=0 THEN 64 ELSE b.bw END::BIGINT AS bw, CASE WHEN w<=0 OR h<=0 OR op%23=0 OR op%29=0 THEN 64 ELSE b.bh END::BIGINT AS bh
 FROM crops c, LATERAL (SELECT arg_min(f.bw,(abs(f.bw/f.bh-c.w/c.h),f.ord)) AS bw, arg_min(f.bh,(abs(f.bw/f.bh-c.w/c.h),f.ord)) AS bh FROM fam f) b"""
 
 
@@ -339,14 +343,16 @@ SELECT CASE WHEN keep THEN 'keep' WHEN out_w<>cw OR out_h<>ch THEN 'downsample'
 def q_export_numbers(spark, sf):
     """File numbers in plan order: first-seen bucket, then queue order."""
     c = crops(spark, sf).withColumn("queue_pos", (F.col("op") * 10 + F.col("crop_id")) * 100_000_000 + F.col("image_id"))
-    plan = export.plan_full_crops(c, RESIZE, order="queue_pos").where("status = 'ok'")
-    named = naming.number_files(plan.select("op", "crop_id", "image_id", "first_seen", "target_w", "target_h"), [F.col("first_seen"), F.col("op"), F.col("crop_id"), F.col("image_id")])
+    plan = export.plan_full_crops(c, RESIZE, order="queue_pos")
+    narrow = cut_lineage(plan.select("op", "crop_id", "image_id", "first_seen", "target_w", "target_h", "status"))
+    rows = narrow.where("status = 'ok'").drop("status")
+    named = naming.number_files(rows, [F.col("first_seen"), F.col("op"), F.col("crop_id"), F.col("image_id")], total=narrow.count())
     return named.select("op", "crop_id", "image_id", "target_w", "target_h", "ordinal", "file_name")
 
 
 S_NUMBERS = f"""WITH {MERGED},{ADJUST},
 fs AS (SELECT bw, bh, min((op,crop_id,image_id)) AS first_seen FROM assigned GROUP BY 1,2),
-n AS (SELECT a.op, a.crop_id, a.image_id, a.target_w, a.target_h, row_number() OVER (ORDER BY f.first_seen, a.op, a.crop_id, a.image_id) - 1 AS ordinal, count(*) OVER () AS total
+n AS (SELECT a.op, a.crop_id, a.image_id, a.target_w, a.target_h, row_number() OVER (ORDER BY f.first_seen, a.op, a.crop_id, a.image_id) - 1 AS ordinal, (SELECT count(*) FROM adj) AS total
  FROM adj a JOIN fs f ON a.bw=f.bw AND a.bh=f.bh WHERE a.iw>0 AND a.ih>0)
 SELECT op, crop_id, image_id, target_w::BIGINT AS target_w, target_h::BIGINT AS target_h, ordinal, lpad(ordinal::VARCHAR, greatest(4,length(total::VARCHAR))::INT, '0') || '.png' AS file_name FROM n"""
 
@@ -357,12 +363,19 @@ def q_template_names(spark, sf):
     named = plan.withColumn(
         "name", naming.template_names(plan, "{basename}_{w}x{h}.png", {"basename": base, "w": F.col("out_w"), "h": F.col("out_h")})
     )
-    return naming.resolve_collisions(named, "name", [F.col("image_id")]).select("image_id", "name", "unique_name")
-
-
-S_TEMPLATE = f"""WITH {IMG_BUCKET}, z AS (SELECT image_id, 'img' || (image_id%50) || '_' || bw || 'x' || bh AS stem FROM ib),
-n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY image_id) AS k FROM z)
-SELECT image_id, stem || '.png' AS name, CASE WHEN k=1 THEN stem ELSE stem || '_' || k END || '.png' AS unique_name FROM n"""
+    # some templates already end in a number, which a resolved name may meet
+    wanted = F.when(F.col("image_id") % 17 == 0, F.regexp_replace("name", "[.]png$", "_2.png")).otherwise(F.col("name"))
+    return naming.resolve_collisions(named.withColumn("name", wanted), "name", [F.col("image_id")]).select("image_id", "name", "unique_name")
+
+
+# a stem s and s_2 are wanted: the k-th use of s takes s, s_2 (if no earlier row wanted s_2 itself), s_3, ...; uses of s_2 take s_2 (if still free), s_2_2, ...
+S_TEMPLATE = f"""WITH {IMG_BUCKET}, z AS (SELECT image_id, 'img' || (image_id%50) || '_' || bw || 'x' || bh AS root, image_id%17=0 AS two FROM ib),
+k AS (SELECT *, row_number() OVER (PARTITION BY root, two ORDER BY image_id) AS k FROM z),
+f AS (SELECT root, min(image_id) FILTER (two) AS first_two, min(image_id) FILTER (NOT two AND k=2) AS second_plain FROM k GROUP BY 1),
+n AS (SELECT k.*, f.first_two IS NOT NULL AND (f.second_plain IS NULL OR f.first_two < f.second_plain) AS kept_two FROM k JOIN f USING (root))
+SELECT image_id, root || CASE WHEN two THEN '_2' ELSE '' END || '.png' AS name,
+ CASE WHEN NOT two THEN CASE WHEN k=1 THEN root ELSE root || '_' || (k + CASE WHEN kept_two THEN 1 ELSE 0 END) END
+      ELSE CASE WHEN kept_two THEN CASE WHEN k=1 THEN root || '_2' ELSE root || '_2_' || k END ELSE root || '_2_' || (k+1) END END || '.png' AS unique_name FROM n"""
 
 
 def q_side_length(spark, sf):

@@ -55,8 +55,12 @@ RICH = CaptionOptions(
 SORTED = CaptionOptions(threshold=0.5, token_limit=0, sort_alphabetical=True, replace_underscore=False)
 
 
+# white space of the rule: ASCII controls and blanks, next line, and the Unicode space separators
+WHITE_SQL = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def _words(tag):
-    return f"trunc(len(list_filter(string_split_regex(replace({tag},'_',' '),'\\s+'), lambda w: w<>''))*1.3::DOUBLE)::BIGINT + 1"
+    return f"trunc(len(list_filter(string_split_regex(replace({tag},'_',' '),'[{WHITE_SQL}]+'), lambda w: w<>''))*1.3::DOUBLE)::BIGINT + 1"
 
 
 def caption_sql(o: CaptionOptions) -> str:
@@ -80,7 +84,7 @@ def caption_sql(o: CaptionOptions) -> str:
         w = f"{o.weight_min}::DOUBLE+power({n},{o.weight_mapping_exponent}::DOUBLE)*({o.weight_max}::DOUBLE-{o.weight_min}::DOUBLE)"
     weighted = scaled and not flat
     forced = abs(o.core_tags_weight - 1) > 0.001 or scaled
-    text = lambda t, wt, on: f"CASE WHEN {on} AND abs({wt}-1.0)>0.001 THEN '(' || {fin(t)} || ':' || printf('%.{o.tag_precision}f', floor(({wt})*{10**o.tag_precision}+0.5)/{10**o.tag_precision}) || ')' ELSE {fin(t)} END"
+    text = lambda t, wt, on: f"CASE WHEN {on} AND abs({wt}-1.0)>0.001 THEN '(' || {fin(t)} || ':' || printf('%.{o.tag_precision}f', ({wt})::DOUBLE) || ')' ELSE {fin(t)} END"
     tok = lambda t, on: f"({_words(t)} + {6 if on else 0})"
     core_w = f"{o.core_tags_weight}::DOUBLE"
     core_items = "list_transform({0}, lambda t: {{'used': {1}, 'n': 1::BIGINT, 'out': [{2}]}})".format(arr(core), tok("t", forced), text("t", core_w, forced))
@@ -196,7 +200,7 @@ S_CATEGORY = """SELECT p_partkey AS image_id, ['general','artist','copyright','c
 def q_tag_strings(spark, sf):
     """List parsing, cleaning, escaping and token estimates over part types and whole documents."""
     t = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("image_id"), F.concat(F.col("p_type"), F.lit(" , ,"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("(a\\b)")).alias("text")
+        F.col("p_partkey").alias("image_id"), F.concat(F.col("p_type"), F.lit("\u3000 ,\u00a0,"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("(a\\b)")).alias("text")
     )
     parsed = t.select("image_id", F.posexplode(T.parse_tag_list(F.col("text"))).alias("pos", "tag"))
     clean = T.clean_tag(F.col("tag"), F.lit(True), F.array(F.lit("o_o")))
@@ -208,16 +212,18 @@ def q_tag_strings(spark, sf):
     )
 
 
-S_STRINGS = f"""WITH t AS (SELECT p_partkey AS image_id, list_filter(list_transform(string_split(p_type || ' , ,' || replace(p_name,' ','_') || '(a\\b)', ','), lambda x: trim(x)), lambda x: x<>'') AS ts FROM part),
+S_STRINGS = f"""WITH t AS (SELECT p_partkey AS image_id, list_filter(list_transform(string_split(p_type || chr(12288) || ' ,' || chr(160) || ',' || replace(p_name,' ','_') || '(a\\b)', ','), lambda x: regexp_replace(x, '^[{WHITE_SQL}]+|[{WHITE_SQL}]+$', '', 'g')), lambda x: x<>'') AS ts FROM part),
 u AS (SELECT image_id, unnest(range(0,len(ts))) AS pos, unnest(ts) AS tag FROM t)
 SELECT image_id, pos::BIGINT AS pos, regexp_replace(replace(tag,'_',' '), '([\\\\()])', '\\\\\\1', 'g') AS tag, {_words('tag')} + CASE WHEN pos=1 THEN 6 ELSE 0 END AS tokens FROM u"""
 
 
 def q_document_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text"), F.lit(False)).cast("bigint").alias("tokens"))
+    """Every third gap of a document is an ideographic or a no-break space."""
+    text = F.replace(F.replace("text", F.lit("e "), F.lit("e\u3000")), F.lit("n "), F.lit("n\u00a0"))
+    return table(spark, sf, "documents").select("doc_id", T.token_estimate(text, F.lit(False)).cast("bigint").alias("tokens"))
 
 
-S_DOC_TOKENS = f"SELECT doc_id, {_words('text')} AS tokens FROM documents"
+S_DOC_TOKENS = f"""SELECT doc_id, {_words("replace(replace(text, 'e ', 'e' || chr(12288)), 'n ', 'n' || chr(160))")} AS tokens FROM documents"""
 
 
 def q_file_names(spark, sf):

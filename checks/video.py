@@ -84,6 +84,23 @@ def q_diverse(spark, sf):
     return K.diverse_frames(c, 4).select("video_id", "frame_idx")
 
 
+def _diverse_sql(k: int) -> str:
+    """k greedy steps: each adds the candidate farthest from those chosen, the earliest on ties."""
+    steps = ["c0 AS (SELECT m.video_id, m.frame_idx, v.b FROM mids m JOIN hashed v USING (video_id, frame_idx))", "n0 AS (SELECT video_id, count(*) AS n FROM c0 GROUP BY 1)"]
+    steps.append("p1 AS (SELECT video_id, min(frame_idx) AS frame_idx FROM c0 GROUP BY 1)")
+    for i in range(2, k + 1):
+        steps.append(
+            f"""p{i} AS (SELECT * FROM p{i - 1} UNION ALL SELECT video_id, arg_min(frame_idx, (-gap, frame_idx)) FROM (
+  SELECT c.video_id, c.frame_idx, min(bit_count(xor(c.b::BIT, d.b::BIT))) AS gap FROM c0 c JOIN p{i - 1} q ON q.video_id=c.video_id JOIN c0 d ON d.video_id=q.video_id AND d.frame_idx=q.frame_idx
+  WHERE (c.video_id, c.frame_idx) NOT IN (SELECT (video_id, frame_idx) FROM p{i - 1}) GROUP BY 1,2) GROUP BY 1)"""
+        )
+    return f"""WITH {FRAMES},{CORR},{MID},
+hashed AS (SELECT video_id, frame_idx, array_to_string(list_transform(hist, lambda x: CASE WHEN x > list_sum(hist)/64 THEN '1' ELSE '0' END),'') AS b FROM frames),
+{",".join(steps)}
+SELECT video_id, frame_idx FROM p{k} WHERE video_id IN (SELECT video_id FROM n0 WHERE n > {k})
+UNION ALL SELECT video_id, frame_idx FROM c0 WHERE video_id IN (SELECT video_id FROM n0 WHERE n <= {k})"""
+
+
 def subjects(spark, sf):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
@@ -153,7 +170,7 @@ QUERIES = {
     "keyframe_candidates": (q_candidates, S_CAND),
     "uniform_frames": (q_uniform, S_UNIFORM),
     "every_third_keyframe": (q_every_third, S_THIRD),
-    "diverse_keyframes": (q_diverse, None),
+    "diverse_keyframes": (q_diverse, _diverse_sql(4)),
     "scene_types": (q_scene_types, S_SCENE),
     "auto_crop": (q_auto_crop, S_AUTO),
 }

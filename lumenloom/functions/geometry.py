@@ -203,10 +203,10 @@ def fit_box_to_ratio_floor_first(
 
 
 def nearest_bucket(df: DataFrame, w: str, h: str, target: Target, out_w: str = "bw", out_h: str = "bh") -> DataFrame:
-    """Bucket with the nearest aspect ratio; empty boxes fall to one grid cell."""
+    """Bucket with the nearest aspect ratio; boxes without a size fall to one grid cell."""
     ratio = F.try_divide(F.col(w), F.col(h))
     cell = (target.step << 20) + target.step
-    packed = F.when((F.col(w) <= 0) | (F.col(h) <= 0), F.lit(cell).cast("bigint")).otherwise(
+    packed = F.when((F.coalesce(w, F.lit(0)) <= 0) | (F.coalesce(h, F.lit(0)) <= 0), F.lit(cell).cast("bigint")).otherwise(
         nearest_packed(ratio, equal_area_family(target))
     )
     return staged(df, {"_b": packed}, {out_w: unpack_width(F.col("_b")), out_h: unpack_height(F.col("_b"))})

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenloom.functions.numeric import let
+
 # --- fixed values -------------------------------------------------------------
 CATEGORY_CODES = {"0": "general", "1": "artist", "3": "copyright", "4": "character", "5": "meta", "9": "rating"}
 CATEGORIES = ("general", "character", "copyright", "artist", "meta", "rating", "year", "model", "quality")
@@ -26,10 +28,16 @@ CATEGORY_LABELS = {
     "unknown": "未分类",
 }
 MEDIA_TYPES = {"png": "image/png", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp"}
+# white space as Unicode has it, for splitting and trimming
+WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 TOKENS_PER_WORD = 1.3
 WEIGHT_TOKENS = 6
 # ------------------------------------------------------------------------------
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def no_tags() -> Column:
     return F.array().cast("array<string>")
 
@@ -52,7 +60,7 @@ def category_label(category: Column) -> Column:
 
 
 def parse_tag_list(text: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), trimmed)
     return F.filter(parts, lambda t: t != "")
 
 
@@ -69,7 +77,7 @@ def escape_tag(tag: Column) -> Column:
 
 
 def token_estimate(tag: Column, weighted: Column) -> Column:
-    words = F.size(F.filter(F.split(spaced(tag), r"\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(spaced(tag), f"{WHITE}+"), lambda w: w != ""))
     return (words * F.lit(TOKENS_PER_WORD)).cast("int") + 1 + F.when(weighted, F.lit(WEIGHT_TOKENS)).otherwise(F.lit(0))
 
 
@@ -80,10 +88,37 @@ def mapped_weight(conf: Column, threshold: Column, exponent: Column, low: Column
     return low + curved * (high - low)
 
 
+def _product_error(a: Column, b: Column, product: Column) -> Column:
+    """Exactly what rounding took from ``product = a * b`` (Dekker 1971)."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        big = x * F.lit(134217729.0)
+        high = big - (big - x)
+        return high, x - high
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    return ((ah * bh - product) + ah * bl + al * bh) + al * bl
+
+
+def rounded_binary(value: Column, digits: Column) -> Column:
+    """Non-negative ``value`` at ``digits`` decimals, decided by its exact binary value; ties to even."""
+    scale = F.pow(F.lit(10.0), digits)
+
+    def decide(z: Column) -> Column:
+        p = z["v"] * z["s"]
+        low = F.floor(p)
+        past = (p - low) - F.lit(0.5)  # exact: both lie within one unit
+        error = _product_error(z["v"], z["s"], p)
+        up = (past > 0) | ((past == 0) & ((error > 0) | ((error == 0) & (low % 2 == 1))))
+        down = (past == 0) & (error < 0)
+        return F.when(up & ~down, low + 1).otherwise(low) / z["s"]
+
+    return let(F.struct(value.cast("double").alias("v"), scale.alias("s")), decide)
+
+
 def weighted_text(tag: Column, weight: Column, weighted: Column, precision: Column) -> Column:
     """``(tag:1.05)``, rounded as the binary value rounds."""
-    scale = F.pow(F.lit(10.0), precision)
-    rounded = F.floor(weight * scale + F.lit(0.5)) / scale
+    rounded = rounded_binary(weight, precision)
     number = F.call_function("format_string", F.concat(F.lit("%."), precision.cast("string"), F.lit("f")), rounded)
     shown = F.concat(F.lit("("), tag, F.lit(":"), number, F.lit(")"))
     return F.when(weighted & (F.abs(weight - 1.0) > 0.001), shown).otherwise(tag)

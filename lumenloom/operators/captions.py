@@ -21,8 +21,10 @@ from lumenloom.functions.tags import (
     parse_tag_list,
     spaced,
     token_estimate,
+    trimmed,
     weighted_text,
 )
+from lumenloom.operators.ordered import ordinal
 from lumenloom.params import CaptionOptions
 
 # --- fixed values: what counts as a rating or as metadata, per model family ----
@@ -35,7 +37,7 @@ META_CATEGORIES = {
 }
 PREFILTER = 0.05
 LOGIT_LIMIT = 80.0
-DICTIONARY_LIMIT = 1_000_000
+DICTIONARY_ROWS = 1_000_000  # a dictionary beyond this is joined to the scores
 # --------------------------------------------------------------------------------
 
 
@@ -49,9 +51,6 @@ def dictionary_value(tag_dict: DataFrame) -> Column:
 
     It enters the plan as a scalar subquery, so no join is needed.
     """
-    n = tag_dict.count()
-    if n > DICTIONARY_LIMIT:
-        raise ValueError(f"tag dictionary has {n} entries; label spaces above {DICTIONARY_LIMIT} are not broadcast")
     ordered = F.array_sort(F.collect_list(F.struct("tag_idx", "name", "category")))
     arrays = F.struct(F.col("d.tag_idx").alias("idx"), F.col("d.name").alias("names"), F.col("d.category").alias("categories"))
     return tag_dict.agg(ordered.alias("d")).select(arrays.alias("dictionary")).scalar()
@@ -93,10 +92,32 @@ def score_items(scores: DataFrame, tag_dict: DataFrame, family: str = "camie", d
             ),
         )
 
+    if tag_dict.limit(DICTIONARY_ROWS + 1).count() > DICTIONARY_ROWS:
+        return _joined_items(scores, tag_dict, family, conf)
     known = scores.withColumn("_dictionary", dictionary_value(tag_dict))
     return known.withColumn("items", let(F.col("_dictionary"), named)).drop("_dictionary")
 
 
+def _joined_items(scores: DataFrame, tag_dict: DataFrame, family: str, conf) -> DataFrame:
+    """The same items for a dictionary too large to be one value: scores and entries meet by position.
+
+    Every image has an entry of each label, so the rows are salted by image.
+    """
+    salts = 64
+    # a position is that of the entry in index order
+    places = ordinal(tag_dict.select("tag_idx", "name", "category"), [F.col("tag_idx")], "_at")
+    places = places.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = scores.select("image_id", F.pmod(F.xxhash64("image_id"), F.lit(salts)).cast("int").alias("_salt"), F.posexplode("logits").alias("_at", "x"))
+    rows = rows.withColumn("p", conf(F.col("x"))).withColumn("_at", F.col("_at").cast("bigint"))
+    if family == "camie":
+        rows = rows.where(F.col("p") > PREFILTER)
+    item = F.struct(F.col("tag_idx").cast("int").alias("tag_idx"), "name", "category", F.col("p").alias("conf"), route_of(family, F.col("name"), F.col("category")).alias("route"))
+    met = rows.join(places, ["_at", "_salt"]).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("_at", item.alias("item")))).alias("i"))
+    items = met.select("image_id", F.transform("i", lambda s: s["item"]).alias("items"))
+    empty = F.array().cast(items.schema["items"].dataType)
+    return scores.join(items, "image_id", "left").withColumn("items", F.coalesce("items", empty))
+
+
 def long_scores(scored: DataFrame, key: str = "image_id") -> DataFrame:
     return scored.select(key, F.explode("items").alias("s")).select(key, "s.*")
 
@@ -204,13 +225,20 @@ def with_captions(scored: DataFrame, options: CaptionOptions | dict[str, Column]
     return tagged.withColumns({"caption": F.array_join("_tags", ", "), "n_tags": F.size("_tags")}).drop("_tags")
 
 
-def under_presets(scored: DataFrame, presets: DataFrame, max_presets: int = 1000) -> DataFrame:
-    """Every image under every preset: presets (checked to be few) ride along as one array."""
-    n = presets.count()
-    if n > max_presets:
-        raise ValueError(f"{n} presets; at most {max_presets} are captioned in one job")
-    packed = presets.agg(F.collect_list(F.struct(*presets.columns)).alias("p")).scalar()
-    return scored.withColumn("_presets", packed).withColumn("preset", F.explode("_presets")).drop("_presets")
+def under_presets(scored: DataFrame, presets: DataFrame, few: int = 1000) -> DataFrame:
+    """Every image under every preset, which is what is asked for.
+
+    Presets counted to be few ride along as one array; more are joined in
+    blocks of that many, so no single value grows with their number.
+    """
+    if presets.limit(few + 1).count() <= few:
+        packed = presets.agg(F.collect_list(F.struct(*presets.columns)).alias("p")).scalar()
+        return scored.withColumn("_presets", packed).withColumn("preset", F.explode("_presets")).drop("_presets")
+    blocks = F.ceil(presets.count() / F.lit(few))
+    dealt = presets.select(F.pmod(F.xxhash64(*presets.columns), blocks).alias("_block"), F.struct(*presets.columns).alias("preset"))
+    packed = dealt.groupBy("_block").agg(F.collect_list("preset").alias("_presets"))
+    numbered = scored.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(presets.count() // few).cast("bigint"))))
+    return numbered.join(packed, "_block").withColumn("preset", F.explode("_presets")).drop("_presets", "_block")
 
 
 def merge_captions(new: DataFrame, existing: DataFrame, mode: Column | str, key: str = "uri_stem") -> DataFrame:
@@ -221,7 +249,7 @@ def merge_captions(new: DataFrame, existing: DataFrame, mode: Column | str, key:
     """
     how = F.lit(mode) if isinstance(mode, str) else mode
     joined = new.join(existing.select(key, F.col("caption").alias("_old")), key, "left")
-    old = F.regexp_replace("_old", r"^\s+|\s+$", "")
+    old = trimmed(F.col("_old"))
     fresh = F.col("caption")
     merged = (
         F.when(F.col("_old").isNull() | (how == "overwrite"), fresh)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.functions.tags import stem
-from lumenloom.operators.ordered import latest, running_sum
+from lumenloom.operators.ordered import latest, upcoming_min
 from lumenloom.params import SNAPSHOTS_KEPT
 
 DONE = ("cropped", "skipped")
@@ -47,13 +47,11 @@ def progress(with_state: DataFrame, queued: DataFrame | None = None) -> DataFram
 def next_pending(with_state: DataFrame, idx: str = "idx") -> DataFrame:
     """For every position the next pending position after it (NULL at the end).
 
-    Pending rows are numbered by a distributed running count; the next one is
-    then an equi-join on that number.
+    A running minimum from the end: inside each range of positions by a window,
+    across ranges by one carried value per range.
     """
-    flagged = with_state.withColumn("_p", (F.col("status") == "pending").cast("bigint"))
-    counted = running_sum(flagged, [], idx, "_p", "_seen")
-    upcoming = counted.where("_p = 1").select((F.col("_seen") - 1).alias("_seen"), F.col(idx).alias("next_idx"))
-    return counted.join(upcoming, "_seen", "left").drop("_p", "_seen")
+    flagged = with_state.withColumn("_p", F.when(F.col("status") == "pending", F.col(idx)))
+    return upcoming_min(flagged, idx, "_p", "next_idx").drop("_p")
 
 
 def next_pending_after(with_state: DataFrame, cursor: int, idx: str = "idx") -> DataFrame:

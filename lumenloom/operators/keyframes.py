@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenloom.functions.hashing import hamming, histogram_correlation
 from lumenloom.operators.ordered import WINDOW_ROWS, neighbour, row_number, running_sum
 from lumenloom.params import KeyframeOptions
-from lumenloom.runtime import cut_lineage
+from lumenloom.runtime import broadcast_if_small, cut_lineage
 
 
 def frame_skip(fps: Column, rate_hz: float) -> Column:
@@ -89,14 +88,6 @@ def candidates(frames: DataFrame, o: KeyframeOptions, max_rows: int = WINDOW_ROW
     return picked.join(hashes, ["video_id", "frame_idx"], "left").withColumn("ts", timestamp(F.col("frame_idx"), F.col("fps")))
 
 
-def _largest_exhaustive(k: int, limit: int) -> int:
-    """Largest n with C(n, k) within the limit."""
-    n = k
-    while math.comb(n + 1, k) <= limit:
-        n += 1
-    return n
-
-
 def _distances(h: np.ndarray) -> np.ndarray:
     return np.bitwise_count(h[:, None] ^ h[None, :]).astype(np.int64)
 
@@ -104,19 +95,19 @@ def _distances(h: np.ndarray) -> np.ndarray:
 def _leave_one_out(h: np.ndarray) -> int:
     """Index whose removal leaves the largest minimum distance; the last one on ties."""
     n = len(h)
-    best, pairs = 65, []
+    best, shared = 65, None  # frames that every closest pair so far has in common
     for a in range(0, n, 512):
         d = np.bitwise_count(h[a : a + 512, None] ^ h[None, :]).astype(np.int64)
         d[np.arange(n)[None, :] <= np.arange(a, min(a + 512, n))[:, None]] = 65
         low = int(d.min())
         if low < best:
-            best, pairs = low, []
+            best, shared = low, None
         if low == best:
             i, j = np.nonzero(d == best)
-            pairs += list(zip((i + a).tolist(), j.tolist()))[: 4 * n]
-    shared = set(pairs[0])
-    for p in pairs[1:]:
-        shared &= set(p)
+            for pair in zip((i + a).tolist(), j.tolist()):
+                shared = set(pair) if shared is None else shared & set(pair)
+                if not shared:
+                    break
     if not shared:
         return n - 1
 
@@ -179,7 +170,7 @@ def _spread_rounds(cands: DataFrame, k: int) -> DataFrame:
         one = pick.select("video_id", F.col("pick").alias("frame_idx"))
         chosen = one if chosen is None else chosen.unionByName(one)
         state = (
-            state.join(pick, "video_id")
+            state.join(broadcast_if_small(pick), "video_id")  # one row per video
             .where("frame_idx <> pick")
             .withColumn("gap", F.least(F.col("gap"), hamming(F.col("h1"), F.col("pick_h"))))
             .drop("pick", "pick_h")
@@ -189,13 +180,15 @@ def _spread_rounds(cands: DataFrame, k: int) -> DataFrame:
     return chosen
 
 
-def diverse_frames(cands: DataFrame, k: int, limit: int = 50_000) -> DataFrame:
+def diverse_frames(cands: DataFrame, k: int, method: str = "spread") -> DataFrame:
     """At most k frames per video, as different from each other as possible.
 
     Videos within k are untouched. Above that, frames without a hash go first.
-    Up to ``limit`` subsets the best one is found exactly; beyond it, where the
-    choice is free, farthest-point selection is used.
+    ``spread`` selects by farthest point, side by side for all videos; ``exact``
+    finds the first best subset of each video in one task, for short series.
     """
+    if method not in ("spread", "exact"):
+        raise ValueError(f"unknown method: {method}")
     if k <= 0:
         return cands.select("video_id", "frame_idx")
     counted = cands.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_all"), F.count("h1").alias("n"))
@@ -206,20 +199,16 @@ def diverse_frames(cands: DataFrame, k: int, limit: int = 50_000) -> DataFrame:
     over = usable.where(F.col("n") > k)
     if k == 1:
         parts.append(over.groupBy("video_id").agg(F.min("frame_idx").alias("frame_idx")))
-    else:
-        top = _largest_exhaustive(k, limit)
+    elif method == "exact":
 
         def exact(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("frame_idx")
             return pdf.iloc[best_subset(pdf["h1"].to_numpy().astype(np.int64).view(np.uint64), k)][["video_id", "frame_idx"]]
 
         schema = over.select("video_id", "frame_idx").schema
-        # a group here has at most `top` rows
-        small = over.where(F.col("n") <= top).select("video_id", "frame_idx", "h1")
-        parts.append(small.groupBy("video_id").applyInPandas(exact, schema))
-        large = over.where(F.col("n") > top)
-        if not large.isEmpty():
-            parts.append(_spread_rounds(large, k))
+        parts.append(over.select("video_id", "frame_idx", "h1").groupBy("video_id").applyInPandas(exact, schema))
+    else:
+        parts.append(_spread_rounds(over, k))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -37,13 +37,63 @@ def template_names(df: DataFrame, template: str, fields: dict[str, Column], out:
     return F.concat(*parts)
 
 
+_ROOT = r"^(.*?)((?:_[0-9]+)*)(\.[^./]*)?$"
+
+
 def resolve_collisions(df: DataFrame, name: str, order: list[Column], taken: DataFrame | None = None) -> DataFrame:
-    """Later uses of a name get ``_2``, ``_3``, ... before the extension.
+    """Later uses of a name get ``_2``, ``_3``, ... before the extension, in the given order.
 
-    Names that already exist in ``taken`` (column ``name``) count as used. A
-    suffixed name may itself be a used name, so the free suffixes of a base name
-    are found by removing the taken ones from the candidates 1..n+t.
+    Names that already exist in ``taken`` (column ``name``) count as used, and so
+    do names given to earlier rows. Only names alike but for numbers at their end
+    can meet. Where a wanted name has such a number, the rows of its root are
+    named one by one, in a stream; all others are named by counting.
     """
+    root = F.concat_ws("\u0000", F.regexp_extract(name, _ROOT, 1), F.regexp_extract(name, _ROOT, 3))
+    marked = df.withColumn("_root", root)
+    numbered = marked.where(F.regexp_extract(name, _ROOT, 2) != "").select("_root").distinct()
+    simple = marked.join(numbered, "_root", "left_anti").drop("_root")
+    mixed = marked.join(numbered, "_root", "left_semi")
+    return _by_counting(simple, name, order, taken).unionByName(_one_by_one(mixed, name, order, taken))
+
+
+def _one_by_one(df: DataFrame, name: str, order: list[Column], taken: DataFrame | None) -> DataFrame:
+    """Name rows in turn; a task keeps the used names of one root, not its rows."""
+    places = {f"_o{i}": c for i, c in enumerate(order)}
+    rows = df.withColumns(places).withColumn("_taken", F.lit(False))
+    if taken is not None:
+        root = F.concat_ws("\u0000", F.regexp_extract("name", _ROOT, 1), F.regexp_extract("name", _ROOT, 3))
+        used = taken.select(F.col("name").alias(name), root.alias("_root"), F.lit(True).alias("_taken")).distinct()
+        rows = rows.unionByName(used.join(df.select("_root").distinct(), "_root", "left_semi"), allowMissingColumns=True)
+    dealt = rows.repartition("_root").sortWithinPartitions("_root", F.col("_taken").desc(), *places)
+    kept = [c for c in df.columns if c != "_root"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema) + ", unique_name string"
+
+    def run(batches):
+        root, used, upto = None, set(), {}
+        for pdf in batches:
+            unique = []
+            for r, wanted, old in zip(pdf["_root"], pdf[name], pdf["_taken"]):
+                if r != root:
+                    root, used, upto = r, set(), {}
+                given = wanted
+                if not old and given in used:
+                    stem, dot, ext = wanted.rpartition(".")
+                    stem, ext = (stem, dot + ext) if dot and "/" not in ext else (wanted, "")
+                    k = upto.get(wanted, 1)
+                    while given in used:
+                        k += 1
+                        given = f"{stem}_{k}{ext}"
+                    upto[wanted] = k
+                used.add(given)
+                unique.append(given)
+            out = pdf[kept].assign(unique_name=unique)
+            yield out[~pdf["_taken"].astype(bool)]
+
+    return dealt.mapInPandas(run, schema)
+
+
+def _by_counting(df: DataFrame, name: str, order: list[Column], taken: DataFrame | None) -> DataFrame:
+    """Free suffixes of a base name: the taken ones are removed from the candidates 1..n+t."""
     df = row_number(df, [name], order, "_k")
     stem = F.regexp_extract(F.col(name), r"^(.*?)(\.[^./]*)?$", 1)
     ext = F.regexp_extract(F.col(name), r"^(.*?)(\.[^./]*)?$", 2)

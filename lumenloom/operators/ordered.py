@@ -96,6 +96,18 @@ def running_sum(df: DataFrame, keys: list[str], order: str, col: str, out: str,
     return _join_key(local, offsets, scope).withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_range")
 
 
+def upcoming_min(df: DataFrame, order: str, col: str, out: str) -> DataFrame:
+    """Smallest ``col`` of all rows that come later, without a group or a join by value."""
+    frozen = _ranges(df, [], [F.col(order)])
+    lows = frozen.groupBy("_range").agg(F.min(col).alias("_low"))
+    # one row per range
+    later = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    carried = lows.select("_range", F.min("_low").over(later).alias("_carry"))
+    rest = Window.partitionBy("_range").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    local = frozen.withColumn(out, F.min(col).over(rest))
+    return local.join(carried, "_range").withColumn(out, F.coalesce(out, "_carry")).drop("_carry", "_range")
+
+
 def latest(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
     """Latest row per key by aggregation, so partial results combine before the shuffle."""
     packed = F.max(F.struct(F.col(order), *[F.col(c) for c in cols])).alias("_last")

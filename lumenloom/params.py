@@ -73,6 +73,15 @@ SIMILARITY_PRESETS = {
 }
 
 
+# --- fixed values: settings that stored presets start from where they differ from a request's
+PRESET_DEFAULTS = {
+    "replace_underscore_excludes": "0_0, (o)_(o), +_+, +_-, ._., <o>_<o>, <|>_<|>, =_=, >_<, 3_3, 6_9, >_o, @_@, ^_^, o_o, u_u, x_x, |_|, ||_||",
+    "remove_duplicates": True,
+    "save_json": False,
+}
+# ---------------------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class CaptionOptions:
     """How a score list becomes a caption. List-valued settings are comma strings."""
@@ -98,6 +107,8 @@ class CaptionOptions:
     tag_precision: int = 2
     output_format: str = "[name].txt"
     conflict_mode: str = "ignore"
+    remove_duplicates: bool = True
+    save_json: bool = False
 
 
 @dataclass(frozen=True)
@@ -106,7 +117,6 @@ class KeyframeOptions:
     sample_rate_hz: float = 4.0
     max_candidates: int = 0
     min_scene_seconds: float = 5.0
-    exhaustive_limit: int = 50_000
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ Set ``spark.sql.execution.arrow.maxRecordsPerBatch`` to 8-64 for big images.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from lumenloom.runtime import broadcast_if_small
 
 MODEL_SIDE = 448
 LETTERBOX_SIDE = 512
+PIECE = 64  # finished images handed on at a time
 
 
 def _rgb(image: dict | None, content: bytes | None) -> np.ndarray:
@@ -55,6 +57,9 @@ def per_image(df: DataFrame, keep: list[str], schema: str, work: Callable[[pd.Se
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
+                if len(rows) >= PIECE:
+                    yield pd.DataFrame(rows, columns=[*keep, *names, "error"], dtype=object)
+                    rows = []
                 r = row._asdict()
                 image = r["image"]
                 if image is not None and not isinstance(image, dict):
@@ -62,7 +67,7 @@ def per_image(df: DataFrame, keep: list[str], schema: str, work: Callable[[pd.Se
                 try:
                     out, error = work(r, _rgb(image, r["content"])), None
                 except Exception as e:  # noqa: BLE001 - one bad image must not stop the job
-                    out, error = (None,) * len(names), f"{type(e).__name__}: {e}"[:200]
+                    out, error = (None,) * len(names), f"{type(e).__name__}: {e}"
                 rows.append([*[r[k] for k in keep], *out, error])
             yield pd.DataFrame(rows, columns=[*keep, *names, "error"], dtype=object)
 
@@ -122,17 +127,14 @@ def render_textures(images: DataFrame, plan: DataFrame, keep: list[str]) -> Data
 
 
 def thumbnail_size(w: int, h: int, side: int) -> tuple[int, int]:
-    """Largest size within side x side keeping the ratio as well as whole pixels allow."""
-    if w <= side and h <= side:
+    """Within side x side: the longer edge becomes ``side``, the other the whole number whose ratio is nearest."""
+    if max(w, h) <= side:
         return w, h
-    ratio = w / h
-
-    def nearest(x: float, miss: Callable[[int], float]) -> int:
-        return max(1, min(int(np.floor(x)), int(np.ceil(x)), key=miss))
-
-    if ratio <= 1:
-        return nearest(side * ratio, lambda n: abs(ratio - n / side)), side
-    return side, nearest(side / ratio, lambda n: abs(ratio - side / n) if n else 0.0)
+    if w > h:
+        low = side * h // w
+        return side, max(1, min((low, low + 1), key=lambda n: abs(Fraction(w, h) - Fraction(side, n)) if n else Fraction(0)))
+    low = side * w // h
+    return max(1, min((low, low + 1), key=lambda n: abs(Fraction(w, h) - Fraction(n, side)))), side
 
 
 def thumbnails(images: DataFrame, existing: DataFrame | None = None, side: int = THUMB_SIDE, quality: int = THUMB_QUALITY) -> DataFrame:
@@ -175,15 +177,16 @@ def squared_input(rgb: np.ndarray, side: int = MODEL_SIDE, layout: str = "NHWC")
 
 
 def letterboxed_input(rgb: np.ndarray, side: int = LETTERBOX_SIDE) -> np.ndarray:
-    """Ratio kept on a black square, ImageNet-normalised, NCHW."""
-    h, w = rgb.shape[:2]
-    scale = side / max(w, h)
-    size = (max(1, int(w * scale)), max(1, int(h * scale)))
-    canvas = np.zeros((side, side, 3), np.uint8)
-    left, top = (side - size[0]) // 2, (side - size[1]) // 2
-    canvas[top : top + size[1], left : left + size[0]] = P.resize(rgb, size)
-    scaled = (canvas.astype(np.float32) / 255.0 - np.array(P.IMAGENET_MEAN, np.float32)) / np.array(P.IMAGENET_STD, np.float32)
-    return scaled.transpose(2, 0, 1)
+    """Channels first: the picture centred on black, each channel centred and scaled by fixed statistics."""
+    longest = max(rgb.shape[:2])
+    tall, wide = (max(1, int(n * (side / longest))) for n in rgb.shape[:2])
+    top, left = (side - tall) // 2, (side - wide) // 2
+    picture = P.resize(rgb, (wide, tall)).astype(np.float32) / np.float32(255)
+    tensor = np.empty((3, side, side), np.float32)
+    for channel, mean, spread in zip(range(3), P.IMAGENET_MEAN, P.IMAGENET_STD):
+        tensor[channel] = np.float32(-mean) / np.float32(spread)
+        tensor[channel, top : top + tall, left : left + wide] = (picture[:, :, channel] - np.float32(mean)) / np.float32(spread)
+    return tensor
 
 
 INPUTS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
@@ -242,7 +245,7 @@ def onnx_scorer(model: bytes, kind: str = "square", side: int = MODEL_SIDE, batc
                             tensors.append(make(_rgb(image, r["content"]), side))
                             ids.append(r["image_id"])
                         except Exception as e:  # noqa: BLE001
-                            rows.append((r["image_id"], None, f"open: {e}"[:200]))
+                            rows.append((r["image_id"], None, f"open: {e}"))
                     try:
                         rows += [(i, v.tolist(), None) for i, v in zip(ids, infer(tensors))] if ids else []
                     except Exception:  # noqa: BLE001
@@ -250,7 +253,7 @@ def onnx_scorer(model: bytes, kind: str = "square", side: int = MODEL_SIDE, batc
                             try:
                                 rows.append((i, infer([t])[0].tolist(), None))
                             except Exception as e:  # noqa: BLE001
-                                rows.append((i, None, f"inference: {e}"[:200]))
+                                rows.append((i, None, f"inference: {e}"))
                     yield pd.DataFrame(rows, columns=["image_id", "logits", "error"])
 
         return src.mapInPandas(run, "image_id bigint, logits array<float>, error string")

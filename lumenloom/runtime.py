@@ -19,6 +19,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # images travel in Arrow batches; their bytes are what must fit a task
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 # ---------------------------------------------------------------------------------
 

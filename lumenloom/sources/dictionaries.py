@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.functions.tags import normalize_category
-from lumenloom.params import CaptionOptions
+from lumenloom.params import PRESET_DEFAULTS, CaptionOptions
 
 _ENTRY = "name string, tag string, category string"
 # --- fixed values: where model metadata keeps its tables, first match wins ------
@@ -87,5 +87,11 @@ def read_presets(spark: SparkSession, path: str) -> DataFrame:
     kinds = {"str": "string", "float": "double", "int": "int", "bool": "boolean"}
     schema = ", ".join(f"{f.name} {kinds[f.type]}" for f in fields(CaptionOptions))
     raw = spark.read.schema(schema).option("multiLine", "true").json(path)
+    return with_preset_defaults(raw)
+
+
+def with_preset_defaults(raw: DataFrame) -> DataFrame:
+    """Settings that a preset leaves out, filled in."""
     default = CaptionOptions()
-    return raw.select(*[F.coalesce(F.col(f.name), F.lit(getattr(default, f.name))).alias(f.name) for f in fields(CaptionOptions)])
+    value = {f.name: PRESET_DEFAULTS.get(f.name, getattr(default, f.name)) for f in fields(CaptionOptions)}
+    return raw.select(*[(F.coalesce(F.col(n), F.lit(v)) if n in raw.columns else F.lit(v)).alias(n) for n, v in value.items()])

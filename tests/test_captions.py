@@ -97,6 +97,9 @@ def test_weight_rounding_follows_the_binary_value(spark):
     df = spark.createDataFrame([(1.005,), (1.05,), (0.875,)], "w double")
     got = [r[0] for r in df.select(T.weighted_text(F.lit("t"), F.col("w"), F.lit(True), F.lit(2))).collect()]
     assert got == ["(t:1.00)", "(t:1.05)", "(t:0.88)"]
+    every = [(0.8 + i * 1e-4,) for i in range(5001)] + [(0.125,), (0.375,), (0.995,), (0.815,)]
+    got = [r[0] for r in spark.createDataFrame(every, "w double").select(T.weighted_text(F.lit("t"), F.col("w"), F.lit(True), F.lit(2)).alias("x"), "w").collect()]
+    assert got == [f"(t:{w:.2f})" if abs(w - 1) > 0.001 else "t" for (w,) in every]
 
 
 def test_names_and_paths(spark):

@@ -59,17 +59,25 @@ def test_best_subset_is_the_first_optimum(n, k):
         assert keyframes.best_subset(h, k) == brute([int(v) for v in h], k)
 
 
-def test_diverse_frames_by_size(spark):
+@pytest.mark.parametrize("method", ["exact", "spread"])
+def test_diverse_frames(spark, method):
     rng = random.Random(5)
-    rows = [(v, i, rng.getrandbits(62)) for v, n in ((1, 3), (2, 9), (3, 400)) for i in range(n)] + [(4, i, None) for i in range(9)] + [(5, i, rng.getrandbits(62) if i > 4 else None) for i in range(8)]
+    rows = [(v, i, rng.getrandbits(62)) for v, n in ((1, 3), (2, 9), (3, 24)) for i in range(n)] + [(4, i, None) for i in range(9)] + [(5, i, rng.getrandbits(62) if i > 4 else None) for i in range(8)]
     df = spark.createDataFrame(rows, "video_id int, frame_idx bigint, h1 bigint")
     got = {}
-    for r in keyframes.diverse_frames(df, 4, limit=500).collect():
+    for r in keyframes.diverse_frames(df, 4, method).collect():
         got.setdefault(r["video_id"], []).append(r["frame_idx"])
     assert sorted(got[1]) == [0, 1, 2]
-    h = np.array([r[2] for r in rows if r[0] == 2], dtype=np.uint64)
-    assert sorted(got[2]) == brute([int(v) for v in h], 4)
-    assert len(set(got[3])) == 4 and 0 in got[3]
+    for v in (2, 3):
+        h = [r[2] for r in rows if r[0] == v]
+        if method == "exact":
+            assert sorted(got[v]) == brute(h, 4)
+        else:
+            chosen = [0]
+            while len(chosen) < 4:
+                rest = [i for i in range(len(h)) if i not in chosen]
+                chosen.append(max(rest, key=lambda i: (min((h[i] ^ h[j]).bit_count() for j in chosen), -i)))
+            assert sorted(got[v]) == sorted(chosen)
     assert len(got[4]) == 9  # nothing could be hashed: left as they are
     assert sorted(got[5]) == [5, 6, 7]
 

@@ -89,7 +89,9 @@ def folder(tmp_path_factory):
 
 def test_scan_scopes(spark, folder):
     base = str(folder)
-    got = {r["uri"].replace(base + "/", "") for r in scan.scan_images(spark, base, "source", base + "/out").collect()}
+    found = scan.scan_images(spark, base, "source", base + "/out").collect()
+    assert [r["uri"].replace(base + "/", "") for r in found if r["error"]] == ["zip://bad.zip"]
+    got = {r["uri"].replace(base + "/", "") for r in found if not r["error"]}
     loose = {"a.png", "b.png", "sub/big.png", "sub/copy of a.png", "grey.PNG", "alpha.png", "broken.png"}
     assert got == loose | {"zip://more.zip::in/z.png"}
     custom = {r["uri"].replace(base + "/", "") for r in scan.scan_images(spark, base, "custom").collect()}
@@ -97,7 +99,7 @@ def test_scan_scopes(spark, folder):
     output = {r["uri"].replace(base + "/", "") for r in scan.scan_images(spark, base, "output").collect()}
     assert output == custom | {"earlier/deep/x.png"}
     skipped = spark.createDataFrame([(base + "/b.png",)], "uri string")
-    assert scan.scan_images(spark, base, "source", base + "/out", skipped).count() == 7
+    assert scan.scan_images(spark, base, "source", base + "/out", skipped).where("error is null").count() == 7
     bad = scan.zip_entries(scan.read_zips(spark, base)).where("error is not null").collect()
     assert [r["uri"].endswith("bad.zip") for r in bad] == [True]
 

@@ -65,7 +65,7 @@ _SEEN: dict[bytes, int] = {}
 def _word_hash(word: bytes) -> int:
     h = _SEEN.get(word)
     if h is None:
-        if len(_SEEN) > 300_000:
+        if len(_SEEN) > 150_000:
             _SEEN.clear()
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         if len(word) <= 64:

@@ -163,7 +163,8 @@ def representatives(data: np.ndarray, length: int) -> dict[str, np.ndarray]:
 _PLAIN, _MANY, _SETTLED = 0, 1, 2
 _RANKED = {"core": "bigint", "whole": "bigint", "k1": "bigint", "k2": "bigint", "place": "bigint"}
 GROUP_ROWS = 50_000  # larger groups of equal common ranks are resolved by Spark, string by string
-_BATCH_ROWS = 20_000
+_BATCH_ROWS = 5_000
+_FEW = 1_000  # contexts whose ranks are held at once
 
 
 def _ddl(fields: dict[str, str]) -> str:
@@ -301,7 +302,13 @@ _RESOLVED = {"kind": "int", "h1": "bigint", "h2": "bigint", "k1": "bigint", "k2"
 
 
 def _strings(rows: list[tuple], length: int):
-    """(h1, h2, row, start) of every string of the given contexts."""
+    """(h1, h2, row, start) of every string of the given contexts, ranked a few contexts at a time."""
+    parts = [_some_strings(rows[i : i + _FEW], length) for i in range(0, len(rows), _FEW)]
+    h1, h2, owner, start = (list(x) for x in zip(*parts))
+    return np.concatenate(h1), np.concatenate(h2), np.concatenate([o + i * _FEW for i, o in enumerate(owner)]), np.concatenate(start)
+
+
+def _some_strings(rows: list[tuple], length: int):
     joined = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
     sizes = np.array([len(r[4]) for r in rows])
     counts = sizes - length + 1

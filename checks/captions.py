@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import CAPTIONS, DICT, IMAGES, SCORES, captions, images, logits, table, tag_dict
+from checks.fixtures import CAPTIONS, IMAGES, SCORES, captions, images, logits, table, tag_dict
 from lumenloom.functions import tags as T
 from lumenloom.operators import captions as C
 from lumenloom.params import CaptionOptions
@@ -178,15 +178,27 @@ S_GROUPED = f"""WITH {SCORES} SELECT image_id, category, (list_position(['genera
  row_number() OVER (PARTITION BY image_id, category ORDER BY conf DESC, tag_idx) AS rank, name, conf FROM scores WHERE route='tags'"""
 
 
+RAW_CATEGORIES = ("0", " 1", "3", "4", "5", "9", "General", "ARTIST", "Quality ", "weird", "7", "year", "MODEL")
+
+
+def part_dictionary(spark, sf):
+    """A dictionary with one tag per part, its category spelled in many ways."""
+    raw = F.element_at(F.array(*[F.lit(c) for c in RAW_CATEGORIES]), (F.col("p_size") * 7 % len(RAW_CATEGORIES) + 1).cast("int"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("tag_idx"), F.col("p_name").alias("name"), T.normalize_category(raw).alias("category"))
+
+
+PART_DICT = """pd AS (SELECT p_partkey AS tag_idx, ['general','artist','copyright','character','meta','rating','general','artist','quality','unknown','unknown','year','model'][p_size*7%13+1] AS category FROM part)"""
+
+
 def q_census(spark, sf):
-    return C.category_census(tag_dict(spark, sf))
+    return C.category_census(part_dictionary(spark, sf))
 
 
 def q_present(spark, sf):
-    return C.present_categories(tag_dict(spark, sf)).select(F.array_join("present", ",").alias("present"))
+    return C.present_categories(part_dictionary(spark, sf)).select(F.array_join("present", ",").alias("present"))
 
 
-S_PRESENT = f"WITH {DICT} SELECT array_to_string(list_sort(list(DISTINCT category)),',') AS present FROM dict WHERE category NOT IN ('rating','unknown')"
+S_PRESENT = f"WITH {PART_DICT} SELECT array_to_string(list_sort(list(DISTINCT category)),',') AS present FROM pd WHERE category NOT IN ('rating','unknown')"
 
 
 def q_category_names(spark, sf):
@@ -253,7 +265,7 @@ QUERIES = {
     "uncaptioned": (q_uncaptioned, S_UNCAPTIONED),
     "top_tags": (q_top_tags, S_TOP),
     "grouped_confidences": (q_grouped, S_GROUPED),
-    "category_census": (q_census, f"WITH {DICT} SELECT category, count(*) AS n FROM dict GROUP BY 1"),
+    "category_census": (q_census, f"WITH {PART_DICT} SELECT category, count(*) AS n FROM pd GROUP BY 1"),
     "present_categories": (q_present, S_PRESENT),
     "category_names": (q_category_names, S_CATEGORY),
     "tag_strings": (q_tag_strings, S_STRINGS),

@@ -164,15 +164,15 @@ SELECT i.image_id, (SELECT arg_min(o.bw,(abs(o.bw/o.bh-i.width/i.height),o.bw,o.
 
 
 def q_preferences(spark, sf):
-    c = crops(spark, sf).where("w > 0").withColumn("session", F.col("op") % 30)
+    c = crops(spark, sf).withColumn("session", F.col("op") % 30)
     return balance.crop_preferences(c, "session").select("session", F.round("avg_padding", 6).alias("avg_padding"), F.round("avg_ar", 6).alias("avg_ar"), "n")
 
 
-PREFS = f"""{CROPS}, prefs AS (SELECT op%30 AS session, avg(greatest(0.0::DOUBLE,((width-w)/2+(height-h)/2)/2/((width+height)/2))) AS avg_padding, avg(w/h) AS avg_ar, count(*) AS n FROM crops WHERE w>0 GROUP BY 1)"""
+PREFS = f"""{CROPS}, prefs AS (SELECT op%30 AS session, avg(greatest(0.0::DOUBLE,((width-w)/2+(height-h)/2)/2/((width+height)/2))) AS avg_padding, avg(w/h) AS avg_ar, count(*) AS n FROM crops GROUP BY 1)"""
 
 
 def q_blended(spark, sf):
-    c = crops(spark, sf).where("w > 0").withColumn("session", F.col("op") % 30)
+    c = crops(spark, sf).withColumn("session", F.col("op") % 30)
     return balance.blended_padding(balance.crop_preferences(c, "session"), "session").select(F.round("padding_ratio", 6).alias("padding_ratio"), "sessions")
 
 

@@ -109,20 +109,16 @@ assigned AS (
 
 
 # ---- planes and fingerprints of documents -----------------------------------
-CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ."
-
-
 def _character_planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the listed characters in whole texts; one-byte characters never occur inside longer ones."""
-    codes = np.frombuffer(CHARS.encode(), np.uint8)
+    """All code points of whole texts, counted in 64 cells by their number modulo 64."""
     for pdf in batches:
-        counts = [np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)[codes] for t in pdf["text"]]
+        counts = [np.bincount(np.frombuffer((t or "").encode("utf-32-le"), np.uint32) % 64, minlength=64) for t in pdf["text"]]
         yield pdf[["doc_id", "source", "n_chars"]].assign(plane=[(c * 37 % 64).astype(np.float64) for c in counts])
 
 
 def planes(spark: SparkSession, sf: str) -> DataFrame:
-    """An 8x8 plane per document: how often each of 64 characters occurs in the whole
-    text, spread over 0..63 so that unrelated texts give unrelated planes."""
+    """An 8x8 plane per document: how many code points of the whole text fall into each
+    of 64 cells, spread over 0..63 so that unrelated texts give unrelated planes."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "text")
     counted = docs.mapInPandas(_character_planes, "doc_id bigint, source string, n_chars bigint, plane array<double>")
     return counted.select(
@@ -134,10 +130,11 @@ def planes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_COUNTS = ",".join(f"((length(text)-length(replace(text,'{c}','')))*37%64)::DOUBLE" for c in CHARS)
-PLANES = f"""planes AS (
-  SELECT doc_id AS image_id, 'doc/' || source || '/' || doc_id || '.png' AS uri, 512 + n_chars%512 AS width, 768 AS height, [{_COUNTS}] AS plane
-  FROM documents)"""
+PLANES = """letters AS (SELECT doc_id, unicode(c)%64 AS cell, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY 1,2),
+cells AS (SELECT d.doc_id, list(((coalesce(l.n,0)*37)%64)::DOUBLE ORDER BY k.k) AS plane FROM documents d CROSS JOIN range(0,64) k(k) LEFT JOIN letters l ON l.doc_id=d.doc_id AND l.cell=k.k GROUP BY 1),
+planes AS (
+  SELECT doc_id AS image_id, 'doc/' || source || '/' || doc_id || '.png' AS uri, 512 + n_chars%512 AS width, 768 AS height, plane
+  FROM documents JOIN cells USING (doc_id))"""
 
 
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:

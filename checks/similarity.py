@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import FINGERPRINTS, PLANES, VECTORS, fingerprints, planes, table, vectors
 from lumenloom.functions import hashing as H
+from lumenloom.functions.colour import display_value, linear_light
 from lumenloom.functions.numeric import let
 from lumenloom.operators.clustering import mark_all_but_largest
 from lumenloom.operators.similarity import similar_pairs
@@ -95,6 +96,18 @@ S_COLOR = """WITH px AS (SELECT l_partkey AS image_id, (l_orderkey*7+l_linenumbe
 SELECT image_id, ((r//64)*4+(g//64))*4+(b//64) AS bin, round(count(*)/sum(count(*)) OVER (PARTITION BY image_id),6) AS v FROM px GROUP BY 1,2"""
 
 
+def q_linear_light(spark, sf):
+    """Bytes of made-up pixels as linear light and back."""
+    byte = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 256
+    px = table(spark, sf, "lineitem").select(byte.alias("byte"), linear_light(byte / 255).alias("light"))
+    back = F.floor(display_value(F.col("light")) * 255 + 0.5).cast("bigint")
+    return px.groupBy("byte").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("light"), 9).alias("light"), F.max(back).alias("back"))
+
+
+S_LIGHT = """WITH px AS (SELECT (l_orderkey*7+l_linenumber)%256 AS byte FROM lineitem)
+SELECT byte, count(*) AS n, round(CASE WHEN byte/255<=0.04045 THEN byte/255/12.92 ELSE power((byte/255+0.055)/1.055, 2.4) END, 9) AS light, byte::BIGINT AS back FROM px GROUP BY byte"""
+
+
 def _pair_query(name):
     def q(spark, sf):
         return similar_pairs(fingerprints(spark, sf), SIMILARITY_PRESETS[name]).select("src", "dst", F.col("d1").cast("bigint").alias("d1"))
@@ -179,6 +192,34 @@ c AS (SELECT image_id, min(root) AS group_id FROM reach GROUP BY 1)
 SELECT group_id, image_id, row_number() OVER (PARTITION BY group_id ORDER BY width*height DESC, image_id || '.png') = 1 AS retained FROM c JOIN fp USING (image_id)"""
 
 
+def _walk_sql(o: SimilarityOptions) -> str:
+    """The sequential greedy run over images: seeds by falling number of links, each joined by the nearest
+    free image that links to all members so far; groups in order of size, then of seeds."""
+    return f"""WITH RECURSIVE pr AS ({_pair_sql(o)}),
+near AS (SELECT src AS s, dst AS d, d1 FROM pr UNION ALL SELECT dst, src, d1 FROM pr),
+seeds AS (SELECT s AS id, count(*) AS degree, row_number() OVER (ORDER BY count(*) DESC, s) AS place FROM near GROUP BY s),
+walk AS (
+  SELECT 0 AS step, []::BIGINT[] AS used, NULL::BIGINT AS seed, []::BIGINT[] AS grp, NULL::BIGINT AS added
+  UNION ALL
+  SELECT step+1, list_append(used, coalesce(pick,start)), CASE WHEN pick IS NULL THEN start ELSE seed END,
+    CASE WHEN pick IS NULL THEN [start] ELSE list_append(grp,pick) END, coalesce(pick,start)
+  FROM (SELECT w.*, (SELECT arg_min(v,(far,v)) FROM (SELECT e.d AS v, max(e.d1) AS far FROM near e WHERE list_contains(w.grp,e.s) AND NOT list_contains(w.used,e.d) GROUP BY e.d HAVING count(*)=len(w.grp))) AS pick,
+      (SELECT arg_min(o.id,o.place) FROM seeds o WHERE NOT list_contains(w.used,o.id)) AS start FROM walk w) z
+  WHERE coalesce(pick,start) IS NOT NULL),
+member AS (SELECT w.added AS image_id, w.seed AS group_id, count(*) OVER (PARTITION BY w.seed) AS group_size FROM walk w WHERE w.added IS NOT NULL),
+gr AS (SELECT m.*, 'x' AS x, s.degree FROM member m JOIN seeds s ON s.id=m.group_id WHERE group_size > 1),
+info AS (SELECT doc_id AS image_id, 'doc/' || source || '/' || doc_id || '.png' AS uri, doc_id || '.png' AS name, (512 + n_chars%512) * 768 AS area FROM documents)"""
+
+
+S_GROUPS = f"""{_walk_sql(BALANCED)}
+SELECT (dense_rank() OVER (ORDER BY group_size DESC, degree DESC, group_id) - 1)::BIGINT AS group_rank, group_id, group_size,
+ (row_number() OVER (PARTITION BY group_id ORDER BY name, image_id) - 1)::BIGINT AS member_rank, image_id, name FROM gr JOIN info USING (image_id)"""
+S_SUMMARY = f"{_walk_sql(BALANCED)} SELECT group_size, count(DISTINCT group_id) AS groups, count(*) AS members FROM gr GROUP BY 1"
+S_RETAINED = f"""{_walk_sql(BALANCED)},
+r AS (SELECT image_id, row_number() OVER (PARTITION BY group_id ORDER BY area DESC, name, image_id) AS k FROM gr JOIN info USING (image_id))
+SELECT image_id, uri FROM info WHERE image_id NOT IN (SELECT image_id FROM r WHERE k>1)"""
+
+
 def q_retained(spark, sf):
     f = fingerprints(spark, sf)
     return dedup.retained_images(f, dedup.duplicate_groups(f, BALANCED)).select("image_id", "uri")
@@ -190,6 +231,7 @@ QUERIES = {
     "median_hash": (q_median_hash, S_MEDIAN),
     "wavelet_hash": (q_wavelet_hash, S_WAVELET),
     "perceptual_hash": (q_perceptual_hash, S_PHASH),
+    "linear_light": (q_linear_light, S_LIGHT),
     "color_signature": (q_color_signature, S_COLOR),
     "hash_distance": (q_hash_distance, S_DISTANCE),
     "similar_pairs_strict": (_pair_query("strict"), _pair_sql(SIMILARITY_PRESETS["strict"])),
@@ -198,7 +240,7 @@ QUERIES = {
     "similar_pairs_wide": (q_pairs_wide, S_WIDE),
     "transitive_groups": (q_components, S_COMPONENTS),
     "keep_largest": (q_keep_largest, S_KEEP),
-    "duplicate_groups": (q_duplicate_groups, None),
-    "group_summary": (q_group_summary, None),
-    "retained_images": (q_retained, None),
+    "duplicate_groups": (q_duplicate_groups, S_GROUPS),
+    "group_summary": (q_group_summary, S_SUMMARY),
+    "retained_images": (q_retained, S_RETAINED),
 }

@@ -9,7 +9,7 @@ from lumenloom.functions import hashing as H
 from lumenloom.functions.colour import display_value, linear_light
 from lumenloom.functions.numeric import let
 from lumenloom.operators.clustering import mark_all_but_largest
-from lumenloom.operators.similarity import similar_pairs
+from lumenloom.operators.similarity import expand_pairs, similar_classes, similar_pairs
 from lumenloom.params import SIMILARITY_PRESETS, SimilarityOptions
 from lumenloom.plans import dedup
 
@@ -110,7 +110,8 @@ SELECT byte, count(*) AS n, round(CASE WHEN byte/255<=0.04045 THEN byte/255/12.9
 
 def _pair_query(name):
     def q(spark, sf):
-        return similar_pairs(fingerprints(spark, sf), SIMILARITY_PRESETS[name]).select("src", "dst", F.col("d1").cast("bigint").alias("d1"))
+        pairs, _ = similar_classes(fingerprints(spark, sf), SIMILARITY_PRESETS[name])
+        return pairs.select("src", "dst", F.col("d1").cast("bigint").alias("d1"))
 
     return q
 
@@ -123,6 +124,17 @@ SELECT a.image_id AS src, b.image_id AS dst, bit_count(xor(a.b1::BIT,b.b1::BIT))
 WHERE abs(a.aspect-b.aspect)/greatest(a.aspect,b.aspect) <= {o.ar_tolerance} AND bit_count(xor(a.b1::BIT,b.b1::BIT)) <= {o.threshold} {dual} {color}"""
 
 
+def _class_sql(o: SimilarityOptions) -> str:
+    """The pairs of those images that are the first of their copies."""
+    return f"""SELECT p.src, p.dst, p.d1 FROM ({_pair_sql(o)}) p
+WHERE p.src IN (WITH {FINGERPRINTS} SELECT min(image_id) FROM fp GROUP BY b1, b2, color, aspect) AND p.dst IN (WITH {FINGERPRINTS} SELECT min(image_id) FROM fp GROUP BY b1, b2, color, aspect)"""
+
+
+def q_pairs_expanded(spark, sf):
+    """Every pair of images, copies written out."""
+    return expand_pairs(*similar_classes(fingerprints(spark, sf), BALANCED)).select("src", "dst", F.col("d1").cast("bigint").alias("d1"))
+
+
 def q_pairs_wide(spark, sf):
     """Wide threshold on vectors, where real pairs are rare and recall is hard."""
     v = vectors(spark, sf).select(
@@ -234,9 +246,10 @@ QUERIES = {
     "linear_light": (q_linear_light, S_LIGHT),
     "color_signature": (q_color_signature, S_COLOR),
     "hash_distance": (q_hash_distance, S_DISTANCE),
-    "similar_pairs_strict": (_pair_query("strict"), _pair_sql(SIMILARITY_PRESETS["strict"])),
-    "similar_pairs_balanced": (_pair_query("balanced"), _pair_sql(BALANCED)),
-    "similar_pairs_loose": (_pair_query("loose"), _pair_sql(SIMILARITY_PRESETS["loose"])),
+    "similar_pairs_strict": (_pair_query("strict"), _class_sql(SIMILARITY_PRESETS["strict"])),
+    "similar_pairs_balanced": (_pair_query("balanced"), _class_sql(BALANCED)),
+    "similar_pairs_expanded": (q_pairs_expanded, _pair_sql(BALANCED)),
+    "similar_pairs_loose": (_pair_query("loose"), _class_sql(SIMILARITY_PRESETS["loose"])),
     "similar_pairs_wide": (q_pairs_wide, S_WIDE),
     "transitive_groups": (q_components, S_COMPONENTS),
     "keep_largest": (q_keep_largest, S_KEEP),

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lumenloom.functions.bucketing import nearest_packed, unpack_height, unpack_width
 from lumenloom.functions.numeric import half_even, let, staged
 from lumenloom.params import Target
+from lumenloom.runtime import broadcast_if_small
 
 
 def learn_resolutions(images: DataFrame, target: Target = Target(), k: int = 8, seed: int = 0) -> list[tuple[int, int]]:
@@ -54,7 +55,7 @@ def surplus_rows(rows: DataFrame, order: Column, batch: int = 8, prefer_duplicat
     w = Window.partitionBy("bw", "bh").orderBy(first, F.col("crop_w") * F.col("crop_h"), order)
     smallest = marked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= batch - 1)
     return (
-        smallest.join(F.broadcast(sizes), ["bw", "bh"])  # one row per bucket
+        smallest.join(broadcast_if_small(sizes), ["bw", "bh"])  # one row per bucket
         .where(F.col("rank") <= F.col("n") % batch)
         .withColumn("verdict", F.when(F.col("has_twin"), "drop").otherwise("decide"))
     )

@@ -73,7 +73,13 @@ def q_first_requests(spark, sf):
     return _run(S.first_requests(_events(spark, sf).select("uri", "ts"), "4000 days"), spark, "append").select("uri")
 
 
+def q_accepted(spark, sf):
+    """Requests taken while their path is not waiting; a finished path may come back."""
+    return _run(S.accepted_requests(_events(spark, sf)), spark, "append").select("event_id", "uri")
+
+
 QUERIES = {
+    "stream_accepted_requests": (q_accepted, f"WITH {QUEUE}, o AS (SELECT *, lag(status) OVER (PARTITION BY uri ORDER BY ts, event_id) AS before FROM qe) SELECT event_id, uri FROM o WHERE status='pending' AND (before IS NULL OR before<>'pending')"),
     "stream_status_counts": (q_running, f"WITH {QUEUE} SELECT status, count(*) AS n FROM qe GROUP BY 1"),
     "stream_windowed_counts": (q_windowed, f"WITH {QUEUE} SELECT date_trunc('hour', ts)::TIMESTAMP AS start, status, count(*) AS n FROM qe GROUP BY 1,2"),
     "stream_recent_events": (q_recent, f"WITH {QUEUE} SELECT event_id, uri, status FROM qe ORDER BY ts DESC, event_id DESC LIMIT 50"),

@@ -12,8 +12,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
@@ -128,6 +130,32 @@ def first_requests(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["uri"])
 
 
+def accepted_requests(events: DataFrame, waiting: str = "pending") -> DataFrame:
+    """Requests that enter the queue, from (event_id, ts, uri, status) in the order of their times.
+
+    A path is refused while it waits. Any other status finishes it, after which it
+    may be queued again. State is kept for waiting paths only.
+    """
+
+    def step(key, frames, state):
+        queued = state.exists and state.get[0]
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        taken = []
+        for event_id, ts, status in zip(rows["event_id"], rows["ts"], rows["status"]):
+            if status == waiting and not queued:
+                taken.append((event_id, ts, key[0]))
+            queued = status == waiting
+        if queued:
+            state.update((True,))
+        elif state.exists:
+            state.remove()
+        if taken:
+            yield pd.DataFrame(taken, columns=["event_id", "ts", "uri"])
+
+    rows = events.select("event_id", "ts", "uri", "status")
+    return rows.groupBy("uri").applyInPandasWithState(step, "event_id bigint, ts timestamp, uri string", "queued boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def running_counts(events: DataFrame) -> DataFrame:
     """Count per status so far."""
     return events.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,22 @@ SELECT 'zip://' || uri || '.zip::in/' || i || CASE WHEN i%2=1 THEN '.PNG' ELSE '
 UNION ALL SELECT 'zip://' || uri || '.zip', true FROM images WHERE image_id%11=0"""
 
 
+def plain_png(data: bytes) -> np.ndarray:
+    """Channels of an 8-bit PNG whose rows are stored as they are, which is how the library writes them."""
+    at, body, head = 8, b"", None
+    while at < len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        if kind == b"IHDR":
+            head = data[at + 8 : at + 8 + size]
+        elif kind == b"IDAT":
+            body += data[at + 8 : at + 8 + size]
+        at += 12 + size
+    w, h, n = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), {0: 1, 2: 3, 4: 2, 6: 4}[head[9]]
+    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n)
+    assert not rows[:, 0].any()
+    return rows[:, 1:].reshape(h, w, n)
+
+
 def pictures(spark, sf):
     """Every document's plane as an 8x8 grey image in the layout of Spark's image source."""
     p = planes(spark, sf).select("image_id", "uri", "plane")
@@ -110,7 +127,7 @@ def q_native_pixels(spark, sf):
 
     def total(batches):
         for pdf in batches:
-            sums = [int(P.decode_png(b)[:, :, 0].astype(np.int64).sum()) for b in pdf["png"]]
+            sums = [int(plain_png(b)[:, :, 0].astype(np.int64).sum()) for b in pdf["png"]]
             yield pd.DataFrame({"image_id": pdf["image_id"], "total": sums})
 
     done = pixels.render(pics, plan, ["out_w"]).where("error is null")
@@ -131,6 +148,29 @@ def q_model_inputs(spark, sf):
     return t.select("image_id", *[total(c) for c in range(3)])
 
 
+def q_area_thumbnails(spark, sf):
+    """Every picture as a frame, shrunk to 4x4 by averaging, read back from its PNG bytes."""
+    frames = pictures(spark, sf).select((F.col("image_id") % 5).alias("video_id"), F.col("image_id").alias("frame_idx"), "image")
+
+    def total(batches):
+        for pdf in batches:
+            sums = [int(plain_png(b)[:, :, 0].astype(np.int64).sum()) for b in pdf["png"]]
+            yield pd.DataFrame({"image_id": pdf["frame_idx"], "total": sums})
+
+    return pixels.frame_thumbnails(frames, 4).select("frame_idx", "png").mapInPandas(total, "image_id bigint, total bigint")
+
+
+def q_square_inputs(spark, sf):
+    """Square inputs of half the pictures' side, summed per channel."""
+    t = pixels.model_inputs(pictures(spark, sf), "square", 4)
+    back = [F.aggregate(F.slice(F.transform("tensor", lambda v: v.cast("double")), 1, 48), F.lit(0.0), lambda acc, v: acc + v).cast("bigint").alias("total")]
+    return t.select("image_id", *back)
+
+
+_QUARTERS = "list_sum(list_transform(range(0,16), lambda i: round_even((plane[(i//4)*16+(i%4)*2+1]+plane[(i//4)*16+(i%4)*2+2]+plane[(i//4)*16+(i%4)*2+9]+plane[(i//4)*16+(i%4)*2+10])/4, 0)))::BIGINT"
+S_THUMBS = f"WITH {PLANES} SELECT image_id, {_QUARTERS} AS total FROM planes"
+S_SQUARE = f"WITH {PLANES} SELECT image_id, 3*{_QUARTERS} AS total FROM planes"
+
 S_INPUTS = f"WITH {PLANES}, m AS (SELECT image_id, list_sum(plane)::BIGINT AS v FROM planes) SELECT image_id, v AS c0, v AS c1, v AS c2 FROM m"
 
 QUERIES = {
@@ -139,5 +179,7 @@ QUERIES = {
     "zip_entries": (q_zip_entries, S_ZIP),
     "image_fingerprints": (q_image_fingerprints, S_IMAGE_FP),
     "native_pixels": (q_native_pixels, S_NATIVE),
+    "area_thumbnails": (q_area_thumbnails, S_THUMBS),
+    "square_inputs": (q_square_inputs, S_SQUARE),
     "model_inputs": (q_model_inputs, S_INPUTS),
 }

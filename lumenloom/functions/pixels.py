@@ -176,62 +176,6 @@ def encode_png(img: np.ndarray) -> bytes:
     return PNG_MAGIC + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), PNG_LEVEL)) + _chunk(b"IEND", b"")
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """8-bit non-interlaced PNG to its channels; used for images inside archives."""
-    if data[:8] != PNG_MAGIC:
-        raise ValueError("not a PNG")
-    at, body, head, palette, clear = 8, [], None, None, b""
-    while at < len(data):
-        (n,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
-        part = data[at + 8 : at + 8 + n]
-        at += 12 + n
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", part)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
-        elif kind == b"tRNS":
-            clear = part
-        elif kind == b"IDAT":
-            body.append(part)
-        elif kind == b"IEND":
-            break
-    if head is None or head[2] != 8 or head[6] != 0:
-        raise ValueError("only 8-bit non-interlaced PNG")
-    w, h, kind = head[0], head[1], head[3]
-    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h, w * n), np.uint8)
-    above = np.zeros(w * n, np.int64)
-    for y in range(h):
-        mode, line = raw[y, 0], raw[y, 1:].astype(np.int64)
-        if mode == 1:
-            line = (np.cumsum(line.reshape(w, n), axis=0) % 256).reshape(-1)
-        elif mode == 2:
-            line = (line + above) % 256
-        elif mode in (3, 4):
-            for i in range(w * n):
-                left = line[i - n] if i >= n else 0
-                if mode == 3:
-                    guess = (left + above[i]) // 2
-                else:
-                    corner = above[i - n] if i >= n else 0
-                    trio = (left, above[i], corner)
-                    p = left + above[i] - corner
-                    guess = min(trio, key=lambda v: abs(p - v))
-                line[i] = (line[i] + guess) % 256
-        out[y] = line
-        above = line
-    img = out.reshape(h, w, n)
-    if kind == 3:
-        index = img[:, :, 0]
-        img = palette[index]
-        if clear:
-            alpha = np.full(256, 255, np.uint8)
-            alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
-            img = np.concatenate([img, alpha[index][:, :, None]], axis=2)
-    return img
-
-
 def _area_weights(n_in: int, n_out: int) -> np.ndarray:
     """Share of every input pixel in every output pixel."""
     edges = np.arange(n_out + 1) * (n_in / n_out)

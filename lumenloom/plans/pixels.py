@@ -25,22 +25,17 @@ LETTERBOX_SIDE = 512
 PIECE = 64  # finished images handed on at a time
 
 
-def _rgb(image: dict | None, content: bytes | None) -> np.ndarray:
-    """RGB pixels of an image struct, or of PNG bytes from an archive."""
-    if image is not None:
-        if image["width"] is None or image["width"] <= 0:
-            raise ValueError("cannot decode image")
-        return P.from_spark_image(image["height"], image["width"], image["nChannels"], image["data"])
-    if content is None:
+def _rgb(image: dict | None) -> np.ndarray:
+    """RGB pixels of an image struct."""
+    if image is None:
         raise ValueError("no pixels")
-    return P.on_white(P.decode_png(content))
+    if image["width"] is None or image["width"] <= 0:
+        raise ValueError("cannot decode image")
+    return P.from_spark_image(image["height"], image["width"], image["nChannels"], image["data"])
 
 
-def _with_sources(df: DataFrame) -> DataFrame:
-    if "image" not in df.columns:
-        df = df.withColumn("image", F.lit(None).cast("struct<height:int,width:int,nChannels:int,data:binary>"))
-    if "content" not in df.columns:
-        df = df.withColumn("content", F.lit(None).cast("binary"))
+def _with_image(df: DataFrame) -> DataFrame:
+    """Only the fields of the image struct that are used; rows without one get an error later."""
     return df.withColumn("image", F.when(F.col("image").isNotNull(), F.struct("image.height", "image.width", "image.nChannels", "image.data")))
 
 
@@ -49,7 +44,7 @@ def per_image(df: DataFrame, keep: list[str], schema: str, work: Callable[[pd.Se
 
     ``schema`` names the columns ``work`` returns, in order.
     """
-    src = _with_sources(df).select(*dict.fromkeys([*keep, "image", "content"]))
+    src = _with_image(df).select(*dict.fromkeys([*keep, "image"]))
     kept_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*keep).schema)
     names = [part.strip().split(" ")[0] for part in schema.split(", ")]
 
@@ -65,7 +60,7 @@ def per_image(df: DataFrame, keep: list[str], schema: str, work: Callable[[pd.Se
                 if image is not None and not isinstance(image, dict):
                     image = image.asDict()
                 try:
-                    out, error = work(r, _rgb(image, r["content"])), None
+                    out, error = work(r, _rgb(image)), None
                 except Exception as e:  # noqa: BLE001 - one bad image must not stop the job
                     out, error = (None,) * len(names), f"{type(e).__name__}: {e}"
                 rows.append([*[r[k] for k in keep], *out, error])
@@ -101,7 +96,7 @@ def render(images: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
     else copies pixels. A small plan is broadcast so pixels are never shuffled.
     """
     needed = plan.select(*dict.fromkeys(["image_id", *keep, "out_w", "out_h", "action"]), F.col("cut.x").alias("cx"), F.col("cut.y").alias("cy"), F.col("cut.w").alias("cw"), F.col("cut.h").alias("ch"))
-    joined = images.select("image_id", *[c for c in ("image", "content") if c in images.columns]).join(broadcast_if_small(needed, 100_000), "image_id")
+    joined = images.select("image_id", "image").join(broadcast_if_small(needed, 100_000), "image_id")
 
     def work(r: dict, rgb: np.ndarray) -> tuple:
         cut = P.crop(rgb, int(r["cx"]), int(r["cy"]), int(r["cw"]), int(r["ch"]))
@@ -219,7 +214,7 @@ def onnx_scorer(model: bytes, kind: str = "square", side: int = MODEL_SIDE, batc
 
     def score(images: DataFrame) -> DataFrame:
         shared = images.sparkSession.sparkContext.broadcast(model)
-        src = _with_sources(images).select("image_id", "image", "content")
+        src = _with_image(images).select("image_id", "image")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import onnxruntime as ort
@@ -242,7 +237,7 @@ def onnx_scorer(model: bytes, kind: str = "square", side: int = MODEL_SIDE, batc
                         image = r["image"]
                         image = image if image is None or isinstance(image, dict) else image.asDict()
                         try:
-                            tensors.append(make(_rgb(image, r["content"]), side))
+                            tensors.append(make(_rgb(image), side))
                             ids.append(r["image_id"])
                         except Exception as e:  # noqa: BLE001
                             rows.append((r["image_id"], None, f"open: {e}"))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks.files import plain_png
 from lumenloom.functions import hashing as H
 from lumenloom.functions import pixels as P
 from lumenloom.params import CaptionOptions, ExportOptions, SimilarityOptions
@@ -29,7 +30,7 @@ def test_png_round_trip():
     rng = np.random.default_rng(0)
     for shape in ((5, 7), (5, 7, 2), (5, 7, 3), (5, 7, 4)):
         img = rng.integers(0, 256, shape).astype(np.uint8)
-        assert (P.decode_png(P.encode_png(img)).squeeze() == img).all()
+        assert (plain_png(P.encode_png(img)).squeeze() == img).all()
 
 
 def test_shrinking_is_gamma_correct():
@@ -120,8 +121,30 @@ def test_fingerprints_find_the_copy_and_report_failures(spark, folder):
     assert rows[0]["name"] == "a.png" and abs(sum(rows[0]["color"]) - 1) < 1e-9
     groups = dedup.duplicate_groups(fp.where("error is null"), SimilarityOptions(2, 0.05, True))
     assert {r["image_id"] for r in groups.collect()} >= {0, 3}
-    inner = scan.zip_entries(scan.read_zips(spark, str(folder)), with_content=True).where("error is null").withColumn("image_id", F.lit(9).cast("bigint"))
-    assert pixels.fingerprints(inner).first()["width"] == 80
+
+
+def test_images_inside_archives(spark, folder, tmp_path):
+    """All formats of the image source, not only the library's own PNG files."""
+    interlaced = bytearray(P.encode_png(spotted(20, 10)))
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("a/one.png", P.encode_png(spotted(80, 60)))
+        z.writestr("two.bmp", bitmap(6, 4))
+        z.writestr("bad.jpg", bytes(interlaced[:20]))
+    archives = scan.read_zips(spark, str(tmp_path)).unionByName(scan.read_zips(spark, str(folder)).where("uri like '%bad.zip'"))
+    got = {r["uri"].rsplit("/", 1)[-1]: r for r in scan.archive_pixels(spark, archives, str(tmp_path / "laid")).collect()}
+    assert {k: r["error"] is None for k, r in got.items()} == {"one.png": True, "x.zip::two.bmp": True, "x.zip::bad.jpg": False, "bad.zip": False}
+    assert (got["one.png"]["image"]["width"], got["x.zip::two.bmp"]["image"]["width"]) == (80, 6)
+    inner = scan.archive_pixels(spark, archives, str(tmp_path / "again")).where("error is null").withColumn("image_id", F.lit(9).cast("bigint"))
+    assert {r["width"] for r in pixels.fingerprints(inner).collect()} == {80, 6}
+    assert scan.archive_pixels(spark, archives.where("false"), str(tmp_path / "none")).count() == 0
+
+
+def bitmap(w, h):
+    """A 24-bit BMP file."""
+    row = (w * 3 + 3) // 4 * 4
+    head = b"BM" + (54 + row * h).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little")
+    info = (40).to_bytes(4, "little") + w.to_bytes(4, "little") + h.to_bytes(4, "little") + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
+    return head + info + bytes(range(200)) [: 1] * (row * h)
 
 
 def test_export_job(spark, folder, tmp_path):
@@ -142,9 +165,9 @@ def test_export_job(spark, folder, tmp_path):
     sinks.write_image_files(done, str(tmp_path), "texture")
     assert sorted(f for f in os.listdir(tmp_path) if f.endswith(".png")) == ["0000.png", "0001.png"]
     for f in ("0000.png", "0001.png"):
-        assert P.decode_png((tmp_path / f).read_bytes()).shape == (1024, 1024, 3)
+        assert plain_png((tmp_path / f).read_bytes()).shape == (1024, 1024, 3)
     tex = done.first()
-    native = P.decode_png((tmp_path / "texture" / "tex_0000.png").read_bytes())
+    native = plain_png((tmp_path / "texture" / "tex_0000.png").read_bytes())
     src = spotted(3000, 2200)
     assert (native == src[tex["cy"] : tex["cy"] + tex["ch"], tex["cx"] : tex["cx"] + tex["cw"]]).all()
     sinks.write_image_table(pixels.render(px, named, ["file_name"]), str(tmp_path / "table"))
@@ -154,11 +177,11 @@ def test_export_job(spark, folder, tmp_path):
 def test_thumbnails_only_for_missing_keys(spark, folder):
     files = scan.list_files(spark, str(folder), "*.png").join(scan.read_pixels(spark, str(folder)), "uri").where("image.width > 0")
     first = pixels.thumbnails(files).cache()
-    shapes = {os.path.basename(r["uri"]): P.decode_png(r["png"]).shape[:2] for r in first.collect()}
+    shapes = {os.path.basename(r["uri"]): plain_png(r["png"]).shape[:2] for r in first.collect()}
     assert shapes["a.png"] == (384, 384) and shapes["big.png"] == (282, 384) and shapes["alpha.png"] == (48, 64)
     assert pixels.thumbnails(files, first).count() == 0
     frames = files.select(F.lit(1).alias("video_id"), F.lit(0).cast("bigint").alias("frame_idx"), "image")
-    assert max(max(P.decode_png(r["png"]).shape) for r in pixels.frame_thumbnails(frames).collect()) == 512
+    assert max(max(plain_png(r["png"]).shape) for r in pixels.frame_thumbnails(frames).collect()) == 512
 
 
 def test_model_inputs_and_scoring(spark, folder):

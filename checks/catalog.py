@@ -183,6 +183,25 @@ def q_learned(spark, sf):
     return learned.groupBy("bw", "bh").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _learned_sql(k: int = 8, steps: int = 20, area: int = 1048576, step: int = 64) -> str:
+    """The cluster steps written out one after another."""
+    parts = [
+        "hist AS (SELECT round(width/height, 4) AS ar, count(*) AS n FROM images GROUP BY 1)",
+        f"ends AS (SELECT min(ar) AS lo, max(ar) AS hi, least({k}, count(*)) AS k FROM hist)",
+        "c0 AS MATERIALIZED (SELECT i, lo * power(hi/lo, (i+0.5::DOUBLE)/k) AS c FROM ends, LATERAL (SELECT unnest(range(0, k)) AS i))",
+    ]
+    for j in range(steps):
+        parts.append(
+            f"""c{j + 1} AS MATERIALIZED (SELECT c.i, coalesce(m.c, c.c) AS c FROM c{j} c LEFT JOIN (SELECT i, sum(ar*n)/sum(n) AS c FROM (
+  SELECT h.ar, h.n, arg_min(x.i, (abs(h.ar-x.c), x.i)) AS i FROM hist h, c{j} x GROUP BY h.ar, h.n) GROUP BY i) m USING (i))"""
+        )
+    side = f"sqrt({area}::DOUBLE/c)"
+    parts.append(f"sizes AS (SELECT DISTINCT (round_even({side}*c/{step}, 0)*{step})::BIGINT AS bw, (round_even({side}/{step}, 0)*{step})::BIGINT AS bh FROM c{steps})")
+    return f"""WITH {IMAGES}, {", ".join(parts)},
+best AS (SELECT image_id, arg_min(bw, (abs(width/height-bw/bh), bw/bh)) AS bw, arg_min(bh, (abs(width/height-bw/bh), bw/bh)) AS bh FROM images, sizes GROUP BY 1)
+SELECT bw, bh, count(*) AS n FROM best GROUP BY 1,2"""
+
+
 def q_corners(spark, sf):
     c = crops(spark, sf)
     return c.select("op", "crop_id", "image_id", "kind", geometry.corner_box("x", "y", "w", "h").alias("b")).select("op", "crop_id", "image_id", "kind", "b.*")
@@ -206,6 +225,6 @@ QUERIES = {
     "gap_bucket": (q_gap, S_GAP),
     "crop_preferences": (q_preferences, f"WITH {PREFS} SELECT session, round(avg_padding,6) AS avg_padding, round(avg_ar,6) AS avg_ar, n FROM prefs"),
     "blended_padding": (q_blended, f"WITH {PREFS} SELECT round((0.1::DOUBLE+avg(avg_padding))/2,6) AS padding_ratio, count(*) AS sessions FROM (SELECT * FROM prefs ORDER BY session DESC LIMIT 10)"),
-    "learned_resolutions": (q_learned, None),
+    "learned_resolutions": (q_learned, _learned_sql()),
     "corner_boxes": (q_corners, f"WITH {CROPS} SELECT op, crop_id, image_id, kind, x AS x1, y AS y1, x+w AS x2, y+h AS y2 FROM crops"),
 }

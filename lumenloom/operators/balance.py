@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,19 +9,31 @@ from pyspark.sql.window import Window
 from lumenloom.functions.bucketing import nearest_packed, unpack_height, unpack_width
 from lumenloom.functions.numeric import half_even, let, staged
 from lumenloom.params import Target
-from lumenloom.runtime import broadcast_if_small
+from lumenloom.runtime import broadcast_if_small, cut_lineage
 
 
-def learn_resolutions(images: DataFrame, target: Target = Target(), k: int = 8, seed: int = 0) -> list[tuple[int, int]]:
+def learn_resolutions(images: DataFrame, target: Target = Target(), k: int = 8, steps: int = 20) -> list[tuple[int, int]]:
     """At most k training resolutions from clusters of the aspect ratios.
 
-    The centres (k numbers) are the model; the images stay distributed.
+    Ratios are counted to four places and clustered by Lloyd's steps from a fixed
+    start, k ratios in even logarithmic distance. Only the k centres reach the
+    driver; a centre that attracts nothing stays where it is.
     """
-    ratios = images.select((F.col("width") / F.col("height")).alias("ar")).where("ar > 0")
-    distinct = ratios.distinct().limit(k).count()
-    vectors = VectorAssembler(inputCols=["ar"], outputCol="features").transform(ratios)
-    model = KMeans(k=max(2, min(k, distinct)), seed=seed).fit(vectors) if distinct > 1 else None
-    centres = [float(c[0]) for c in model.clusterCenters()] if model else [float(ratios.first()["ar"])]
+    counts = images.select(F.round(F.try_divide("width", "height").cast("double"), 4).alias("ar")).where("ar > 0").groupBy("ar").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)
+    low, high, kinds = counts.agg(F.min("ar"), F.max("ar"), F.count(F.lit(1))).first()
+    if not kinds:
+        return []
+    k = min(k, kinds)
+    centres = [low * (high / low) ** ((i + 0.5) / k) for i in range(k)]
+    for _ in range(steps):
+        gaps = F.array(*[F.struct(F.abs(F.col("ar") - F.lit(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
+        own = counts.withColumn("i", F.array_min(gaps)["i"]).groupBy("i").agg((F.sum(F.col("ar") * F.col("n")) / F.sum("n")).alias("c"))
+        moved = {r["i"]: r["c"] for r in own.collect()}  # at most k rows
+        fresh = [moved.get(i, c) for i, c in enumerate(centres)]
+        if fresh == centres:
+            break
+        centres = fresh
     sizes = []
     for ar in sorted(centres):
         h = (target.area / ar) ** 0.5

@@ -39,10 +39,6 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def arrow_type(kind: str) -> pa.DataType:
-    return ARROW[kind]
-
-
 def per_text(
     docs: DataFrame,
     text: str,
@@ -59,7 +55,10 @@ def per_text(
     """
     prepare(docs.sparkSession)
     names = [c for c in (docs.columns if keep is None else keep) if c not in fields]
-    narrow = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").cast("binary").alias("_bytes"))
+    own = "_bytes"
+    while own in names:
+        own += "_"
+    narrow = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").cast("binary").alias(own))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]], *[f"`{k}` {v}" for k, v in fields.items()]])
     kinds = {k: ARROW[v] for k, v in fields.items()}
 
@@ -87,11 +86,17 @@ def deflated(df: DataFrame, column: str = "data") -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n integers of which ``repartition(n, key)`` puts exactly one into each partition.
+
+    Dealing slices out by their bare numbers would leave some partitions with
+    several and others with none.
+    """
+    ids = spark.range(0, 40 * n + 400).select(F.col("id").cast("int").alias("k"))
+    rows = ids.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()  # n rows
+    keys = [r["k"] for r in rows]
+    spare = (k for k in range(-1, -n - 1, -1))  # only if a partition was missed, which costs evenness alone
+    return sorted(keys) + [next(spare) for _ in range(n - len(keys))]
 
 
-__all__ = ["ARROW", "arrow_type", "cut_lineage", "deflated", "fold", "per_text", "prepare", "union_all"]
+__all__ = ["ARROW", "cut_lineage", "deflated", "even_keys", "fold", "per_text", "prepare"]

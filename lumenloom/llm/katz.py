@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import prepare
+from lumenloom.llm.common import even_keys, prepare
 from lumenloom.runtime import ensure_checkpoint_dir
 
 K = 5
@@ -128,8 +128,9 @@ def _count_frequent(docs: DataFrame, frequent: np.ndarray) -> dict[int, int]:
     return {r["h"] & ((1 << 64) - 1): r["n"] for r in rows}
 
 
-def _send(docs: DataFrame, slices: int, frequent: np.ndarray) -> DataFrame:
+def _send(docs: DataFrame, keys: list[int], frequent: np.ndarray) -> DataFrame:
     """Per batch of texts its tokens by slice, and one row about the texts."""
+    slices = len(keys)
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -161,9 +162,9 @@ def _send(docs: DataFrame, slices: int, frequent: np.ndarray) -> DataFrame:
                     w = word[a:z]
                     first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
                     lengths = np.diff(np.append(first, z - a)).astype(np.uint32)
-                    for column, value in zip(out, (s, chunk, w[first].tobytes(), lengths.tobytes(), low[a:z].tobytes(), owner[a:z].tobytes(), None)):
+                    for column, value in zip(out, (keys[s], chunk, w[first].tobytes(), lengths.tobytes(), low[a:z].tobytes(), owner[a:z].tobytes(), None)):
                         column.append(value)
-            for column, value in zip(out, (chunk % slices, chunk, None, None, None, None, meta.tobytes())):
+            for column, value in zip(out, (keys[chunk % slices], chunk, None, None, None, None, meta.tobytes())):
                 column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, t in zip(out, _SENT.values())], names=list(_SENT))
 
@@ -184,9 +185,9 @@ def _by_size(counts: np.ndarray, groups: np.ndarray, size: int) -> tuple[dict, n
     return exact, np.bincount(groups[large], counts[large] - KEPT, size)
 
 
-def _count(sent: DataFrame, frequent: dict[int, int]) -> DataFrame:
+def _count(sent: DataFrame, slices: int, frequent: dict[int, int]) -> DataFrame:
     """The slice tables."""
-    ordered = sent.repartition("slice").sortWithinPartitions("slice")
+    ordered = sent.repartition(slices, "slice").sortWithinPartitions("slice")
     names = np.array(sorted(frequent), np.uint64)
     totals = np.array([frequent[int(n)] for n in names], np.int64)
 
@@ -306,7 +307,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: Colum
     base = docs.select(F.col(f"`{key}`").cast("bigint").alias("d"), (F.lit(True) if train is None else F.coalesce(train, F.lit(False))).alias("train"), data.alias("data"))
     frequent = _frequent(base)
     counts = {int(h): 0 for h in frequent} | _count_frequent(base, frequent)
-    tables = _stored(_count(_send(base, slices, frequent), counts))
+    tables = _stored(_count(_send(base, even_keys(spark, slices), frequent), slices, counts))
 
     stats = {r["key"]: r["n"] for r in tables.where(f"kind = {STATS}").groupBy("key").agg(F.sum("n").alias("n")).collect()}
     for c in counts.values():

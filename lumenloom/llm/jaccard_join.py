@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import cut_lineage, deflated, prepare
+from lumenloom.llm.common import cut_lineage, deflated, even_keys, prepare
 from lumenloom.operators.clustering import connected_components
 
 WORDS, NUM, DEN = 3, 90, 100
@@ -124,8 +124,9 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("bigint").alias("d"), F.xxhash64(data).alias("t1"), F.xxhash64(F.lit(7), data).alias("t2"), data.alias("data"))
 
 
-def _send(docs: DataFrame, n: int, slices: int) -> DataFrame:
+def _send(docs: DataFrame, n: int, even: list[int]) -> DataFrame:
     """Per batch of documents: its token keys by slice, and one row about the documents."""
+    slices = len(even)
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -156,9 +157,9 @@ def _send(docs: DataFrame, n: int, slices: int) -> DataFrame:
                 for s in range(slices):
                     a, z = ends[s], ends[s + 1]
                     if z > a:
-                        for column, value in zip(out, (s, chunk, keys[a:z].tobytes(), owner[a:z].tobytes(), None)):
+                        for column, value in zip(out, (even[s], chunk, keys[a:z].tobytes(), owner[a:z].tobytes(), None)):
                             column.append(value)
-            for column, value in zip(out, (chunk % slices, chunk, None, None, meta.tobytes())):
+            for column, value in zip(out, (even[chunk % slices], chunk, None, None, meta.tobytes())):
                 column.append(value)
             yield _rows(_SENT, out)
 
@@ -170,7 +171,7 @@ _BACK = {"chunk": "bigint", "tokens": "binary", "owners": "binary", "often": "bi
 
 def _count(sent: DataFrame, slices: int) -> DataFrame:
     """Tokens that more than one document has go back to their batches with their frequency."""
-    ordered = sent.repartition("slice").sortWithinPartitions("slice")
+    ordered = sent.repartition(slices, "slice").sortWithinPartitions("slice")
 
     def counted(number, held):
         keys = [np.frombuffer(k, np.uint32) for _, k, _ in held]
@@ -184,7 +185,7 @@ def _count(sent: DataFrame, slices: int) -> DataFrame:
             at[at == len(values)] = 0
             hit = np.flatnonzero(values[at] == own) if len(values) else np.zeros(0, np.int64)
             if len(hit):
-                token = np.uint64(number) << _U(32) | own[hit].astype(np.uint64)
+                token = np.uint64(number & 0xFFFFFFFF) << _U(32) | own[hit].astype(np.uint64)
                 row = (chunk, token.tobytes(), np.frombuffer(owners, np.uint16)[hit].tobytes(), counts[at[hit]].tobytes(), None)
                 for column, value in zip(out, row):
                     column.append(value)
@@ -392,9 +393,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = W
     Documents of one component have one label; it is null for an empty set.
     """
     spark = prepare(docs.sparkSession)
-    slices = slices or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs, key, text)
-    judged = cut_lineage(_prefixes(_count(_send(keyed, n, slices), slices), num, den))
+    judged = cut_lineage(_prefixes(_count(_send(keyed, n, even_keys(spark, slices)), slices), num, den))
     both = _candidates(judged, "first", "ca").join(_candidates(judged, "second", "cb"), "sid")
     about = judged.where("sid is not null").groupBy("sid").agg(F.min(F.struct("t1", "t2")).alias("t"), F.max("size").alias("size"))
     groups = cut_lineage(both.join(about, "sid").select("ca", "cb", "sid", "size", "t.t1", "t.t2"))

@@ -56,20 +56,17 @@ def _pieces(data: bytes, orders: tuple[int, ...]):
 def _gram_pieces(data: bytes, buckets: int, orders: tuple[int, ...]):
     """Each n-gram of the text once."""
     longest = max(orders)
-    total = None
     for piece in _pieces(data, orders):
         last = len(piece) < _PIECE + longest - 1
         for n, h in zip([n for n in orders if len(piece) >= n], _grams(piece, buckets, orders)):
             yield h if last else h[:_PIECE]
-        total = piece
-    del total
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, sample: int = SAMPLE, smooth: float = 0.5):
     """(languages, matrix, priors) from about ``sample`` labelled texts at most, picked by a hash of the key."""
     prepare(docs.sparkSession)
     known = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("k")).where("t is not null and lang is not null")
-    total = known.count()
+    total = docs.where(F.col(lang).isNotNull()).count()  # reads no text
     share = int(min(1.0, sample / max(1, total)) * (1 << 20))
     picked = known.where(F.pmod(F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit(""))), F.lit(1 << 20)) < share)
 
@@ -88,7 +85,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 [pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(into[at], docs_of[name]), pa.int64())], names=["lang", "bucket", "n"]
             )
 
-    counts = picked.select(F.col("t").cast("binary"), "lang").coalesce(64).mapInArrow(count, "lang string, bucket int, n bigint")
+    counts = picked.select(F.col("t").cast("binary"), "lang").mapInArrow(count, "lang string, bucket int, n bigint")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most languages * (buckets + 1) rows
     langs = sorted(rows["lang"].unique())
     matrix = np.full((buckets, len(langs)), smooth)

@@ -177,10 +177,10 @@ def _batch(fields: dict[str, str], columns: list) -> pa.RecordBatch:
 
 
 def _keyed(docs: DataFrame, text: str, keep: list[str] = ()) -> DataFrame:
-    """128-bit key of each text, the text's bytes and the kept columns (c0, c1, ...)."""
+    """128-bit key of each text, the text's bytes, whether it is null, and the kept columns (c0, c1, ...)."""
     data = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
     kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
-    return docs.select(F.xxhash64(data).alias("k1"), F.xxhash64(F.lit(7), data).alias("k2"), data.alias("data"), *kept)
+    return docs.select(F.xxhash64(data).alias("k1"), F.xxhash64(F.lit(7), data).alias("k2"), data.alias("data"), F.col(f"`{text}`").isNull().alias("none"), *kept)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -415,14 +415,13 @@ def _cut(size: int, spans: list[int] | None, length: int) -> tuple[np.ndarray, n
 def _with_spans(docs: DataFrame, text: str, length: int, keep: list[str], fields: dict[str, str], make) -> DataFrame:
     """Kept columns and those that ``make`` computes from a text (None if null), its runs' starts and ends."""
     spans = repeated_spans(docs, text, length)
-    known = _keyed(docs.withColumn("_null", F.col(f"`{text}`").isNull()), text, [*keep, "_null"])
-    joined = deflated(known).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
+    joined = deflated(_keyed(docs, text, keep)).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
     schema = ", ".join([*[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)], _ddl(fields)])
 
     def run(batches):
         for b in batches:
             out = {k: [] for k in fields}
-            null = b.column(f"c{len(keep)}").to_pylist()
+            null = b.column("none").to_pylist()
             for packed, span, none in zip(b.column("data"), b.column("spans").to_pylist(), null):
                 data = zlib.decompress(packed.as_py())
                 for k, v in zip(fields, make(None if none else data, *_cut(len(data), span, length))):

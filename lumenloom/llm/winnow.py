@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import per_text, prepare
+from lumenloom.llm.common import even_keys, per_text, prepare
 
 K, WINDOW = 16, 64
 _PIECE = 1 << 19
@@ -129,7 +129,8 @@ def _deal(docs: DataFrame, key: str, text: str, parts: int | None = None) -> Dat
     literal = lambda values, kind: F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
     ghosts = placed.where(F.col("key").eqNullSafe(F.get(literal(lows, "bigint"), F.col("run")))).withColumn("run", F.get(literal(before, "int"), F.col("run")))
     both = placed.withColumn("ghost", F.lit(0)).unionByName(ghosts.withColumn("ghost", F.lit(1)))
-    return both.repartition(parts, "run").sortWithinPartitions("run", "ghost", "key", "bytes")
+    even = both.withColumn("run", F.get(literal(even_keys(spark, parts), "int"), F.col("run")))  # one run in each partition
+    return even.repartition(parts, "run").sortWithinPartitions("run", "ghost", "key", "bytes")
 
 
 _COMPARED = {

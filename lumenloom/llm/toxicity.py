@@ -2,10 +2,12 @@
 
 Two words are compared by the subsequences of three characters they share, each
 weighted by ``decay`` to the power of the stretch it covers, so gaps and inserted
-characters lower the likeness but do not end it. A text is described by the best
-likeness of its words to each landmark word; likenesses under ``floor`` count as
-none. Nyström's map turns these into features, on which a linear SVM is trained
-with class weights, and a logistic curve turns its margin into a score.
+characters lower the likeness but do not end it. A text is described by two
+numbers per landmark word: the best likeness of its words, and their mean
+likeness with every repetition counted, on a log scale; likenesses under
+``floor`` count as none. Nyström's map turns both into features, on which a
+linear SVM is trained with class weights, and a logistic curve turns its margin
+into a score.
 
 Landmarks and SVM are fitted on a bounded sample of labelled texts; the model's
 size depends on parameters only and is broadcast. Whole texts are scored without
@@ -21,6 +23,7 @@ carried along or ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,7 +40,9 @@ LONGEST = 15  # a word is compared by pieces of this many characters
 STRETCH = 6  # longest stretch of a subsequence
 FLOOR = 0.5
 DECAY = 0.6
-MEMO = 400_000
+PER = 200.0  # mean likeness m enters as log(1 + PER * m)
+MEMO = 100_000
+BLOCK = 20_000  # words of texts described at once
 
 _ALPHABET = 64
 _SPLIT = re.compile(r"[^\s.,;:!?\"()\[\]{}|]+")
@@ -47,11 +52,11 @@ _TRIPLES = np.array([(i, j, k) for i in range(_WIDE) for j in range(i + 1, _WIDE
 _SPAN = _TRIPLES[:, 2] - _TRIPLES[:, 0] + 1
 
 
-def words_of(text: str) -> set[str]:
+def words_of(text: str) -> Counter[str]:
+    """The words of a text and how often each occurs."""
     text = text.lower()
-    words = set(_SPLIT.findall(text))
-    for m in _APART.finditer(text):
-        words.add(m.group().replace(" ", ""))
+    words = Counter(_SPLIT.findall(text))
+    words.update(m.group().replace(" ", "") for m in _APART.finditer(text))
     return words
 
 
@@ -127,32 +132,63 @@ class Likeness:
 
 
 class Describer:
-    """Best likeness of a text's words to each landmark, with a bounded memo of words."""
+    """Best and mean likeness of a text's words to each landmark, with a bounded memo of words."""
 
     def __init__(self, landmarks: list[str]):
         self.kernel = Likeness(landmarks)
-        self.memo: dict[str, np.ndarray | None] = {}
+        self.memo: dict[str, int] = {}
+        self.known = np.zeros((MEMO + BLOCK, len(landmarks)), np.float32)
 
-    def __call__(self, texts: list[bytes | None]) -> np.ndarray:
-        sets = [words_of((t or b"").decode("utf-8", "replace")) for t in texts]
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Likeness of each word, at most ``BLOCK`` of them: that of its best piece."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = list({w for s in sets for w in s}.difference(self.memo))
-        pieces = [p for w in new for p in _pieces(w)]
-        owner = np.array([i for i, w in enumerate(new) for _ in _pieces(w)], np.int64)
-        if new:
-            found = self.kernel(pieces)
-            hit = np.flatnonzero(found.any(axis=1))
-            self.memo.update(dict.fromkeys(new))
-            for i in hit:
-                w = new[owner[i]]
-                self.memo[w] = found[i] if self.memo[w] is None else np.maximum(self.memo[w], found[i])
-        out = np.zeros((len(texts), len(self.kernel.landmarks)), np.float32)
-        known = self.memo
-        for i, s in enumerate(sets):
-            for row in [r for w in s if (r := known[w]) is not None]:
-                np.maximum(out[i], row, out=out[i])
-        return out
+        new = list(dict.fromkeys(w for w in words if w not in self.memo))
+        pieces = [_pieces(w) for w in new]
+        base = len(self.memo)
+        self.known[base : base + len(new)] = 0
+        owner = np.repeat(np.arange(base, base + len(new)), [len(p) for p in pieces])
+        flat = [p for ps in pieces for p in ps]
+        for at in range(0, len(flat), BLOCK):
+            own = owner[at : at + BLOCK]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            best = np.maximum.reduceat(self.kernel(flat[at : at + BLOCK]), first, axis=0)
+            self.known[own[first]] = np.maximum(self.known[own[first]], best)
+        self.memo.update(zip(new, range(base, base + len(new))))
+        return self.known[[self.memo[w] for w in words]]
+
+    def __call__(self, texts: list[bytes | None]) -> np.ndarray:
+        size = len(self.kernel.landmarks)
+        best, total = np.zeros((len(texts), size), np.float32), np.zeros((len(texts), size), np.float64)
+        counted = np.zeros(len(texts))
+        words: list[str] = []
+        times: list[int] = []
+        owner: list[int] = []
+
+        def settle():
+            if not words:
+                return
+            rows, own = self._rows(words), np.array(owner)
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            best[own[first]] = np.maximum(best[own[first]], np.maximum.reduceat(rows, first, axis=0))
+            total[own[first]] += np.add.reduceat(rows * np.array(times, np.float32)[:, None], first, axis=0)
+            for held in (words, times, owner):
+                held.clear()
+
+        for i, t in enumerate(texts):
+            found = words_of((t or b"").decode("utf-8", "replace"))
+            counted[i] = found.total()
+            kinds, numbers = list(found), list(found.values())
+            while kinds:
+                room = BLOCK - len(words)
+                words += kinds[:room]
+                times += numbers[:room]
+                owner += [i] * len(kinds[:room])
+                kinds, numbers = kinds[room:], numbers[room:]
+                if len(words) >= BLOCK:
+                    settle()
+        settle()
+        return np.hstack((best, np.log1p(PER * total / np.maximum(counted, 1)[:, None])))
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, sample: int) -> DataFrame:
@@ -164,23 +200,33 @@ def _sampled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str
     return known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < share)
 
 
+def _strings(text: bytes | None) -> dict[str, float]:
+    """Possible landmarks in a text, whole words and word beginnings: log(1 + PER * share of its words)."""
+    words = words_of((text or b"").decode("utf-8", "replace"))
+    times: Counter[str] = Counter()
+    for w, n in words.items():
+        for part in {w[:size] for size in STEMS if len(w) > size} | ({w} if 3 <= len(w) <= LONGEST else set()):
+            times[part] += n
+    total = max(1, words.total())
+    return {w: float(np.log1p(PER * n / total)) for w, n in times.items()}
+
+
 def _landmarks(picked: DataFrame, count: int) -> list[str]:
-    """Words and word beginnings that tell toxic texts from others, no two of them alike, found on the sample."""
+    """Words and word beginnings more common in toxic texts than in others, no two of them alike, found on the sample."""
 
     def explode():
         def work(texts):
-            out = []
-            for t in texts:
-                words = words_of((t or b"").decode("utf-8", "replace"))
-                out.append(sorted({w for w in words if 3 <= len(w) <= LONGEST}.union(*({w[:n] for w in words if len(w) > n} for n in STEMS))))
-            return {"words": out}
+            found = [_strings(t) for t in texts]
+            return {"words": [list(f) for f in found], "rates": [list(f.values()) for f in found]}
 
         return work
 
-    words = per_text(picked, "t", explode, {"words": "array<string>"}, ["y"]).select("y", F.explode("words").alias("w"))
-    counts = words.groupBy("w").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n")).where("n >= 5")
+    pairs = per_text(picked, "t", explode, {"words": "array<string>", "rates": "array<double>"}, ["y"]).select("y", F.explode(F.arrays_zip("words", "rates")).alias("p"))
+    counts = pairs.groupBy(F.col("p.words").alias("w")).agg(
+        F.sum(F.col("y") * F.col("p.rates")).alias("bad"), F.sum("p.rates").alias("all"), F.sum(F.col("p.rates") * F.col("p.rates")).alias("squares"), F.count(F.lit(1)).alias("n")
+    ).where("n >= 5")
     share = picked.agg(F.avg("y")).first()[0] or 0.0
-    lift = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
+    lift = F.round((F.col("bad") - F.col("all") * share) / F.sqrt(F.col("squares") * max(share * (1 - share), 1e-9)), 6)
     best = [r["w"] for r in counts.withColumn("z", lift).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), F.desc(F.length("w")), "w").limit(CANDIDATES).collect()]
     chosen: list[str] = []
     if best:
@@ -231,21 +277,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         share = float(picked.agg(F.avg("y")).first()[0] or 0.0)
         if not chosen or share in (0.0, 1.0):
             return {"landmarks": [], "share": share}
-        described = describe(picked, chosen, "t", ["y"]).toPandas()  # sample x landmarks numbers at most
+        described = describe(picked, chosen, "t", ["y"]).toPandas()  # sample x 2 landmarks numbers at most
     finally:
         picked.unpersist()
-    k = np.stack(described["likeness"].to_numpy()).astype(np.float64)
     y = described["y"].to_numpy()
+    return {**train(np.stack(described["likeness"].to_numpy()).astype(np.float64), y, chosen), "share": share}
+
+
+def train(k: np.ndarray, y: np.ndarray, chosen: list[str]) -> dict:
+    """SVM and curve from the descriptions of labelled texts."""
     values, vectors = np.linalg.eigh(Likeness(chosen)(chosen).astype(np.float64) + 1e-6 * np.eye(len(chosen)))
     nystrom = vectors / np.sqrt(np.maximum(values, 0.05))
-    w, bias = _svm(k @ nystrom, y)
-    direction = nystrom @ w  # margin = likenesses @ direction + bias
+    both = np.kron(np.eye(2), nystrom)  # best and mean likeness are mapped alike
+    w, bias = _svm(k @ both, y)
+    direction = both @ w  # margin = description @ direction + bias
     a, b = _curve(k @ direction + bias, y)
-    return {"landmarks": chosen, "direction": direction, "bias": bias, "curve": (a, b), "share": share}
+    return {"landmarks": chosen, "direction": direction, "bias": bias, "curve": (a, b)}
 
 
 def describe(docs: DataFrame, landmarks: list[str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Append likeness: one number per landmark."""
+    """Append likeness: two numbers per landmark."""
     shared = docs.sparkSession.sparkContext.broadcast(landmarks)
 
     def make():

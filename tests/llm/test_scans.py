@@ -256,6 +256,17 @@ def test_toxicity_tolerates_gaps_and_odd_rows(spark):
     assert toxicity.fit(table(spark, []), labels)["share"] == 0.0
 
 
+def test_toxicity_counts_repetitions(spark):
+    rnd = random.Random(6)
+    clean = ["hello", "morning", "garden", "window", "market", "yellow"]
+    text = lambda n: " ".join(rnd.sample([rnd.choice(clean) for _ in range(60 - n)] + ["bomentec"] * n, 60))
+    rows = [(i, text(6 if i % 3 == 0 else i % 2), None, None) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    model = toxicity.fit(table(spark, rows), labels)
+    tests = [(1, text(1), None, None), (2, text(6), None, None), (3, text(0), None, None), (4, text(9), None, None)]
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(table(spark, tests), model).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 def F_length():
     from pyspark.sql import functions as F
 

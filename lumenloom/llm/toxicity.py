@@ -2,12 +2,13 @@
 
 Two words are compared by the subsequences of three characters they share, each
 weighted by ``decay`` to the power of the stretch it covers, so gaps and inserted
-characters lower the likeness but do not end it. A text is described by two
-numbers per landmark word: the best likeness of its words, and their mean
-likeness with every repetition counted, on a log scale; likenesses under
-``floor`` count as none. Nyström's map turns both into features, on which a
-linear SVM is trained with class weights, and a logistic curve turns its margin
-into a score.
+characters lower the likeness but do not end it. Words with punctuation inside
+are also read without it. A text is described by two numbers per landmark word:
+the best likeness of its words, and the mean of the likenesses' third powers
+with every repetition counted, on a log scale. No likeness is cut off; how far
+the best one rises above what untoxic texts have is a number of its own. Nyström's
+map turns these into features, on which a linear SVM is trained with class
+weights, and a logistic curve turns its margin into a score.
 
 Landmarks and SVM are fitted on a bounded sample of labelled texts; the model's
 size depends on parameters only and is broadcast. Whole texts are scored without
@@ -31,14 +32,17 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm.common import per_text, prepare
 
-SAMPLE = 12_000  # expected bound of labelled texts used for fitting
-LANDMARKS = 64
+SAMPLE = 20_000  # expected bound of labelled texts used for fitting
+LANDMARKS = 96
 CANDIDATES = 4_000  # strings considered as landmarks
 EVIDENCE = 6.0  # a landmark's excess among toxic texts, in standard deviations
 STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings that may be landmarks
-LONGEST = 15  # a word is compared by pieces of this many characters
-STRETCH = 6  # longest stretch of a subsequence
-FLOOR = 0.5
+LONGEST = 24  # a word is compared by pieces of this many characters
+STRETCH = 7  # longest stretch of a subsequence
+POWER = 3  # of likenesses before they are averaged
+ABOVE = 0.1  # rise of the best likeness over untoxic texts' that counts in full
+RISE = 2.0  # weight of that rise among the features
+USUAL = 0.95  # share of untoxic texts whose best likeness is no rise
 DECAY = 0.6
 PER = 200.0  # mean likeness m enters as log(1 + PER * m)
 MEMO = 100_000
@@ -46,9 +50,12 @@ BLOCK = 20_000  # words of texts described at once
 
 _ALPHABET = 64
 _SPLIT = re.compile(r"[^\s.,;:!?\"()\[\]{}|]+")
-_APART = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")
+_APART = re.compile(r"(?<!\S)(?:\S[^\w\s]*[ ]{1,3}){2,}\S(?=[^\w\s]*(?!\S))")
+_BROKEN = re.compile(r"(?<![^\W_])[^\W_]++(?:(?:[^\w\s]|_)++[^\W_]++)+")
+_SIGNS = re.compile(r"[\W_]+")
 _WIDE = LONGEST + 1
 _TRIPLES = np.array([(i, j, k) for i in range(_WIDE) for j in range(i + 1, _WIDE) for k in range(j + 1, _WIDE) if k - i < STRETCH])
+_TRIPLES = _TRIPLES[np.argsort(_TRIPLES[:, 2], kind="stable")]  # those of a short word come first
 _SPAN = _TRIPLES[:, 2] - _TRIPLES[:, 0] + 1
 
 
@@ -56,7 +63,10 @@ def words_of(text: str) -> Counter[str]:
     """The words of a text and how often each occurs."""
     text = text.lower()
     words = Counter(_SPLIT.findall(text))
-    words.update(m.group().replace(" ", "") for m in _APART.finditer(text))
+    for m in _APART.finditer(text):
+        words[_SIGNS.sub("", m.group()) or m.group().replace(" ", "")] += 1
+    for m in _BROKEN.finditer(text):
+        words[_SIGNS.sub("", m.group())] += 1
     return words
 
 
@@ -78,20 +88,24 @@ def _letters(words: list[str]) -> np.ndarray:
 
 def _subsequences(words: list[str]):
     """(codes, weights) of the 3-character subsequences of each word; code 0 where there is none."""
-    c = _letters(words)
-    codes = (c[:, _TRIPLES[:, 0]] * _ALPHABET + c[:, _TRIPLES[:, 1]]) * _ALPHABET + c[:, _TRIPLES[:, 2]]
-    return np.where(c[:, _TRIPLES[:, 2]] == 0, 0, codes), (DECAY**_SPAN).astype(np.float32)
+    size = int(np.searchsorted(_TRIPLES[:, 2], max(map(len, words), default=0), "right"))
+    (i, j, k), c = _TRIPLES[:size].T, _letters(words)
+    codes = (c[:, i] * _ALPHABET + c[:, j]) * _ALPHABET + c[:, k]
+    return np.where(c[:, k] == 0, 0, codes), (DECAY ** _SPAN[:size]).astype(np.float32)
 
 
 def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Length of each word's vector of subsequence weights."""
-    order = np.argsort(codes, axis=1, kind="stable")
-    sorted_codes, w = np.take_along_axis(codes, order, 1), np.where(np.take_along_axis(codes, order, 1) > 0, weights[order], 0)
-    sums = np.cumsum(w, axis=1)
-    last = np.concatenate((sorted_codes[:, 1:] != sorted_codes[:, :-1], np.ones((len(codes), 1), bool)), axis=1)
-    ends = np.where(last, sums, 0)
-    before = np.maximum.accumulate(np.concatenate((np.zeros((len(codes), 1), ends.dtype), ends[:, :-1]), axis=1), axis=1)
-    return np.sqrt((np.where(last, sums - before, 0) ** 2).sum(axis=1))
+    if codes.shape[1] == 0:
+        return np.zeros(len(codes))
+    packed = np.sort(codes.astype(np.uint32) << np.uint32(12) | np.arange(codes.shape[1], dtype=np.uint32), axis=1)
+    sorted_codes = packed >> np.uint32(12)
+    w = np.where(sorted_codes > 0, weights[packed & np.uint32(4095)], 0).ravel()
+    fresh = np.ones(packed.shape, bool)
+    fresh[:, 1:] = sorted_codes[:, 1:] != sorted_codes[:, :-1]
+    first = np.flatnonzero(fresh)
+    sums = np.add.reduceat(w, first)
+    return np.sqrt(np.bincount(first // packed.shape[1], sums * sums, len(codes)))
 
 
 class Likeness:
@@ -109,25 +123,21 @@ class Likeness:
         self.table[0] = 0
         length = np.sqrt((self.table**2).sum(axis=0))
         self.table /= np.where(length > 0, length, 1)
-        self.most = self.table.max(axis=1) if landmarks else self.table.sum(axis=1)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for at in range(0, len(words), 2048):
-            codes, weights = _subsequences(words[at : at + 2048])
+        order = np.argsort([len(w) for w in words], kind="stable")
+        for at in range(0, len(words), 1024):
+            some = order[at : at + 1024]
+            codes, weights = _subsequences([words[i] for i in some])
             features = self.feature[codes]
-            # no landmark can be nearer than this, since a word's length is at least that of its single weights
-            bound = self.most[features] @ weights / np.sqrt(np.maximum((codes > 0) @ (weights * weights), 1e-12))
-            near = np.flatnonzero(bound >= FLOOR)
-            if len(near) == 0:
-                continue
-            features, codes = features[near], codes[near]
             rows, cols = np.nonzero(features)
+            if len(rows) == 0:
+                continue
             part = self.table[features[rows, cols]] * weights[cols, None]
             first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
             own = rows[first]
-            out[at + near[own]] = np.add.reduceat(part, first) / np.maximum(_norms(codes[own], weights), 1e-6)[:, None]
-        out[out < FLOOR] = 0
+            out[some[own]] = np.add.reduceat(part, first) / np.maximum(_norms(codes[own], weights), 1e-6)[:, None]
         return out
 
 
@@ -171,7 +181,7 @@ class Describer:
             rows, own = self._rows(words), np.array(owner)
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             best[own[first]] = np.maximum(best[own[first]], np.maximum.reduceat(rows, first, axis=0))
-            total[own[first]] += np.add.reduceat(rows * np.array(times, np.float32)[:, None], first, axis=0)
+            total[own[first]] += np.add.reduceat(rows**POWER * np.array(times, np.float32)[:, None], first, axis=0)
             for held in (words, times, owner):
                 held.clear()
 
@@ -238,7 +248,7 @@ def _landmarks(picked: DataFrame, count: int) -> list[str]:
     return chosen
 
 
-def _svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-2, steps: int = 400) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM with class weights, by accelerated gradient steps."""
     signs = np.where(y > 0, 1.0, -1.0)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
@@ -284,15 +294,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return {**train(np.stack(described["likeness"].to_numpy()).astype(np.float64), y, chosen), "share": share}
 
 
+def _parts(k: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """A description with the rise of the best likeness over the usual one."""
+    return np.hstack((k, RISE * np.clip((k[:, : len(usual)] - usual) / ABOVE, 0, 1)))
+
+
 def train(k: np.ndarray, y: np.ndarray, chosen: list[str]) -> dict:
     """SVM and curve from the descriptions of labelled texts."""
+    usual = np.quantile(k[y <= 0, : len(chosen)], USUAL, axis=0)
+    k = _parts(k, usual)
     values, vectors = np.linalg.eigh(Likeness(chosen)(chosen).astype(np.float64) + 1e-6 * np.eye(len(chosen)))
     nystrom = vectors / np.sqrt(np.maximum(values, 0.05))
-    both = np.kron(np.eye(2), nystrom)  # best and mean likeness are mapped alike
-    w, bias = _svm(k @ both, y)
-    direction = both @ w  # margin = description @ direction + bias
+    mapped = np.kron(np.eye(3), nystrom)  # all three parts are mapped alike
+    w, bias = _svm(k @ mapped, y)
+    direction = mapped @ w  # margin = description @ direction + bias
     a, b = _curve(k @ direction + bias, y)
-    return {"landmarks": chosen, "direction": direction, "bias": bias, "curve": (a, b)}
+    return {"landmarks": chosen, "direction": direction, "bias": bias, "curve": (a, b), "usual": usual}
 
 
 def describe(docs: DataFrame, landmarks: list[str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -322,7 +339,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | No
 
         def work(texts):
             if m["landmarks"]:
-                margin = _DESCRIBERS[key](texts) @ m["direction"] + m["bias"]
+                margin = _parts(_DESCRIBERS[key](texts), m["usual"]) @ m["direction"] + m["bias"]
                 a, b = m["curve"]
                 value = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
             else:

@@ -267,6 +267,21 @@ def test_toxicity_counts_repetitions(spark):
     assert {r["doc_id"]: r["predicted"] for r in toxicity.score(table(spark, tests), model).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
 
 
+HIDDEN = ["i*d*i*o*t", "i*d*iot", "id.iot", "i.d.i.o.t", "id!iot", "i|d|iot", "i d  i o t", "i. d. i. o. t.", "st!upid", "stu--pid", "s*t*upid", "mo.r|on", "m*ron", "idxxiot", "ixdixot", "stuyypid", "sxtuypid"]
+PLAIN = ["well.known", "e.g.", "a b c d", "garden|window", "mor-ning", "3.14", "market!yellow", "https://www.example.org/window", "moment"]
+
+
+def test_toxicity_sees_through_several_insertions(spark):
+    rnd = random.Random(8)
+    clean = ["hello", "morning", "garden", "window", "market", "yellow"]
+    rows = [(i, " ".join(rnd.choice(clean) for _ in range(12)) + (" " + rnd.choice(["idiot", "stupid", "moron"]) if i % 3 == 0 else ""), None, None) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    model = toxicity.fit(table(spark, rows), labels)
+    tests = [(i, f"garden {w} window", None, None) for i, w in enumerate(HIDDEN + PLAIN)]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(table(spark, tests), model).collect()}
+    assert [w for i, w in enumerate(HIDDEN) if not got[i]] == [] and [w for i, w in enumerate(PLAIN, len(HIDDEN)) if got[i]] == []
+
+
 def F_length():
     from pyspark.sql import functions as F
 

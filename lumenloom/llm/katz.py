@@ -14,7 +14,7 @@ and each context add up to, still in terms of the discounts (they depend on all
 slices), and the pairs that were not learned. Discounts then turn the context
 table into backoff weights, which are joined to the unlearned pairs only: the
 count of a word as a context is its own count, so learned pairs need no join.
-Tokens that are frequent (found on a sixteenth of the texts, counted on all) are
+Tokens that are frequent (found and counted on all texts) are
 dealt out by the word before as well; which ones does not change any result.
 
 Defined cases: null texts count as empty, and an empty text is one end token;
@@ -48,7 +48,6 @@ _U = np.uint64
 _MASK = _U((1 << 48) - 1)
 _M = _U(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
-_UPPER_TEXT, _LOWER_TEXT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 END = 0xE0D0E0D0E0D0E0D1  # token hash of the end
 START = 0x57A757A757A7  # context hash of the beginning
 
@@ -100,12 +99,31 @@ def _table(kind: int, size: int, **columns) -> pa.RecordBatch:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Hashes of tokens to deal out further: those with a share of at least ``FREQUENT`` in a sixteenth of the texts."""
-    some = docs.where(F.pmod(F.xxhash64("data"), F.lit(16)) == 0).select(F.explode(F.split(F.translate(F.col("data").cast("string"), _UPPER_TEXT, _LOWER_TEXT), r"[\x20\x09-\x0D]+")).alias("w"))
-    counts = some.where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.where(F.col("n") >= max(2.0, total * FREQUENT)).orderBy(F.desc("n")).limit(int(1 / FREQUENT)).collect()
-    return np.unique(np.array([word_hash(r["w"].encode()) for r in top] + [END], np.uint64))
+    """Hashes of tokens to deal out further: all with a share of at least ``FREQUENT`` of the tokens of all texts.
+
+    A batch names the tokens with half that share in it. What it leaves out of a
+    token is less than half of ``FREQUENT`` of its own tokens, so the sums of a
+    token frequent in all texts reach the other half.
+    """
+
+    def run(batches):
+        for b in batches:
+            words: Counter = Counter()
+            for data in b.column("data"):
+                words.update(w for w in data.as_py().translate(_LOWER).split(b" ") if w)
+            size = words.total()
+            top = [(word_hash(w), n) for w, n in words.items() if n >= size * FREQUENT / 2]
+            hashes = np.array([0, *(h for h, _ in top)], np.uint64).view(np.int64)  # a row with no hash for the batch's size
+            numbers = pa.array([size, *(n for _, n in top)], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, mask=np.arange(len(hashes)) == 0), numbers], names=["h", "n"])
+
+    counts = docs.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).persist()
+    try:
+        total = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
+        rows = counts.where(F.col("h").isNotNull() & (F.col("n") >= max(2.0, total * FREQUENT / 2))).collect()  # at most 2 / FREQUENT
+    finally:
+        counts.unpersist()
+    return np.unique(np.array([r["h"] & ((1 << 64) - 1) for r in rows] + [END], np.uint64))
 
 
 def _count_frequent(docs: DataFrame, frequent: np.ndarray) -> dict[int, int]:
@@ -124,7 +142,7 @@ def _count_frequent(docs: DataFrame, frequent: np.ndarray) -> dict[int, int]:
                             total[h] += n
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), np.uint64).view(np.int64)), pa.array(list(total.values()), pa.int64())], names=["h", "n"])
 
-    rows = docs.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).collect()  # at most 1 / FREQUENT + 1 rows
+    rows = docs.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).collect()  # at most 2 / FREQUENT + 1 rows
     return {r["h"] & ((1 << 64) - 1): r["n"] for r in rows}
 
 

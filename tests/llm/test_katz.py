@@ -112,3 +112,11 @@ def test_query_on_tables(spark):
     check(rows, docs, lambda k: zlib.crc32(str(k).encode()) % 7 != 2)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_tokens_frequent_only_through_copies_are_found(spark):
+    junk = [f"junk{i} " * 40 for i in range(20)]  # each text copied, so all its copies have one hash
+    rows = [(100 * j + i, t) for j, t in enumerate(junk) for i in range(20)] + [(5000 + i, f"rare{i} other{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("cast(text AS binary) AS data", "true AS train")
+    found = set(katz._frequent(docs.repartition(7)).tolist())
+    assert {katz.word_hash(b"junk%d" % i) for i in range(20)} <= found and katz.word_hash(b"rare5") not in found

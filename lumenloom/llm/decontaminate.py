@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,11 +140,8 @@ def scan_documents(
     return per_text(docs, text, make, _FIELDS, keep)
 
 
-def _scan_by_join(docs: DataFrame, known: DataFrame, text: str, width: int, keep: list[str] | None) -> DataFrame:
-    """The same columns for a benchmark beyond the broadcast bound."""
-    names = [c for c in (docs.columns if keep is None else keep) if c not in _FIELDS]
-    base = cut_lineage(docs.select(*names, F.col(text).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row")))
-    words = base.select("_row", _words(F.col("_text")).alias("w"))
+def _hits_by_join(words: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """(_row, at, n, item_ids) of every window found in the words of a row."""
     spots = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.lit(width)),
@@ -155,7 +153,15 @@ def _scan_by_join(docs: DataFrame, known: DataFrame, text: str, width: int, keep
     lengths = {r["n"] for r in known.select(F.size("window").alias("n")).distinct().collect()}  # at most ``width`` values
     each = words.withColumn("s", F.explode(F.filter(spots, lambda s: s["n"].isin(*lengths) if lengths else F.lit(False))))
     each = each.select("_row", F.col("s.at").alias("at"), F.col("s.n").alias("n"), F.expr("slice(w, s.at, s.n)").alias("window"))
-    hits = each.join(known, "window").select("_row", "at", "n", "item_ids")
+    return each.join(known, "window").select("_row", "at", "n", "item_ids")
+
+
+def _scan_by_join(docs: DataFrame, known: DataFrame, text: str, width: int, keep: list[str] | None) -> DataFrame:
+    """The same columns for a benchmark beyond the broadcast bound."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in _FIELDS]
+    base = cut_lineage(docs.select(*names, F.col(text).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row")))
+    words = base.select("_row", _words(F.col("_text")).alias("w"))
+    hits = _hits_by_join(words, known, width)
     marked = hits.select("_row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("p")).distinct().groupBy("_row").agg(F.count("p").alias("n_hit"))
     listed = hits.select("_row", F.explode("item_ids").alias("i")).distinct().groupBy("_row").agg(F.sort_array(F.collect_list("i")).alias("ids"))
     out = base.join(words.select("_row", F.size("w").cast("bigint").alias("n_words")), "_row").join(marked, "_row", "left").join(listed, "_row", "left")
@@ -181,11 +187,13 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", *
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """All documents, with the hit words (and the gaps inside a run of them) cut out of ``text``.
 
-    Only for benchmarks within ``max_windows``; a null text stays null.
+    A null text stays null.
     """
-    rows = windows(items, item, item_text, width).limit(max_windows + 1).collect()
+    prepare(docs.sparkSession)
+    known = windows(items, item, item_text, width)
+    rows = known.limit(max_windows + 1).collect()
     if len(rows) > max_windows:
-        raise ValueError(f"over {max_windows} windows: raise max_windows or use remove_contaminated")
+        return _cut_by_join(docs, known, text, width)
     shared = docs.sparkSession.sparkContext.broadcast([(r["window"], r["item_ids"]) for r in rows])
 
     def make():
@@ -199,6 +207,33 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     return per_text(docs, text, make, {text: "string"}).select(*docs.columns)
 
 
+def _cut_by_join(docs: DataFrame, known: DataFrame, text: str, width: int) -> DataFrame:
+    """The same for a benchmark beyond the broadcast bound."""
+    names = docs.columns
+    own = f"_c{names.index(text)}"
+    base = cut_lineage(docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("_row")))
+    base = base.withColumn(own, F.col(own).cast("string"))
+    hits = _hits_by_join(base.select("_row", _words(F.col(own)).alias("w")), known, width)
+    places = hits.select("_row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("p")).groupBy("_row").agg(F.collect_set("p").alias("places"))
+    at = len(names)
+
+    def run(batches):
+        for b in batches:
+            column = names.index(text)
+            new = []
+            for t, found in zip(b.column(column).to_pylist(), b.column(at).to_pylist()):
+                if t is not None and found:
+                    hit = np.zeros(max(found), bool)
+                    hit[np.array(found) - 1] = True
+                    t = _cut(t.encode(), hit).decode("utf-8", "ignore")
+                new.append(t)
+            kept = [pa.array(new, pa.string()) if i == column else c for i, c in enumerate(b.columns[:at])]
+            yield pa.RecordBatch.from_arrays(kept, names=[f"_c{i}" for i in range(at)])
+
+    joined = base.join(places, "_row", "left").select(*[f"_c{i}" for i in range(at)], "places")
+    return joined.mapInArrow(run, joined.drop("places").schema).toDF(*names)
+
+
 def _cut(data: bytes, hit: np.ndarray) -> bytes:
     if not hit.any():
         return data

@@ -222,6 +222,16 @@ def test_decontamination_both_ways(spark):
     assert decontaminate.scan_documents(df.where("false"), bench).count() == 0
 
 
+def test_spans_are_cut_both_ways(spark):
+    rnd = random.Random(7)
+    vocab = ["a", "B", "c", "É", "e9", "日本"]
+    items = spark.createDataFrame([(i, " ".join(rnd.choice(vocab) for _ in range(rnd.choice((1, 3, 10, 12))))) for i in range(12)], "item_id bigint, text string").where("text not in ('a', 'c')")
+    docs = table(spark, [(i, " ".join(rnd.choice(vocab) + rnd.choice(("", ".", "!?")) for _ in range(40)), "s", None) for i in range(30)] + ODD)
+    cut, joined = (decontaminate.remove_spans(docs, items, max_windows=most) for most in (1000, 0))
+    assert joined.columns == docs.columns and sorted(map(str, cut.collect())) == sorted(map(str, joined.collect()))
+    assert sorted(map(str, cut.collect())) != sorted(map(str, docs.collect()))
+
+
 def test_words_of_a_long_text(monkeypatch):
     text = ("Wörd one2 " * 300).encode()
     want = text.translate(decontaminate._TABLE).split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import bpe, chat, decontaminate, jaccard_join, katz, langid, suffix_dedup, toxicity, url_filter, winnow
+from lumenloom.llm import bpe, chat, collocations, decontaminate, jaccard_join, katz, langid, suffix_dedup, toxicity, url_filter, winnow
 from lumenloom.llm.common import fold
 
 
@@ -257,6 +257,36 @@ FROM e GROUP BY conv_id
 """
 
 
+# --- 13: phrase collocations -----------------------------------------------------------
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, s.n, array_to_string(w[i : i + s.n - 1], ' ') AS gram
+  FROM (SELECT lang, w, s, unnest(range(1, len(w) - s.n + 2)) AS i FROM w, (SELECT unnest(range(1, 4)) AS n) s WHERE len(w) >= s.n)
+), f AS (SELECT lang, n, gram, count(*) AS f FROM g GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE n = 1 GROUP BY 1
+), c AS (SELECT lang, n AS size, gram, string_split(gram, ' ') AS w, f AS a FROM f WHERE n >= 2 AND f >= 10
+), inner2 AS (
+  SELECT lang, gram, max(a) AS around FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS gram FROM c WHERE size = 3) GROUP BY ALL
+), kept AS (SELECT c.* FROM c LEFT JOIN inner2 i USING (lang, gram) WHERE i.around IS NULL OR 100 * i.around < 50 * a
+), cuts AS (
+  SELECT lang, gram, a, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 :], ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)
+), s AS (
+  SELECT cuts.*, fl.f AS l, fr.f AS r, (1000000::HUGEINT * a * a) // (fl.f::HUGEINT * fr.f) AS score
+  FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.gram = x JOIN f fr ON fr.lang = cuts.lang AND fr.gram = y
+), low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank FROM low)
+SELECT lang, rank, gram AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, tuple] = {
     "op1_suffix_dedup": (op1_suffix_dedup, OP1_SQL),
     "op2_url_filter": (op2_url_filter, OP2_SQL),
@@ -268,6 +298,7 @@ QUERIES: dict[str, tuple] = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_language_id": (op9_language_id, None),
     "op10_chat": (op10_chat, OP10_SQL),
+    "op13_collocations": (op13_collocations, OP13_SQL),
 }
 
 

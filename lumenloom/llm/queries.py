@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import bpe, chat, collocations, decontaminate, jaccard_join, katz, langid, suffix_dedup, toxicity, url_filter, winnow
+from lumenloom.llm import bpe, chat, collocations, decontaminate, jaccard_join, katz, langid, lexical_search, suffix_dedup, toxicity, url_filter, winnow
 from lumenloom.llm.common import fold
 
 
@@ -257,6 +257,30 @@ FROM e GROUP BY conv_id
 """
 
 
+# --- 12: ranked lexical search ---------------------------------------------------------
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, row_number() OVER () AS q,
+         unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS t FROM benchmark
+), g AS (SELECT count(*) AS total, sum(len(w))::BIGINT AS length FROM d WHERE len(w) > 0
+), tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL
+), w AS (SELECT t, floor(1000 * ln((2 * total + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY t, total
+), m AS (SELECT r, doc_id, 10 + (90 * len(w) * total) // length AS m FROM d, g
+), s AS (
+  SELECT q, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM i JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 10
+"""
+
+
 # --- 13: phrase collocations -----------------------------------------------------------
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
@@ -298,6 +322,7 @@ QUERIES: dict[str, tuple] = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_language_id": (op9_language_id, None),
     "op10_chat": (op10_chat, OP10_SQL),
+    "op12_lexical_search": (op12_lexical_search, OP12_SQL),
     "op13_collocations": (op13_collocations, OP13_SQL),
 }
 

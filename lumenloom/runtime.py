@@ -53,15 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` (with the given Parquet options) to the shared checkpoint folder and read it back.
 
     The table survives lost executors, and unlike an RDD checkpoint it keeps
     column pruning and gives the planner true sizes.
     """
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/frozen-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lumenloom.llm.common import cut_lineage, prepare
 
 #: a trigger comes about once in so many tokens; more makes longer, rarer chunks
-EVERY = 24
+EVERY = 48
 LONGEST = 4096
 UNKNOWN = "und"
 _BLOCK = 1 << 20
@@ -46,6 +46,9 @@ _MEMO = 400_000
 _HOT = 1000  # a part with over 1/1000 of all words is looked up by broadcast; there are at most 1000 per length
 _SALTS = 64
 
+_SLOTS = 1 << 21  # 64 bits each: 16 MB
+_NAMES = ["lang", "gram", "f"]
+
 _STOP = b"."
 #: A-Z lower-cased, piece ends become ".", blanks and tabs one blank; other bytes stay
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c in b" \t" else c for c in range(256))
@@ -140,7 +143,19 @@ def ngrams(chunks: DataFrame, max_n: int = 3, at_least: int = 1) -> DataFrame:
     """(lang, gram, f) of all n-grams of 1 to ``max_n`` words with f >= ``at_least``.
 
     The empty gram counts all words of a language, whatever ``at_least``.
+    Beyond two words an n-gram is counted only if both n-grams one word shorter
+    inside it may be frequent (none that is left out can be): a bit filter of
+    fixed size tells, which errs only by letting some more through.
     """
+    found = cut_lineage(_counted(chunks, max_n - 1, range(1, min(max_n, 2) + 1), None, at_least))
+    for n in range(3, max_n + 1):
+        bits = _frequent(found.where(F.size(F.split("gram", " ")) == n - 1))
+        found = found.unionByName(cut_lineage(_counted(chunks, max_n - 1, range(n, n + 1), bits, at_least)))
+    return found
+
+
+def _counted(chunks: DataFrame, overlap: int, sizes: range, bits: np.ndarray | None, at_least: int) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -150,48 +165,92 @@ def ngrams(chunks: DataFrame, max_n: int = 3, at_least: int = 1) -> DataFrame:
                 held.append((language, tokens, freq))
                 size += len(tokens)
                 if size >= _TOKENS:
-                    yield from _count(held, max_n)
+                    yield from _count(held, overlap, sizes, shared.value)
                     held, size = [], 0
-        yield from _count(held, max_n)
+        yield from _count(held, overlap, sizes, shared.value)
 
     each = chunks.select("lang", "chunk", "freq").mapInArrow(run, "lang string, gram string, f bigint")
     return each.groupBy("lang", "gram").agg(F.sum("f").alias("f")).where((F.col("f") >= at_least) | (F.col("gram") == ""))
 
 
-def _count(held: list[tuple[str, list[str], int]], max_n: int) -> Iterator[pa.RecordBatch]:
+def _mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase with one more word."""
+    h = (h + word) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
+
+
+def _bits(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The filter's places of a phrase: (slot, mask) each."""
+    places = [h % np.uint64(64 * _SLOTS), (h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(37)]
+    return [((x // np.uint64(64)).astype(np.int64), np.uint64(1) << x % np.uint64(64)) for x in places]
+
+
+def _frequent(grams: DataFrame) -> np.ndarray:
+    """Bit filter of the given phrases; at most _SLOTS rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.uint64)
+            for i, (language, gram) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                h = np.array([xxhash.xxh3_64_intdigest(language)], np.uint64)
+                for w in gram.split(" "):
+                    h = _mix(h, np.uint64(xxhash.xxh3_64_intdigest(w)))
+                out[i] = h[0]
+            for slot, mask in _bits(out):
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(mask.astype(np.int64))], names=["slot", "mask"])
+
+    rows = grams.select("lang", "gram").mapInArrow(run, "slot bigint, mask bigint").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    bits = np.zeros(_SLOTS, np.uint64)
+    bits[rows.column("slot").to_numpy()] = rows.column("mask").to_numpy().astype(np.uint64)
+    return bits
+
+
+def _count(held: list[tuple[str, list[str], int]], overlap: int, sizes: range, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """N-grams that begin in the chunks' own parts, summed with the chunks' frequencies."""
     if not held:
         return
     vocabulary: dict[str, int] = {".": 0}
     code = vocabulary.setdefault
     word = np.array([code(t, len(vocabulary)) for _, tokens, _ in held for t in tokens], np.int64)
-    sizes = np.array([len(tokens) for _, tokens, _ in held])
-    weight = np.repeat(np.array([freq for _, _, freq in held], np.int64), sizes)
+    lengths = np.array([len(tokens) for _, tokens, _ in held])
+    weight = np.repeat(np.array([freq for _, _, freq in held], np.int64), lengths)
     languages: dict[str, int] = {}
-    lang = np.repeat(np.array([languages.setdefault(x, len(languages)) for x, _, _ in held], np.int64), sizes)
+    lang = np.repeat(np.array([languages.setdefault(x, len(languages)) for x, _, _ in held], np.int64), lengths)
     own = np.ones(len(word), bool)
-    for back in range(1, max_n):
-        own[np.cumsum(sizes) - back] = False
+    for back in range(1, overlap + 1):
+        own[np.cumsum(lengths) - back] = False
     at = np.flatnonzero(own & (word != 0))
     words, names = pa.array(list(vocabulary), pa.string()), pa.array(list(languages), pa.string())
-    totals = np.zeros(len(languages), np.int64)
-    np.add.at(totals, lang[at], weight[at])
-    yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(totals), pa.string()), pa.array(totals)], names=["lang", "gram", "f"])
+    if bits is None:
+        totals = np.zeros(len(languages), np.int64)
+        np.add.at(totals, lang[at], weight[at])
+        yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(totals), pa.string()), pa.array(totals)], names=_NAMES)
+    else:
+        for k in range(1, sizes[0]):
+            at = at[word[at + k] != 0]
+        spread = np.array([xxhash.xxh3_64_intdigest(t) for t in vocabulary], np.uint64)
+        start = np.array([xxhash.xxh3_64_intdigest(t) for t in languages], np.uint64)
+        for shift in (0, 1):
+            h = start[lang[at]]
+            for k in range(sizes[0] - 1):
+                h = _mix(h, spread[word[at + shift + k]])
+            at = at[np.logical_and.reduce([bits[slot] & mask != 0 for slot, mask in _bits(h)])]
 
     key = lang[at]  # grows by one word at a time, kept dense so that it fits 64 bits
-    for n in range(max_n):
-        if n:
-            inside = word[at + n] != 0
-            at, key = at[inside], key[inside]
+    for n in range(1, sizes[-1] + 1):
+        inside = word[at + n - 1] != 0
+        at, key = at[inside], key[inside]
         if not len(at):
             return
-        _, first, key = np.unique(key * len(vocabulary) + word[at + n], return_index=True, return_inverse=True)
+        _, first, key = np.unique(key * len(vocabulary) + word[at + n - 1], return_index=True, return_inverse=True)
+        if n not in sizes:
+            continue
         sums = np.zeros(len(first), np.int64)
         np.add.at(sums, key, weight[at])
         gram = words.take(pa.array(word[at[first]]))
-        for k in range(1, n + 1):
+        for k in range(1, n):
             gram = pc.binary_join_element_wise(gram, words.take(pa.array(word[at[first] + k])), " ")
-        rows = pa.RecordBatch.from_arrays([names.take(pa.array(lang[at[first]])), gram, pa.array(sums)], names=["lang", "gram", "f"])
+        rows = pa.RecordBatch.from_arrays([names.take(pa.array(lang[at[first]])), gram, pa.array(sums)], names=_NAMES)
         yield from (rows.slice(i, 50_000) for i in range(0, rows.num_rows, 50_000))
 
 
@@ -215,7 +274,7 @@ def collocations(
     words. A phrase goes when a longer one that holds it has ``covered`` percent
     of its count or more.
     """
-    counts = cut_lineage(ngrams(dictionary(docs, text, lang, max_n), max_n, at_least))
+    counts = ngrams(cut_lineage(dictionary(docs, text, lang, max_n), compression="zstd"), max_n, at_least)
     totals = counts.where("gram = ''").select("lang", F.col("f").alias("n"))
     total = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
     counts = counts.where("gram <> ''")

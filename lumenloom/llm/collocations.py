@@ -6,7 +6,8 @@ overlap by just that window and equal passages give equal chunks wherever they
 stand. The dictionary of distinct chunks carries how often each occurs in the
 parse. N-grams are then counted inside the distinct chunks, weighted by that
 frequency; an n-gram belongs to the chunk in whose own part (all but the
-closing window) it begins, so the overlap is counted once.
+closing window) it begins, so the overlap is counted once. Phrases beyond two
+words are counted only where both shorter phrases inside them may be frequent.
 
 Texts are lower-cased (A-Z only), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and
 those at blanks and tabs into words; no phrase crosses a piece. All counts are
@@ -264,6 +265,12 @@ def _look_up(df: DataFrame, part: str, counts: DataFrame, total: int, out: str)
     return tried.where(F.col(out).isNotNull()).select(*names).unionByName(tried.where(F.col(out).isNull()).drop(out).join(cold, ["lang", part]).select(*names))
 
 
+def _scores(cuts: DataFrame) -> DataFrame:
+    """Add floor(1000000 f f / (l r)) in 38-digit integers, which hold it for counts below 10^16; beyond, Spark raises."""
+    wide = {f"{c}19": F.col(c).cast("decimal(19,0)") for c in ("f", "l", "r")}
+    return cuts.withColumns(wide).withColumn("score", F.expr("bigint((1000000BD * f19 * f19) div (l19 * r19))")).drop(*wide)
+
+
 def collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", min_n: int = 2, max_n: int = 3, at_least: int = 10, covered: int = 50, top: int = 2000
 ) -> DataFrame:
@@ -291,9 +298,7 @@ def collocations(
     cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     cuts = cuts.withColumns({"first": F.expr("array_join(slice(split(gram, ' '), 1, k), ' ')"), "rest": F.expr("array_join(slice(split(gram, ' '), k + 1, size), ' ')")})
     cuts = _look_up(_look_up(cuts, "first", counts, total, "l"), "rest", counts, total, "r")
-    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("f", "l", "r")}  # a product of two fits 38 digits
-    score = F.expr("bigint((1000000BD * a19 * a19) div (l19 * r19))")
-    cuts = cuts.withColumns({"a19": wide["f"], "l19": wide["l"], "r19": wide["r"]}).withColumn("score", score)
+    cuts = _scores(cuts)
     lowest = cuts.groupBy("lang", "gram").agg(F.min(F.struct("score", "k", "l", "r", "f")).alias("m"))
     scored = lowest.select("lang", F.col("gram").alias("phrase"), F.col("m.f").alias("a"), "m.l", "m.r", "m.score")
 

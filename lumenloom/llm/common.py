@@ -55,11 +55,9 @@ def per_text(
     """
     prepare(docs.sparkSession)
     names = [c for c in (docs.columns if keep is None else keep) if c not in fields]
-    own = "_bytes"
-    while own in names:
-        own += "_"
-    narrow = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").cast("binary").alias(own))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]], *[f"`{k}` {v}" for k, v in fields.items()]])
+    plain = [f"c{i}" for i in range(len(names))]  # any name is fine inside, dots and helpers' names included
+    narrow = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain)], F.col(f"`{text}`").cast("string").cast("binary").alias("bytes"))
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]], *[f"n{i} {v}" for i, v in enumerate(fields.values())]])
     kinds = {k: ARROW[v] for k, v in fields.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,10 +65,10 @@ def per_text(
         for batch in batches:
             new = work(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *[pa.array(new[k], kinds[k]) for k in kinds]], names=[*names, *kinds]
+                [*batch.columns[:-1], *[pa.array(new[k], kinds[k]) for k in kinds]], names=[*plain, *[f"n{i}" for i in range(len(kinds))]]
             )
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).toDF(*names, *fields)
 
 
 def deflated(df: DataFrame, column: str = "data") -> DataFrame:

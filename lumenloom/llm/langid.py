@@ -104,8 +104,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 def predict(docs: DataFrame, model, text: str = "text", keep: list[str] | None = None, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """Append lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "_letter")]
-    marked = docs.withColumn("_letter", has_letter(F.col(text)))
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    letter = "_letter"
+    while letter in docs.columns:
+        letter += "_"
+    marked = docs.withColumn(letter, has_letter(F.col(f"`{text}`")))
 
     def make():
         langs, matrix, priors = shared.value
@@ -129,11 +132,11 @@ def predict(docs: DataFrame, model, text: str = "text", keep: list[str] | None =
 
         return work
 
-    out = per_text(marked, text, make, {"lang_pred": "string", "score": "double"}, [*names, "_letter"])
+    out = per_text(marked, text, make, {"lang_pred": "string", "score": "double"}, [*names, letter])
     return out.select(
-        *names,
-        F.when(F.col("_letter"), F.col("lang_pred")).otherwise("und").alias("lang_pred"),
-        F.when(F.col("_letter"), F.col("score")).otherwise(0.0).alias("score"),
+        *[F.col(f"`{c}`") for c in names],
+        F.when(F.col(letter), F.col("lang_pred")).otherwise("und").alias("lang_pred"),
+        F.when(F.col(letter), F.col("score")).otherwise(0.0).alias("score"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import bpe, chat, collocations, decontaminate, jaccard_join, katz, langid, lexical_search, suffix_dedup, toxicity, url_filter, winnow
+from lumenloom.llm import bpe, chat, collocations, decontaminate, jaccard_join, katz, langid, lexical_search, suffix_dedup, toxicity, url_filter, winnow, word_bpe
 from lumenloom.llm.common import fold
 
 
@@ -257,6 +257,14 @@ FROM e GROUP BY conv_id
 """
 
 
+# --- 11: BPE with word ends ------------------------------------------------------------
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    spec = word_bpe.read_spec(spark, public_tokenizers.path("word_bpe_49k.json"))
+    return word_bpe.encode_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), spec, keep=["doc_id"], digests=True)
+
+
 # --- 12: ranked lexical search ---------------------------------------------------------
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
@@ -322,6 +330,7 @@ QUERIES: dict[str, tuple] = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_language_id": (op9_language_id, None),
     "op10_chat": (op10_chat, OP10_SQL),
+    "op11_word_bpe": (op11_word_bpe, None),
     "op12_lexical_search": (op12_lexical_search, OP12_SQL),
     "op13_collocations": (op13_collocations, OP13_SQL),
 }

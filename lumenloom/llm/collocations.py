@@ -159,15 +159,12 @@ def _counted(chunks: DataFrame, overlap: int, sizes: range, bits: np.ndarray | N
     shared = chunks.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held = _Held()
         for batch in batches:
-            for language, chunk, freq in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                tokens = chunk.split(" ")
-                held.append((language, tokens, freq))
-                size += len(tokens)
-                if size >= _TOKENS:
-                    yield from _count(held, overlap, sizes, shared.value)
-                    held, size = [], 0
+            held.add(batch)
+            if held.size >= _TOKENS:
+                yield from _count(held, overlap, sizes, shared.value)
+                held = _Held()
         yield from _count(held, overlap, sizes, shared.value)
 
     each = chunks.select("lang", "chunk", "freq").mapInArrow(run, "lang string, gram string, f bigint")
@@ -206,25 +203,56 @@ def _frequent(grams: DataFrame) -> np.ndarray:
     return bits
 
 
-def _count(held: list[tuple[str, list[str], int]], overlap: int, sizes: range, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+class _Numbers(dict):
+    """Numbers of names in the order in which they are first met."""
+
+    def __missing__(self, name: str) -> int:
+        number = self[name] = len(self)
+        return number
+
+
+class _Held:
+    """Chunks waiting to be counted, as numbers of their words."""
+
+    def __init__(self):
+        self.words, self.languages = _Numbers({".": 0}), _Numbers()
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        chunks = batch.column(1).to_pylist()
+        if not chunks:
+            return
+        tokens = " ".join(chunks).split(" ")
+        word = np.fromiter(map(self.words.__getitem__, tokens), np.int32, len(tokens))
+        lengths = np.fromiter((c.count(" ") + 1 for c in chunks), np.int64, len(chunks))
+        lang = np.fromiter(map(self.languages.__getitem__, batch.column(0).to_pylist()), np.int32, len(chunks))
+        self.parts.append((word, lengths, lang, batch.column(2).to_numpy()))
+        self.size += len(word)
+
+
+def _sums(key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    if float(weight.sum(dtype=np.float64)) < 1 << 52:  # sums are exact as doubles
+        return np.bincount(key, weight, n).astype(np.int64)
+    out = np.zeros(n, np.int64)
+    np.add.at(out, key, weight)
+    return out
+
+
+def _count(held: _Held, overlap: int, sizes: range, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """N-grams that begin in the chunks' own parts, summed with the chunks' frequencies."""
-    if not held:
+    if not held.size:
         return
-    vocabulary: dict[str, int] = {".": 0}
-    code = vocabulary.setdefault
-    word = np.array([code(t, len(vocabulary)) for _, tokens, _ in held for t in tokens], np.int64)
-    lengths = np.array([len(tokens) for _, tokens, _ in held])
-    weight = np.repeat(np.array([freq for _, _, freq in held], np.int64), lengths)
-    languages: dict[str, int] = {}
-    lang = np.repeat(np.array([languages.setdefault(x, len(languages)) for x, _, _ in held], np.int64), lengths)
+    word, lengths, lang, freq = (np.concatenate(x) for x in zip(*held.parts))
+    weight, lang = np.repeat(freq, lengths), np.repeat(lang, lengths).astype(np.int64)
+    vocabulary, languages = held.words, held.languages
     own = np.ones(len(word), bool)
     for back in range(1, overlap + 1):
         own[np.cumsum(lengths) - back] = False
     at = np.flatnonzero(own & (word != 0))
     words, names = pa.array(list(vocabulary), pa.string()), pa.array(list(languages), pa.string())
     if bits is None:
-        totals = np.zeros(len(languages), np.int64)
-        np.add.at(totals, lang[at], weight[at])
+        totals = _sums(lang[at], weight[at], len(languages))
         yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(totals), pa.string()), pa.array(totals)], names=_NAMES)
     else:
         for k in range(1, sizes[0]):
@@ -237,17 +265,20 @@ def _count(held: list[tuple[str, list[str], int]], overlap: int, sizes: range, b
                 h = _mix(h, spread[word[at + shift + k]])
             at = at[np.logical_and.reduce([bits[slot] & mask != 0 for slot, mask in _bits(h)])]
 
-    key = lang[at]  # grows by one word at a time, kept dense so that it fits 64 bits
+    key, span = lang[at], len(languages)  # grows by one word at a time
     for n in range(1, sizes[-1] + 1):
         inside = word[at + n - 1] != 0
         at, key = at[inside], key[inside]
         if not len(at):
             return
-        _, first, key = np.unique(key * len(vocabulary) + word[at + n - 1], return_index=True, return_inverse=True)
+        if span * len(vocabulary) >= 1 << 62:  # kept dense, so that it fits 64 bits
+            _, key = np.unique(key, return_inverse=True)
+            span = len(key)
+        key, span = key * len(vocabulary) + word[at + n - 1], span * len(vocabulary)
         if n not in sizes:
             continue
-        sums = np.zeros(len(first), np.int64)
-        np.add.at(sums, key, weight[at])
+        _, first, key = np.unique(key, return_index=True, return_inverse=True)
+        sums, span = _sums(key, weight[at], len(first)), len(first)
         gram = words.take(pa.array(word[at[first]]))
         for k in range(1, n):
             gram = pc.binary_join_element_wise(gram, words.take(pa.array(word[at[first] + k])), " ")

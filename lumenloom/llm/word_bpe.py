@@ -17,23 +17,23 @@ Defined cases: null text counts as empty and has no tokens; special tokens'
 strings in a text are those tokens, and what stands between two is normalised
 for itself; repeated rows are encoded alike; other columns are carried along.
 Memory per worker: the automaton, bounded memo tables and one Arrow batch.
-Characters are classed as the ``regex`` library does, which may know newer
-code points than other implementations.
+Letters, numbers and white space are classed by Python's own character data.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from functools import cache
 
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.llm.common import per_text
 
-MEMO = 200_000
+MEMO = 150_000
 _MEMO_LETTERS = 64
 
 
@@ -130,7 +130,7 @@ class WordEncoder:
         self.names: dict[int, str] = {i: t for t, i in model["vocab"].items()}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.specials.items()}
-        self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self._special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self._steps, self._pieces = _text_rules(spec)
         self.joined = "" if spec.get("decoder") else " "
         if spec.get("decoder") or spec.get("post_processor"):
@@ -164,13 +164,21 @@ class WordEncoder:
         memo = self
 
         class Words(dict):
-            def __missing__(self, word: str) -> tuple[str, str, int]:
+            """Ids and names of words, in two generations so that common words outlive a full table."""
+
+            older: dict[str, tuple[str, str]] = {}
+
+            def __missing__(self, word: str) -> tuple[str, str]:
+                out = self.older.get(word)
+                if out is None:
+                    ids = memo.encode_word(word.encode("utf-8", "surrogatepass"))
+                    out = (" ".join(map(str, ids)), memo.joined.join(map(memo.names.__getitem__, ids)))
+                    if len(word) > _MEMO_LETTERS:
+                        return out
                 if len(self) >= MEMO:
+                    self.older = self.copy()
                     self.clear()
-                ids = memo.encode_word(word.encode("utf-8", "surrogatepass"))
-                out = (" ".join(map(str, ids)), memo.joined.join(map(memo.names.__getitem__, ids)), len(ids))
-                if len(word) <= _MEMO_LETTERS:
-                    self[word] = out
+                self[word] = out
                 return out
 
         self.words = Words()
@@ -268,20 +276,18 @@ class WordEncoder:
 
     def encode_texts(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the decimal ids joined by a blank, and the decoded text."""
-        ids, names, n = [], [], 0
+        ids, names = [], []
         word = self.words.__getitem__
         for stretch in self._stretches(text):
             if isinstance(stretch, int):
                 ids.append(str(stretch))
                 names.append(self.names[stretch])
-                n += 1
-                continue
-            if stretch:
-                a, b, k = zip(*map(word, stretch))
+            elif stretch:
+                a, b = zip(*map(word, stretch))
                 ids += a
                 names += b
-                n += sum(k)
-        return n, " ".join(ids), self.joined.join(names)
+        joined = " ".join(ids)
+        return joined.count(" ") + (joined != ""), joined, self.joined.join(names)
 
     def encode(self, text: str) -> list[int]:
         n, ids, _ = self.encode_texts(text)
@@ -296,8 +302,56 @@ def _lower(text: str) -> str:
     return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
 
+#: what ``\s`` means in the patterns: the characters with the property White_Space
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@cache
+def _members(kind: str, astral: bool) -> str:
+    """The ranges of a general category's characters, as inside a bracket."""
+    inside = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000 if astral else 0x10000)] + [False]
+    edges = [c for c in range(len(inside)) if inside[c] != (c > 0 and inside[c - 1])]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(z - 1))}" for a, z in zip(edges[::2], edges[1::2]))
+
+
+def _explicit(pattern: str, astral: bool) -> re.Pattern:
+    """A pattern with its character properties written out; ``astral`` if texts go beyond the first 65536 code points."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        found = re.match(r"\\p\{(\w)\}|\\s", pattern[at:])
+        if found:
+            members = _members(found[1], astral) if found[1] else _SPACE
+            out.append(members if inside else f"[{members}]")
+            at += found.end()
+            continue
+        part = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        inside = part == "[" or (inside and part != "]")
+        out.append(part)
+        at += len(part)
+    return re.compile("".join(out))
+
+
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _either(pattern: str, method: str):
+    """A method of the pattern; the narrow form of it serves most texts and is faster."""
+    narrow, wide = (getattr(_explicit(pattern, astral), method) for astral in (False, True))
+    return lambda *args: (wide if _ASTRAL.search(args[-1]) else narrow)(*args)
+
+
 def _text_rules(spec: dict):
     """Normalising steps and the function that lists words, from the file's rules."""
+    cut = spec["pre_tokenizer"]
+    parts = cut["pretokenizers"] if cut["type"] == "Sequence" else [cut]
+    split = parts[0]
+    plain = len(parts) == 2 and split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"]
+    if not plain or parts[1]["type"] != "ByteLevel" or parts[1]["add_prefix_space"] or parts[1]["use_regex"]:
+        raise ValueError("only an inverted split followed by byte letters is read")
+    words = _either(split["pattern"]["Regex"], "findall")
+    blanks = re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001))))
+    no_blanks = all(b not in "".join(words(f"a{b}!{b}1")) for b in blanks)
+
     rules = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
     steps = []
     for rule in rules["normalizers"] if rules["type"] == "Sequence" else [rules]:
@@ -306,18 +360,14 @@ def _text_rules(spec: dict):
         elif rule["type"] == "Lowercase":
             steps.append(_lower)
         elif rule["type"] == "Replace":
-            pattern = regex.compile(rule["pattern"]["Regex"] if "Regex" in rule["pattern"] else regex.escape(rule["pattern"]["String"]))
+            pattern = rule["pattern"]["Regex"] if "Regex" in rule["pattern"] else re.escape(rule["pattern"]["String"])
+            if pattern == r"\s+" and rule["content"] == " " and no_blanks:
+                continue  # words hold no white space, so which kind stands between them changes nothing
             content = rule["content"].replace("\\", r"\\")  # taken as it stands
-            steps.append(lambda t, p=pattern, c=content: p.sub(c, t))
+            steps.append(lambda t, sub=_either(pattern, "sub"), c=content: sub(c, t))
         else:
             raise ValueError(f"normalizer {rule['type']} is not read")
-    cut = spec["pre_tokenizer"]
-    parts = cut["pretokenizers"] if cut["type"] == "Sequence" else [cut]
-    split = parts[0]
-    plain = len(parts) == 2 and split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"]
-    if not plain or parts[1]["type"] != "ByteLevel" or parts[1]["add_prefix_space"] or parts[1]["use_regex"]:
-        raise ValueError("only an inverted split followed by byte letters is read")
-    return steps, regex.compile(split["pattern"]["Regex"]).findall
+    return steps, words
 
 
 _ENCODERS: dict[int, WordEncoder] = {}

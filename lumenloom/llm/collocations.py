@@ -48,7 +48,7 @@ _HOT = 1000  # a part with over 1/1000 of all words is looked up by broadcast; t
 _SALTS = 64
 
 _SLOTS = 1 << 21  # 64 bits each: 16 MB
-_NAMES = ["lang", "gram", "f"]
+_NAMES = ["key", "f"]  # a phrase, "\n" (which no word holds) and the language as one key, which is cheaper to group by than two
 
 _STOP = b"."
 #: A-Z lower-cased, piece ends become ".", blanks and tabs one blank; other bytes stay
@@ -71,7 +71,7 @@ def _blocks(data: bytes) -> Iterator[list[bytes]]:
         end = at + _BLOCK
         edge = _EDGE.search(data, end) if end < size else None
         end = edge.start() if edge else size
-        yield [t for t in data[at:end].translate(_TABLE).replace(_STOP, b" . ").split(b" ") if t]
+        yield data[at:end].translate(_TABLE).replace(_STOP, b" . ").split()  # no other white space that split() knows is left
         at = end
 
 
@@ -167,8 +167,10 @@ def _counted(chunks: DataFrame, overlap: int, sizes: range, bits: np.ndarray | N
                 held = _Held()
         yield from _count(held, overlap, sizes, shared.value)
 
-    each = chunks.select("lang", "chunk", "freq").mapInArrow(run, "lang string, gram string, f bigint")
-    return each.groupBy("lang", "gram").agg(F.sum("f").alias("f")).where((F.col("f") >= at_least) | (F.col("gram") == ""))
+    each = chunks.select("lang", "chunk", "freq").mapInArrow(run, "key string, f bigint")
+    sums = each.groupBy("key").agg(F.sum("f").alias("f")).withColumn("gram", F.substring_index("key", "\n", 1))
+    kept = sums.where((F.col("f") >= at_least) | (F.col("gram") == ""))
+    return kept.select(F.expr("substring(key, length(gram) + 2)").alias("lang"), "gram", "f")
 
 
 def _mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -231,14 +233,6 @@ class _Held:
         self.size += len(word)
 
 
-def _sums(key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    if float(weight.sum(dtype=np.float64)) < 1 << 52:  # sums are exact as doubles
-        return np.bincount(key, weight, n).astype(np.int64)
-    out = np.zeros(n, np.int64)
-    np.add.at(out, key, weight)
-    return out
-
-
 def _count(held: _Held, overlap: int, sizes: range, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """N-grams that begin in the chunks' own parts, summed with the chunks' frequencies."""
     if not held.size:
@@ -250,10 +244,11 @@ def _count(held: _Held, overlap: int, sizes: range, bits: np.ndarray | None) ->
     for back in range(1, overlap + 1):
         own[np.cumsum(lengths) - back] = False
     at = np.flatnonzero(own & (word != 0))
-    words, names = pa.array(list(vocabulary), pa.string()), pa.array(list(languages), pa.string())
+    words, names = pa.array(list(vocabulary), pa.string()), pa.array(["\n" + x for x in languages], pa.string())
     if bits is None:
-        totals = _sums(lang[at], weight[at], len(languages))
-        yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(totals), pa.string()), pa.array(totals)], names=_NAMES)
+        totals = np.zeros(len(languages), np.int64)
+        np.add.at(totals, lang[at], weight[at])
+        yield pa.RecordBatch.from_arrays([names, pa.array(totals)], names=_NAMES)
     else:
         for k in range(1, sizes[0]):
             at = at[word[at + k] != 0]
@@ -277,12 +272,13 @@ def _count(held: _Held, overlap: int, sizes: range, bits: np.ndarray | None) ->
         key, span = key * len(vocabulary) + word[at + n - 1], span * len(vocabulary)
         if n not in sizes:
             continue
-        _, first, key = np.unique(key, return_index=True, return_inverse=True)
-        sums, span = _sums(key, weight[at], len(first)), len(first)
-        gram = words.take(pa.array(word[at[first]]))
+        order = np.argsort(key)
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        first, sums = at[order[starts]], np.add.reduceat(weight[at][order], starts)
+        gram = words.take(pa.array(word[first]))
         for k in range(1, n):
-            gram = pc.binary_join_element_wise(gram, words.take(pa.array(word[at[first] + k])), " ")
-        rows = pa.RecordBatch.from_arrays([names.take(pa.array(lang[at[first]])), gram, pa.array(sums)], names=_NAMES)
+            gram = pc.binary_join_element_wise(gram, words.take(pa.array(word[first + k])), " ")
+        rows = pa.RecordBatch.from_arrays([pc.binary_join_element_wise(gram, names.take(pa.array(lang[first])), ""), pa.array(sums)], names=_NAMES)
         yield from (rows.slice(i, 50_000) for i in range(0, rows.num_rows, 50_000))
 
 

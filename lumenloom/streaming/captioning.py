@@ -1,9 +1,14 @@
 """Captions kept up to date as images arrive.
 
 The file source remembers what it has seen in the checkpoint, so a killed run
-resumes where it stopped. Every micro-batch writes its own partition of the
-caption table and replaces it when the batch is replayed, which makes the sink
+resumes where it stopped. Every micro-batch writes its own partitions of the
+caption table and replaces them when the batch is replayed, which makes the sink
 idempotent.
+
+The caption table is laid out by a hash of the stem (``slot``) and the batch.
+What is captioned already is looked up in the slots of a batch's stems alone,
+by value, so that row groups without them are passed over: a batch reads about
+as many rows when the table is large as when it is small.
 """
 
 from __future__ import annotations
@@ -11,9 +16,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
@@ -54,12 +59,69 @@ def image_stream(spark: SparkSession, folder: str, batch_files: int = 8) -> Data
     return raw.select(uri.alias("uri"), "image").where(is_image(F.col("uri")))
 
 
+SLOTS = 256
+#: stems of a batch that are looked up by value; a larger batch reads its slots whole
+LOOKUP_STEMS = 2000
+CAPTION_SCHEMA = "uri_stem string, caption string, n_tags int, slot int, batch_id bigint"
+
+
+def _existing(read: DataFrameReader, path: str) -> DataFrame | None:
+    """A Parquet table, None while nothing was written to the path; any other fault is raised."""
+    try:
+        return read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def _written(spark: SparkSession, path: str, before: int) -> DataFrame | None:
     """Earlier batches of a table, None when there are none."""
-    try:
-        return spark.read.parquet(path).where(F.col("batch_id") < before)
-    except AnalysisException:
+    table = _existing(spark.read, path)
+    return None if table is None else table.where(F.col("batch_id") < before)
+
+
+def slot_of(uri_stem: Column) -> Column:
+    return F.pmod(F.xxhash64(uri_stem), F.lit(SLOTS)).cast("int")
+
+
+def record_captions(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write (uri_stem, caption, n_tags) as the batch's part of the caption table; a replay replaces it."""
+    placed = rows.select("uri_stem", "caption", "n_tags", slot_of(F.col("uri_stem")).alias("slot"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+    placed.repartition("slot").write.mode("overwrite").options(
+        **{"partitionOverwriteMode": "dynamic", "parquet.bloom.filter.enabled#uri_stem": "true"}
+    ).partitionBy("slot", "batch_id").parquet(path)
+
+
+def recorded_captions(batch: DataFrame, path: str, before: int) -> DataFrame | None:
+    """(uri_stem, caption) of a batch's stems from earlier batches, None when there are none.
+
+    Only the slots of these stems are listed and opened (at most ``SLOTS``).
+    """
+    spark = batch.sparkSession
+    wanted = batch.select("uri_stem", slot_of(F.col("uri_stem")).alias("slot")).distinct()
+    slots = [r["slot"] for r in wanted.select("slot").distinct().collect()]
+    if not slots:
+        return None
+    stems = [r["uri_stem"] for r in wanted.limit(LOOKUP_STEMS + 1).collect()]
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(LOOKUP_STEMS))
+    folders = f"{path}/slot={{{','.join(map(str, sorted(slots)))}}}"
+    table = _existing(spark.read.schema(CAPTION_SCHEMA).option("basePath", path), folders)
+    if table is None:
         return None
+    if len(stems) <= LOOKUP_STEMS:
+        table = table.where(F.col("uri_stem").isin(stems))
+    found = table.where(F.col("batch_id") < before).select("uri_stem", "caption")
+    return found.join(wanted.select("uri_stem"), "uri_stem", "left_semi") if len(stems) > LOOKUP_STEMS else found
+
+
+def with_captioned(batch: DataFrame, path: str, before: int) -> DataFrame:
+    """Add ``captioned``: does an earlier batch hold a caption that is not empty for the row's ``uri_stem``?"""
+    found = recorded_captions(batch, path, before)
+    if found is None:
+        return batch.withColumn("captioned", F.lit(False))
+    known = found.where(F.col("caption") != "").select("uri_stem", F.lit(True).alias("captioned")).distinct()
+    return batch.join(known, "uri_stem", "left").withColumn("captioned", F.coalesce("captioned", F.lit(False)))
 
 
 def caption_batch(
@@ -71,28 +133,18 @@ def caption_batch(
     out: CaptionStream,
     family: str = "camie",
     listener: Listener | None = None,
-    known: DataFrame | None = None,
 ) -> None:
-    """Caption one micro-batch and record what happened to each image.
-
-    ``known`` holds captions that exist outside the stream (uri_stem, caption).
-    """
+    """Caption one micro-batch and record what happened to each image."""
     spark = batch.sparkSession
     # a batch has at most `batch_files` rows, so numbering it in one window is bounded
     number = F.row_number().over(Window.orderBy("uri"))
     images = batch.withColumn("image_id", number.cast("bigint")).withColumn("uri_stem", stem(F.col("uri")))
-    existing = known.select("uri_stem", "caption") if known is not None else None
-    written = _written(spark, out.captions, batch_id)
-    if written is not None:
-        earlier = written.select("uri_stem", "caption")
-        existing = earlier if existing is None else existing.unionByName(earlier)
+    existing = recorded_captions(images, out.captions, batch_id)
     done = cut_lineage(
         caption_images(images, scorer, tag_dict, options, existing, family, skip_captioned=True, overwrite=out.overwrite)
     )
     fresh = done.where("error is null")
-    fresh.select("uri_stem", "caption", "n_tags").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch_id").parquet(out.captions)
+    record_captions(fresh, out.captions, batch_id)
     seen = images.select("uri", "uri_stem").join(done.select("uri_stem", "error", "n_tags", F.lit(True).alias("tried")), "uri_stem", "left")
     status = F.when(F.col("tried").isNull(), "skipped").when(F.col("error").isNotNull(), "failed").otherwise("done")
     reason = (
@@ -114,9 +166,16 @@ def start_captioning(
     options: CaptionOptions,
     out: CaptionStream,
     backfill: bool = False,
+    known: DataFrame | None = None,
     **more,
 ) -> StreamingQuery:
-    """Run continuously, or once over everything there is (``backfill``)."""
+    """Run continuously, or once over everything there is (``backfill``).
+
+    ``known`` holds captions from outside the stream (uri_stem, caption); they
+    are taken into the caption table once, ahead of the first batch.
+    """
+    if known is not None:
+        record_captions(known.withColumn("n_tags", F.lit(None).cast("int")), out.captions, -1)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         caption_batch(batch, batch_id, scorer, tag_dict, options, out, **more)
@@ -125,6 +184,23 @@ def start_captioning(
     return (writer.trigger(availableNow=True) if backfill else writer).start()
 
 
+def run_to_end(start: Callable[[], StreamingQuery], attempts: int = 3) -> int:
+    """Run a stream to its end, starting it anew from its checkpoint when it dies; returns how often it died.
+
+    A batch that was under way is replayed with the same rows and number, so
+    sinks that replace a batch's part hold every row once. The last failure is
+    raised when ``attempts`` starts were not enough.
+    """
+    for died in range(attempts):
+        try:
+            start().awaitTermination()
+            return died
+        except StreamingQueryException:
+            if died + 1 == attempts:
+                raise
+    return attempts
+
+
 def first_requests(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """One request per path while it waits: repeats within the delay are dropped."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["uri"])
@@ -162,11 +238,23 @@ def running_counts(events: DataFrame) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Count per status and time window; late events within the delay still count."""
+    """Count per status and time window; late events within the delay still count.
+
+    In a micro-batch an event is dropped when its window ends at or before the
+    latest time of all batches but the one just before it, less the delay: the
+    watermark moves between batches, and a batch's late rows are judged by the
+    one its predecessor had.
+    """
     grouped = events.withWatermark("ts", delay).groupBy(F.window("ts", width), "status")
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "status", "n")
 
 
+def observed_total(query: StreamingQuery, name: str, metric: str) -> int:
+    """Sum of a metric that ``observe`` reported over a query's micro-batches (as far back as Spark keeps progress)."""
+    seen = (p["observedMetrics"].get(name) for p in query.recentProgress)
+    return sum(row[metric] or 0 for row in seen if row)
+
+
 def keep_recent(batch: DataFrame, batch_id: int, path: str, n: int = 50, tie: str = "event_id") -> None:
     """Merge a batch into the n most recent events; each batch writes its own version.
 

@@ -378,6 +378,26 @@ SELECT image_id, root || CASE WHEN two THEN '_2' ELSE '' END || '.png' AS name,
       ELSE CASE WHEN kept_two THEN CASE WHEN k=1 THEN root || '_2' ELSE root || '_2_' || k END ELSE root || '_2_' || (k+1) END END || '.png' AS unique_name FROM n"""
 
 
+def q_numbered_names(spark, sf):
+    """A numbered series, a name wanted by a tenth of the rows, and rows that want its numbers themselves."""
+    k = F.col("image_id")
+    wanted = F.when(k % 10 == 0, "img.png").when(k % 10 == 1, F.concat(F.lit("img_"), (F.floor(k / 10) + 2).cast("string"), F.lit(".png"))).otherwise(F.format_string("img_%05d.png", k))
+    rows = images(spark, sf).select("image_id", wanted.alias("name"))
+    return naming.resolve_collisions(rows, "name", [k * 7919 % 10007, k])
+
+
+# uses of img.png take 1, then each the next number that no earlier row wanted itself; a row whose number was given away becomes its second use
+S_NUMBERED = f"""WITH {IMAGES}, z AS (
+  SELECT image_id, row_number() OVER (ORDER BY image_id*7919%10007, image_id) AS t, image_id%10 AS d, image_id//10 + 2 AS b,
+    CASE image_id%10 WHEN 0 THEN 'img.png' WHEN 1 THEN 'img_' || (image_id//10 + 2) || '.png' ELSE 'img_' || lpad(image_id::VARCHAR, 5, '0') || '.png' END AS name FROM images),
+s AS (SELECT list(coalesce(t, 0) ORDER BY n) AS s FROM (SELECT unnest(range(1, (SELECT max(b) + 1 FROM z WHERE d = 1))) AS n) LEFT JOIN (SELECT b, t FROM z WHERE d = 1) ON n = b),
+us AS (SELECT list([t] ORDER BY t) AS us FROM z WHERE d = 0),
+ks AS (SELECT list_reduce(list_concat([[1::BIGINT]], us[2:]), lambda acc, x: list_append(acc, list_min(list_filter(range(acc[-1] + 1, acc[-1] + len(s) + 2), lambda n: n > len(s) OR s[n] = 0 OR s[n] > x[1])))) AS ks FROM us, s),
+u AS (SELECT image_id, row_number() OVER (ORDER BY t) AS i FROM z WHERE d = 0)
+SELECT z.image_id, name, CASE WHEN d = 0 THEN CASE WHEN i = 1 THEN name ELSE 'img_' || ks[i] || '.png' END WHEN d = 1 AND list_contains(ks, b) THEN 'img_' || b || '_2.png' ELSE name END AS unique_name
+FROM z LEFT JOIN u USING (image_id), ks"""
+
+
 def q_side_length(spark, sf):
     i = images(spark, sf)
     return i.select(
@@ -413,5 +433,6 @@ QUERIES = {
     "action_counts": (q_action_counts, S_ACTIONS),
     "export_numbers": (q_export_numbers, S_NUMBERS),
     "template_names": (q_template_names, S_TEMPLATE),
+    "numbered_names": (q_numbered_names, S_NUMBERED),
     "side_length": (q_side_length, S_SIDE),
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.operators.ordered import ordinal, row_number
+from lumenloom.operators.ordered import ordinal, row_number, running_sum
+from lumenloom.runtime import cut_lineage, look_up
 
 
 def number_files(df: DataFrame, order: list[Column], out: str = "file_name", prefix: str = "", digits_floor: int = 4, total: int | None = None) -> DataFrame:
@@ -37,92 +38,118 @@ def template_names(df: DataFrame, template: str, fields: dict[str, Column], out:
     return F.concat(*parts)
 
 
-_ROOT = r"^(.*?)((?:_[0-9]+)*)(\.[^./]*)?$"
+_STEM = r"(?s)^(.*?)(\.[^./]*)?$"
+_NUMBERED = r"(?s)^(.*)_([1-9][0-9]{0,17})$"
+
+
+def _suffixed(name: Column, k: Column) -> Column:
+    return F.concat(F.regexp_extract(name, _STEM, 1), F.lit("_"), k.cast("string"), F.regexp_extract(name, _STEM, 2))
+
+
+def _numbered(names: DataFrame, name: str) -> DataFrame:
+    """Add ``_base`` and ``_number`` of the names that later uses of another name may be given; NULL for others."""
+    stem = F.regexp_extract(name, _STEM, 1)
+    number = F.regexp_extract(stem, _NUMBERED, 2).try_cast("bigint")
+    base = F.concat(F.regexp_extract(stem, _NUMBERED, 1), F.regexp_extract(name, _STEM, 2))
+    return names.withColumns({"_base": F.when(number >= 2, base), "_number": F.when(number >= 2, number)})
 
 
 def resolve_collisions(df: DataFrame, name: str, order: list[Column], taken: DataFrame | None = None) -> DataFrame:
     """Later uses of a name get ``_2``, ``_3``, ... before the extension, in the given order.
 
-    Names that already exist in ``taken`` (column ``name``) count as used, and so
-    do names given to earlier rows. Only names alike but for numbers at their end
-    can meet. Where a wanted name has such a number, the rows of its root are
-    named one by one, in a stream; all others are named by counting.
+    Adds ``unique_name``. Names that already exist in ``taken`` (column ``name``)
+    count as used, and so do names given to earlier rows. ``order`` must tell
+    any two rows apart; null names stay null.
+
+    A later use of ``a.png`` can only meet rows that want ``a_2.png``,
+    ``a_3.png`` and so on. A number that was used once stays used, so numbers
+    are given upwards. Names are therefore settled level by level, ``a.png``
+    before ``a_2.png`` before ``a_2_2.png``; what one level gives away is gone
+    for the next. Within a level all is counting: the uses of a name before a
+    row, and the used numbers below a number. Only wanted names whose turn
+    comes while they are still free are looked at one after the other, as one
+    small row each.
     """
-    root = F.concat_ws("\u0000", F.regexp_extract(name, _ROOT, 1), F.regexp_extract(name, _ROOT, 3))
-    marked = df.withColumn("_root", root)
-    numbered = marked.where(F.regexp_extract(name, _ROOT, 2) != "").select("_root").distinct()
-    simple = marked.join(numbered, "_root", "left_anti").drop("_root")
-    mixed = marked.join(numbered, "_root", "left_semi")
-    return _by_counting(simple, name, order, taken).unionByName(_one_by_one(mixed, name, order, taken))
-
-
-def _one_by_one(df: DataFrame, name: str, order: list[Column], taken: DataFrame | None) -> DataFrame:
-    """Name rows in turn; a task keeps the used names of one root, not its rows."""
-    places = {f"_o{i}": c for i, c in enumerate(order)}
-    rows = df.withColumns(places).withColumn("_taken", F.lit(False))
-    if taken is not None:
-        root = F.concat_ws("\u0000", F.regexp_extract("name", _ROOT, 1), F.regexp_extract("name", _ROOT, 3))
-        used = taken.select(F.col("name").alias(name), root.alias("_root"), F.lit(True).alias("_taken")).distinct()
-        rows = rows.unionByName(used.join(df.select("_root").distinct(), "_root", "left_semi"), allowMissingColumns=True)
-    dealt = rows.repartition("_root").sortWithinPartitions("_root", F.col("_taken").desc(), *places)
-    kept = [c for c in df.columns if c != "_root"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema) + ", unique_name string"
-
-    def run(batches):
-        root, used, upto = None, set(), {}
-        for pdf in batches:
-            unique = []
-            for r, wanted, old in zip(pdf["_root"], pdf[name], pdf["_taken"]):
-                if r != root:
-                    root, used, upto = r, set(), {}
-                given = wanted
-                if not old and given in used:
-                    stem, dot, ext = wanted.rpartition(".")
-                    stem, ext = (stem, dot + ext) if dot and "/" not in ext else (wanted, "")
-                    k = upto.get(wanted, 1)
-                    while given in used:
-                        k += 1
-                        given = f"{stem}_{k}{ext}"
-                    upto[wanted] = k
-                used.add(given)
-                unique.append(given)
-            out = pdf[kept].assign(unique_name=unique)
-            yield out[~pdf["_taken"].astype(bool)]
-
-    return dealt.mapInPandas(run, schema)
-
-
-def _by_counting(df: DataFrame, name: str, order: list[Column], taken: DataFrame | None) -> DataFrame:
-    """Free suffixes of a base name: the taken ones are removed from the candidates 1..n+t."""
-    df = row_number(df, [name], order, "_k")
-    stem = F.regexp_extract(F.col(name), r"^(.*?)(\.[^./]*)?$", 1)
-    ext = F.regexp_extract(F.col(name), r"^(.*?)(\.[^./]*)?$", 2)
-
-    def suffixed(k: Column) -> Column:
-        return F.when(k == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), ext))
-
-    if taken is None:
-        return df.withColumn("unique_name", suffixed(F.col("_k"))).drop("_k")
-    per_name = df.groupBy(name).agg(F.count(F.lit(1)).alias("_uses"))
-    # taken suffixes of each wanted name, found by an equi-join on the unsuffixed name
-    split = taken.select(
-        F.col("name").alias("_name"),
-        F.regexp_extract("name", r"^(.*?)(?:_(\d+))?(\.[^./]*)?$", 1).alias("_s"),
-        F.regexp_extract("name", r"^(.*?)(?:_(\d+))?(\.[^./]*)?$", 2).alias("_d"),
-        F.regexp_extract("name", r"^(.*?)(?:_(\d+))?(\.[^./]*)?$", 3).alias("_e"),
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    rows = cut_lineage(row_number(df.withColumn("_at", at), [name], [F.col("_at")], "_use"))
+    named = rows.where(F.col(name).isNotNull())
+    used = (df.select(name).limit(0) if taken is None else taken.select(F.col("name").alias(name))).where(F.col(name).isNotNull()).distinct()
+    used = cut_lineage(_numbered(used, name))
+    wanted = _numbered(named.groupBy(name).agg(F.count(F.lit(1)).alias("_uses"), F.min("_at").alias("_first")), name)
+    gone = used.select(name, F.lit(True).alias("_gone"))
+    wanted = cut_lineage(wanted.join(gone, name, "left").withColumn("_gone", F.coalesce("_gone", F.lit(False))))
+
+    level = wanted.join(wanted.select(F.col(name).alias("_base")), "_base", "left_anti")
+    done, passed = [], []
+    while True:
+        done.append(level.select(name, "_uses", "_gone"))
+        over = level.select(F.col(name).alias("_base"), F.col("_uses").alias("_rivals"), F.col("_gone").alias("_base_gone"))
+        below = cut_lineage(wanted.join(over, "_base"))
+        settled = cut_lineage(_settle(named, over.where(F.col("_base_gone") | (F.col("_rivals") > 1)), below, used, name))
+        passed.append(settled.where("not _given").select("_base", "_number"))
+        if below.isEmpty():
+            break
+        lost = settled.where("_given").select("_base", "_number", "_given")
+        level = below.join(lost, ["_base", "_number"], "left").withColumn("_gone", F.col("_gone") | F.coalesce("_given", F.lit(False)))
+        level = cut_lineage(level.select(*wanted.columns))
+    return _names_given(rows, _union(done), _union(passed), name, df.columns)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _settle(named: DataFrame, over: DataFrame, below: DataFrame, used: DataFrame, name: str) -> DataFrame:
+    """(_base, _number, _given): the numbers of each name in ``over`` that exist or are wanted; is it given to a later use of the name?"""
+    wanted = below.where("not _gone").select("_base", "_number", "_first")
+    exist = used.where("_number is not null").select("_base", "_number", F.lit(None).cast(below.schema["_first"].dataType).alias("_first"))
+    numbers = wanted.unionByName(exist).join(over, "_base")
+    ranked = row_number(numbers, ["_base"], [F.col("_number")], "_rank")
+    # later uses of the name before the first row that wants the number
+    rivals = over.join(wanted.select("_base").distinct(), "_base", "left_semi").select(F.col("_base").alias(name), "_rivals", F.lit(True).alias("_met"))
+    uses = look_up(named.select(name, "_at"), rivals, name, "_rivals").where("_met")
+    marks = ranked.where("_first is not null")
+    events = uses.select(F.col(name).alias("_base"), "_at", F.lit(1).alias("_one")).unionByName(
+        marks.select("_base", F.col("_first").alias("_at"), F.lit(0).alias("_one"), "_number", "_rank", "_base_gone"), allowMissingColumns=True
     )
-    as_first = split.select(F.col("_name").alias("_base"), F.lit(1).cast("bigint").alias("_used"))
-    as_later = split.where(F.col("_d") != "").select(
-        F.concat("_s", "_e").alias("_base"), F.col("_d").cast("bigint").alias("_used")
-    ).where(F.col("_used") >= 2)
-    used = as_first.unionByName(as_later).distinct()
-    hits = used.join(per_name, used["_base"] == per_name[name], "left_semi")
-    blocked = hits.groupBy("_base").agg(F.array_sort(F.collect_set("_used")).alias("_blocked"))
-    joined = df.join(blocked, df[name] == blocked["_base"], "left").drop("_base")
-    # the k-th free number: walk the sorted taken numbers, moving up past each one reached
-    nth_free = F.aggregate(
-        F.coalesce(F.col("_blocked"), F.array().cast("array<bigint>")),
-        F.col("_k"),
-        lambda at, used_no: F.when(used_no <= at, at + 1).otherwise(at),
+    counted = running_sum(events, ["_base"], "_at", "_one", "_before").where("_one = 0")
+    later = F.col("_before") - F.when(F.col("_base_gone"), 0).otherwise(1)
+    # with c wanted numbers below given away, the turn comes to number n at later use n - 1 - (rank - 1) + c
+    room = counted.withColumn("_room", later - F.col("_number") + F.col("_rank"))
+    given = room.where("_room >= 0").select("_base", "_number", "_room").repartition("_base").sortWithinPartitions("_base", "_number").mapInPandas(
+        _take_turns, "_base string, _number bigint, _given boolean"
     )
-    return joined.withColumn("_free", nth_free).withColumn("unique_name", suffixed(F.col("_free"))).drop("_k", "_blocked", "_free")
+    return ranked.select("_base", "_number").join(given, ["_base", "_number"], "left").withColumn("_given", F.coalesce("_given", F.lit(False)))
+
+
+def _take_turns(batches):
+    """A number is given away if fewer numbers than its room were given before it."""
+    base, count = None, 0
+    for pdf in batches:
+        given = []
+        for b, room in zip(pdf["_base"], pdf["_room"]):
+            if b != base:
+                base, count = b, 0
+            given.append(count <= room)
+            count += given[-1]
+        yield pdf[["_base", "_number"]].assign(_given=given)
+
+
+def _names_given(rows: DataFrame, names: DataFrame, passed: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """Number the later uses of each name past the numbers in ``passed``."""
+    ranked = row_number(passed, ["_base"], [F.col("_number")], "_rank")
+    # a use passes the number if its turn is after so many free numbers below it
+    steps = cut_lineage(ranked.select(F.col("_base").alias(name), (F.col("_number") - 1 - F.col("_rank")).alias("_turn")))
+    table = names.join(steps.select(name, F.lit(True).alias("_steps")).distinct(), name, "left")
+    placed = look_up(rows, cut_lineage(table), name, "_uses")
+    turn = F.col("_use") - F.when(F.col("_gone"), 0).otherwise(1)
+    placed = cut_lineage(placed.withColumn("_turn", turn).select(*columns, "_turn", "_steps"))
+    plain = placed.where("_steps is null").withColumn("_past", F.lit(0).cast("bigint"))
+    moved = placed.where("_steps").withColumn("_step", F.lit(0)).unionByName(steps.withColumn("_step", F.lit(1)), allowMissingColumns=True)
+    moved = running_sum(moved.withColumn("_place", F.struct("_turn", "_step")), [name], "_place", "_step", "_past").where("_step = 0")
+    out = plain.select(*columns, "_turn", "_past").unionByName(moved.select(*columns, "_turn", "_past"))
+    own = F.col("_turn") <= 0
+    return out.select(*columns, F.when(own | F.col(name).isNull(), F.col(name)).otherwise(_suffixed(F.col(name), F.col("_turn") + 1 + F.col("_past"))).alias("unique_name"))

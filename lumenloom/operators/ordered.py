@@ -100,12 +100,13 @@ def upcoming_min(df: DataFrame, order: str, col: str, out: str) -> DataFrame:
     """Smallest ``col`` of all rows that come later, without a group or a join by value."""
     frozen = _ranges(df, [], [F.col(order)])
     lows = frozen.groupBy("_range").agg(F.min(col).alias("_low"))
-    # one row per range
-    later = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    # from the end: a frame that begins at the first row is extended, one that ends at the last row is recomputed for every row
+    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     carried = lows.select("_range", F.min("_low").over(later).alias("_carry"))
-    rest = Window.partitionBy("_range").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    rest = Window.partitionBy("_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     local = frozen.withColumn(out, F.min(col).over(rest))
-    return local.join(carried, "_range").withColumn(out, F.coalesce(out, "_carry")).drop("_carry", "_range")
+    # ``col`` may hold any value, so the nearer rows do not always hold the smaller one
+    return local.join(carried, "_range").withColumn(out, F.least(out, "_carry")).drop("_carry", "_range")
 
 
 def latest(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:

@@ -76,6 +76,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     return df
 
 
+def look_up(df: DataFrame, table: DataFrame, key: str, uses: str, share: int = 1000) -> DataFrame:
+    """``df`` left-joined with a table of one row per key, whose ``uses`` counts the rows that ``df`` has of it.
+
+    Keys with more than 1/``share`` of the rows (so fewer than ``share`` keys)
+    are broadcast, the others joined by a shuffle: no task gets a hot key. Both
+    inputs are read twice.
+    """
+    total = table.agg(F.sum(uses).alias("n")).first()["n"] or 0
+    hot = F.broadcast(table.where(F.col(uses) * share > total))
+    rare = df.join(hot.select(key), key, "left_anti").join(table.where(F.col(uses) * share <= total), key, "left")
+    return df.join(hot, key).unionByName(rare)
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Row count of the largest group; map-side combined, so a hot key is cheap."""
     row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from lumenloom.functions import bucketing, geometry
-from lumenloom.operators import buckets, naming
+from lumenloom.operators import buckets, catalog, naming
 from lumenloom.params import ArbOptions, ExportOptions, Target
 from lumenloom.plans import export
 
@@ -120,3 +123,55 @@ def test_numbering_is_dense_and_collisions_are_resolved(spark):
     taken = spark.createDataFrame([("a.png",), ("a_3.png",)], "name string")
     free = naming.resolve_collisions(wanted, "name", [F.col("i")], taken)
     assert {r["i"]: r["unique_name"] for r in free.collect()} == {1: "a_2.png", 2: "a_4.png", 3: "b.png", 4: "a_5.png"}
+
+
+def one_by_one(rows, taken):
+    """The plain rule: in order, the first free of name, name_2, name_3, ..."""
+    used, out = set(taken), {}
+    for i, wanted in rows:
+        given, k = wanted, 1
+        stem, dot, ext = wanted.rpartition(".")
+        stem, ext = (stem, dot + ext) if dot and "/" not in ext else (wanted, "")
+        while given in used:
+            k += 1
+            given = f"{stem}_{k}{ext}"
+        used.add(given)
+        out[i] = given
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_collisions_as_one_by_one(spark, seed):
+    rnd = random.Random(seed)
+    pool = ["a.png", "a_2.png", "a_3.png", "a_5.png", "a_2_2.png", "a_2_3.png", "a_2_2_2.png", "a_02.png", "a_1.png", "b", "b_2", "b.c/d", "b.c/d_4", "", "_2.png", ".png"]
+    pool = rnd.sample(pool, rnd.randint(3, len(pool)))
+    rows = [(i, rnd.choice(pool)) for i in range(rnd.choice((12, 60, 150)))]
+    taken = rnd.sample([*pool, "a_4.png", "a_2_4.png", "b_3", "x.png"], rnd.randint(0, 3))
+    shuffled = rnd.sample(rows, len(rows))
+    df = spark.createDataFrame([(i, n, "x") for i, n in shuffled], "i int, name string, unique string")
+    used = spark.createDataFrame([(t,) for t in taken], "name string") if taken else None
+    got = naming.resolve_collisions(df, "name", [F.col("i")], used)
+    assert got.columns == ["i", "name", "unique", "unique_name"]
+    got = {r["i"]: r["unique_name"] for r in got.collect()}
+    assert got == one_by_one(rows, taken)
+
+
+def test_a_numbered_series_is_not_gathered(spark):
+    """Unique numbered names, null names and a hot one: nothing but numbers that meet goes through a group."""
+    rows = spark.range(0, 20000, 1, 8).select("id", F.when(F.col("id") % 3 == 0, "img.png").when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(F.format_string("img_%d.png", F.col("id") + 2)).alias("name"))
+    got = naming.resolve_collisions(rows, "name", [F.col("id")]).collect()
+    names = [r["unique_name"] for r in got if r["name"] is not None]
+    want = one_by_one([(r["id"], r["name"]) for r in rows.collect() if r["name"] is not None], [])
+    assert len(got) == 20000 and len(set(names)) == len(names)
+    assert {r["id"]: r["unique_name"] for r in got if r["name"] is not None} == want
+    assert naming.resolve_collisions(rows.limit(0), "name", [F.col("id")]).count() == 0
+
+
+def test_next_pending_is_linear(spark):
+    n = 60000
+    rows = spark.range(0, n, 1, 4).select(F.col("id").alias("idx"), F.when(F.col("id") % 7 == 3, "pending").otherwise("cropped").alias("status"))
+    start = time.time()
+    got = {r["idx"]: r["next_idx"] for r in catalog.next_pending(rows).collect()}
+    assert time.time() - start < 20  # one frame per row took over a minute
+    pending = [i for i in range(n) if i % 7 == 3]
+    assert all(got[i] == next((p for p in pending[max(0, i // 7) :] if p > i), None) for i in range(n))

@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lumenloom.operators import clustering, similarity
 from lumenloom.params import SimilarityOptions
 from lumenloom.plans import dedup
@@ -145,3 +147,18 @@ def test_no_cartesian_product_in_the_pair_plan(spark):
     df = spark.createDataFrame(fingerprints(5, n=50), SCHEMA)
     plan = similarity.similar_pairs(df, SimilarityOptions())._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_grid_bounds_both_sides_and_meets_once(spark):
+    """A third of all highs and a quarter of all lows share one key; every pair still meets in one cell."""
+    low = spark.range(900).select("id", F.when(F.col("id") % 4 == 0, 0).otherwise(F.col("id")).alias("key"))
+    high = spark.range(1000, 2500).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 == 1, 9999).otherwise(F.col("id") - 1000).alias("key"))
+    busy = similarity._busy(low, high, ["key"], 40)
+    assert {(r["key"], r["lows"], r["highs"]) for r in busy.collect()} == {(0, 225, 500)}
+    a, b = similarity.grid(low, high, ["key"], busy, 40)
+    cells = ["key", "row_stripe", "column_stripe"]
+    for side in (a, b):
+        assert side.groupBy(*cells).count().agg(F.max("count")).first()[0] < 80
+    met = a.select(F.col("id").alias("x"), *cells).join(b.select(F.col("id").alias("y"), *cells), cells).select("x", "y")
+    want = low.join(high.withColumnRenamed("id", "y"), "key").select(F.col("id").alias("x"), "y")
+    assert met.count() == want.count() == met.distinct().count() and met.exceptAll(want).isEmpty()

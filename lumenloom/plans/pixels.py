@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from lumenloom.runtime import broadcast_if_small
 MODEL_SIDE = 448
 LETTERBOX_SIDE = 512
 PIECE = 64  # finished images handed on at a time
+TENSOR_BYTES = 32 << 20
 
 
 def _rgb(image: dict | None) -> np.ndarray:
@@ -192,9 +194,33 @@ INPUTS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
 
 
 def model_inputs(images: DataFrame, kind: str = "square", side: int = MODEL_SIDE) -> DataFrame:
-    """Input tensors, flattened row-major: (image_id, tensor)."""
+    """Input tensors, flattened row-major: (image_id, tensor, error).
+
+    Tensors leave a task as flat buffers of about ``TENSOR_BYTES``, never as lists of numbers.
+    """
     make = INPUTS[kind]
-    return per_image(images, ["image_id"], "tensor array<float>", lambda _, rgb: (make(rgb, side).ravel().tolist(),))
+    step = max(1, TENSOR_BYTES // (12 * side * side))
+    src = _with_image(images).select("image_id", "image")
+    kept = src.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                tensors, errors = [], []
+                for image in part.column(1).to_pylist():
+                    try:
+                        tensors.append(np.ascontiguousarray(make(_rgb(image), side), np.float32).ravel())
+                        errors.append(None)
+                    except Exception as e:  # noqa: BLE001 - one bad image must not stop the job
+                        tensors.append(None)
+                        errors.append(f"{type(e).__name__}: {e}")
+                sizes = [0 if t is None else len(t) for t in tensors]
+                ends = pa.array([None if t is None else int(n) for t, n in zip(tensors, np.cumsum([0, *sizes[:-1]]))] + [sum(sizes)], pa.int32())
+                flat = np.concatenate([np.zeros(0, np.float32), *[t for t in tensors if t is not None]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(errors, pa.string())], names=["image_id", "tensor", "error"])
+
+    return src.mapInArrow(run, f"image_id {kept}, tensor array<float>, error string")
 
 
 def pick_output(names: list[str]) -> str:

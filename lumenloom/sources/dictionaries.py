@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.functions.tags import normalize_category
+from lumenloom.operators.ordered import row_number
 from lumenloom.params import PRESET_DEFAULTS, CaptionOptions
 
-_ENTRY = "name string, tag string, category string"
 # --- fixed values: where model metadata keeps its tables, first match wins ------
 CONTAINERS = ("$.dataset_info.tag_mapping", "$.tag_mapping", "$")
 NAME_KEYS = ("idx_to_tag", "idx2tag", "id_to_tag", "tags")
@@ -18,68 +18,97 @@ CATEGORY_KEYS = ("tag_to_category", "tag2category", "categories")
 # ---------------------------------------------------------------------------------
 
 
+#: columns of a CSV dictionary that are read
+_CSV_WIDTH = 32
+
+
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True)
+    """(file, value): whole files of a path, which may be a folder."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last one counts
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+
+
+def _items(docs: DataFrame, doc: str) -> DataFrame:
+    """(file, place, key, value) of a JSON list or object in ``doc``; ``key`` is NULL for lists."""
+    parsed = docs.select("file", F.try_parse_json(doc).alias("_doc"))
+    return parsed.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_doc").outer())).select("file", F.col("pos").alias("place"), "key", "value")
+
+
+def _text(value: Column, at: str = "$") -> Column:
+    return F.try_variant_get(value, at, "string")
+
 
+def _is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
-def _entry_name(text: Column) -> Column:
-    obj = F.from_json(text, _ENTRY)
-    named = F.coalesce(F.nullif(obj["name"], F.lit("")), obj["tag"], F.lit(""))
-    return F.when(F.ltrim(text).startswith("{"), named).otherwise(text)
 
+def _entry_name(value: Column) -> Column:
+    named = F.coalesce(F.nullif(_text(value, "$.name"), F.lit("")), _text(value, "$.tag"), F.lit(""))
+    return F.when(_is_text(value), _text(value)).otherwise(named)
 
-def _entry_category(text: Column) -> Column:
-    return F.when(F.ltrim(text).startswith("{"), normalize_category(F.from_json(text, _ENTRY)["category"])).otherwise(F.lit("unknown"))
 
+def _entry_category(value: Column) -> Column:
+    return F.when(_is_text(value), F.lit("unknown")).otherwise(normalize_category(_text(value, "$.category")))
 
-def _positions(df: DataFrame, entries: Column) -> DataFrame:
-    """(tag_idx, name, category) from an array of JSON strings or objects."""
-    return df.select(F.posexplode(entries).alias("tag_idx", "e")).select("tag_idx", _entry_name(F.col("e")).alias("name"), _entry_category(F.col("e")).alias("category"))
 
+def _placed(items: DataFrame) -> DataFrame:
+    """Items in the order of the list, or of the object's integer keys (others are skipped), numbered per file from 0."""
+    at = F.when(F.col("key").isNull(), F.col("place")).otherwise(F.trim("key").try_cast("int"))
+    kept = items.withColumn("_at", at).where("_at is not null")
+    return row_number(kept, ["file"], [F.col("_at"), F.col("place")], "tag_idx").withColumn("tag_idx", (F.col("tag_idx") - 1).cast("int"))
 
-def _by_number(text: Column) -> Column:
-    """Values of a JSON object in the order of its integer keys; other keys are skipped."""
-    pairs = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda kv: F.struct(F.trim(kv["key"]).try_cast("int").alias("k"), kv["value"].alias("v")))
-    return F.transform(F.array_sort(F.filter(pairs, lambda p: p["k"].isNotNull())), lambda p: p["v"])
+
+def read_tag_dictionaries(spark: SparkSession, path: str) -> DataFrame:
+    """(file, tag_idx, name, category) of every dictionary file under a path.
+
+    JSON list, JSON object by index, CSV with a name column, or one-column CSV.
+    Tags are numbered per file by windows; no file's tags are gathered again
+    once they were taken apart.
+    """
+    files = _whole(spark, path)
+    is_json = F.lower("file").endswith(".json")
+    json = _placed(_items(files.where(is_json), "value"))
+    json = json.select("file", "tag_idx", _entry_name(F.col("value")).alias("name"), _entry_category(F.col("value")).alias("category"))
+
+    as_row = "from_csv({}, '" + ", ".join(f"c{i} string" for i in range(_CSV_WIDTH)) + "', map('escape', '\"'))"
+    cells = "array(" + ", ".join(f"{{0}}.c{i}" for i in range(_CSV_WIDTH)) + ")"
+    lines = files.where(~is_json).withColumn("_lines", F.split("value", "\r?\n")).withColumn("_head", F.expr(as_row.format("_lines[0]")))
+    titles = F.expr(cells.format("_head"))
+    has_header = F.col("_lines")[0].contains(",") & F.lower(F.col("_lines")[0]).contains("name")
+    at = F.when(has_header, F.greatest(F.lit(1), F.array_position(titles, "name"))).otherwise(1)
+    category_at = F.when(has_header, F.nullif(F.array_position(titles, "category"), F.lit(0)))
+    each = lines.select("file", has_header.alias("_header"), at.cast("int").alias("_at"), category_at.cast("int").alias("_cat"), F.posexplode("_lines").alias("place", "_line"))
+    each = each.where((F.col("_line") != "") & ((F.col("place") > 0) | ~F.col("_header"))).withColumn("_row", F.expr(as_row.format("_line")))
+    values = F.expr(cells.format("_row"))
+    category = F.when(F.col("_cat").isNull(), F.lit("unknown")).otherwise(normalize_category(F.try_element_at(values, F.col("_cat"))))
+    csv = each.select("file", "place", F.coalesce(F.try_element_at(values, F.col("_at")), F.lit("")).alias("name"), category.alias("category"))
+    csv = row_number(csv, ["file"], [F.col("place")], "tag_idx").select("file", (F.col("tag_idx") - 1).cast("int").alias("tag_idx"), "name", "category")
+    return json.unionByName(csv)
 
 
 def read_tag_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """JSON list, JSON object by index, CSV with a name column, or one-column CSV."""
-    raw = _whole(spark, path)
-    if path.lower().endswith(".json"):
-        text = F.col("value")
-        entries = F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>")).otherwise(_by_number(text))
-        return _positions(raw, entries)
-    lines = raw.select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("n", "line")).where("line <> ''")
-    header = raw.select(F.split("value", "\r?\n")[0].alias("h")).first()["h"]
-    names = [c.strip() for c in header.split(",")]
-    has_header = "," in header and "name" in header.lower()
-    width = max(1, len(names))
-    row = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)))
-    rows = lines.where(F.col("n") > 0) if has_header else lines
-    name_at = names.index("name") if has_header and "name" in names else 0
-    category = row[f"c{names.index('category')}"] if has_header and "category" in names else None
-    picked = rows.select("n", row[f"c{name_at}"].alias("name"), (normalize_category(category) if category is not None else F.lit("unknown")).alias("category"))
-    ordered = picked.agg(F.array_sort(F.collect_list(F.struct("n", "name", "category"))).alias("d"))
-    return ordered.select(F.posexplode("d").alias("tag_idx", "e")).select("tag_idx", F.coalesce("e.name", F.lit("")).alias("name"), "e.category")
+    """(tag_idx, name, category) of one dictionary file."""
+    return read_tag_dictionaries(spark, path).drop("file")
 
 
-def read_model_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Dictionary from nested model metadata; tags without a category are ``general``."""
+def read_model_metadata_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, tag_idx, name, category) from nested model metadata; tags without a category are ``general``."""
     def pick(keys: tuple[str, ...]) -> Column:
         hits = [F.get_json_object("value", f"{c}.{k}") for c in CONTAINERS for k in keys]
         return F.coalesce(*[F.when(~h.isin("", "{}", "[]"), h) for h in hits])
 
-    raw = _whole(spark, path).select(pick(NAME_KEYS).alias("names"), pick(CATEGORY_KEYS).alias("cats"))
-    listed = F.when(F.col("names").startswith("["), F.from_json("names", "array<string>")).otherwise(_by_number(F.col("names")))
-    parsed = raw.select(
-        F.posexplode(listed).alias("tag_idx", "e"),
-        F.when(F.col("cats").startswith("{"), F.from_json("cats", "map<string,string>")).alias("by_name"),
-        F.when(F.col("cats").startswith("["), F.from_json("cats", "array<string>")).alias("by_place"),
-    )
-    name = _entry_name(F.col("e"))
-    category = F.coalesce(F.try_element_at("by_name", name), F.try_element_at("by_place", F.col("tag_idx") + 1), F.lit("general"))
-    return parsed.select("tag_idx", name.alias("name"), normalize_category(category).alias("category"))
+    raw = _whole(spark, path).select("file", pick(NAME_KEYS).alias("names"), pick(CATEGORY_KEYS).alias("cats"))
+    tags = _placed(_items(raw, "names")).select("file", "tag_idx", _entry_name(F.col("value")).alias("name"))
+    cats = _items(raw, "cats").select("file", "key", "place", _text(F.col("value")).alias("named"))
+    by_name = cats.where("key is not null").select("file", F.col("key").alias("name"), "named")
+    by_place = cats.where("key is null").select("file", F.col("place").alias("tag_idx"), F.col("named").alias("placed"))
+    found = tags.join(by_name, ["file", "name"], "left").join(by_place, ["file", "tag_idx"], "left")
+    return found.select("file", "tag_idx", "name", normalize_category(F.coalesce("named", "placed", F.lit("general"))).alias("category"))
+
+
+def read_model_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(tag_idx, name, category) of one metadata file."""
+    return read_model_metadata_files(spark, path).drop("file")
 
 
 def read_presets(spark: SparkSession, path: str) -> DataFrame:

@@ -229,3 +229,48 @@ def test_dictionaries_and_presets(spark, tmp_path):
 def test_media_predicates(spark):
     df = spark.createDataFrame([("a.MP4",), ("b.dv",), ("c.png",), ("d.webp",), ("e.mp4.txt",)], "u string")
     assert [tuple(r) for r in df.select(scan.is_video(F.col("u")), scan.is_image(F.col("u"))).collect()] == [(True, False), (True, False), (False, True), (False, True), (False, False)]
+
+
+def test_files_are_written_all_or_none(spark, tmp_path):
+    def rows(*pairs):
+        return spark.createDataFrame([(str(tmp_path / p), b.encode()) for p, b in pairs], "path string, body binary").repartition(4)
+
+    def files():
+        return {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+
+    sinks.write_named_files(rows(("a/1", "one"), ("a/2", "two")))
+    sinks.write_named_files(rows(("a/1", "one"), ("b/3", "three")))  # the same file again is no conflict
+    before = files()
+    assert before == {"a/1": "one", "a/2": "two", "b/3": "three"}
+    with pytest.raises(FileExistsError):
+        sinks.write_named_files(rows(("c/1", "x"), ("a/2", "other")))
+    with pytest.raises(FileExistsError):
+        sinks.write_named_files(rows(("c/1", "x"), ("c/1", "x"), ("c/2", "y")))
+    with pytest.raises(Exception):  # a file stands where a folder is needed, which shows only while writing
+        sinks.write_named_files(rows(("c/1", "x"), ("c/2", "y"), ("a/1/deep", "z"), ("c/3", "w")))
+    assert files() == before
+    sinks.write_named_files(rows(("a/2", "new")), overwrite=True)
+    assert files()["a/2"] == "new"
+    # a task that fails while its rows are made leaves nothing either
+    bad = rows(("d/1", "x"), ("d/2", "y")).withColumn("body", F.when(F.col("path").endswith("2"), F.raise_error(F.lit("no"))).otherwise(F.col("body")))
+    with pytest.raises(Exception):
+        sinks.write_named_files(bad)
+    assert not (tmp_path / "d").exists()
+
+
+def test_tree_listing_skips_before_entering(spark, tmp_path):
+    for p in ("x.png", "in/y.PNG", "in/deep/z.txt", "run/a.png", "run/session_state.json", "run/sub/b.png", "thumbs/.thumb_cache/t.png", "thumbs/c.png", "out/d.png", ".thumb_cache/e.png", "session_state.json"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"1")
+    base = str(tmp_path)
+
+    def names(*args):
+        return {r["uri"].replace(base + "/", "") for r in scan.list_tree(spark, base + "/", *args).collect()}
+
+    top = {"x.png", "in/y.PNG", "in/deep/z.txt", "session_state.json"}
+    assert names("source", base + "/out") == top
+    assert names("source") == top | {"out/d.png"}
+    assert names("custom") == top | {"out/d.png", "thumbs/c.png"}
+    assert names("output") == top | {"out/d.png", "thumbs/c.png", "run/a.png", "run/session_state.json", "run/sub/b.png"}
+    with pytest.raises(ValueError):
+        scan.list_tree(spark, base, "all")

@@ -152,7 +152,7 @@ def test_no_cartesian_product_in_the_pair_plan(spark):
 def test_grid_bounds_both_sides_and_meets_once(spark):
     """A third of all highs and a quarter of all lows share one key; every pair still meets in one cell."""
     low = spark.range(900).select("id", F.when(F.col("id") % 4 == 0, 0).otherwise(F.col("id")).alias("key"))
-    high = spark.range(1000, 2500).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 == 1, 9999).otherwise(F.col("id") - 1000).alias("key"))
+    high = spark.range(1000, 2500).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 == 1, 9999).otherwise(F.col("id") - 999).alias("key"))
     busy = similarity._busy(low, high, ["key"], 40)
     assert {(r["key"], r["lows"], r["highs"]) for r in busy.collect()} == {(0, 225, 500)}
     a, b = similarity.grid(low, high, ["key"], busy, 40)

@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's documents. All but the last
 return the columns of ``documents``; ``n_chars`` is kept true when a text is cut.
 
-Defined cases: documents in no language the model learned (null or no letters)
-go; of a component of near copies the smallest id stays; texts lose repeated
+Defined cases: documents without a letter (null texts too) go, which is what the
+classifier calls no language; if no document names its language all others stay; of a component of near copies the smallest id stays; texts lose repeated
 strings but a document stays even if nothing is left of its text; documents
 that hold any benchmark window go; all others are encoded. Empty tables give
 empty results; columns beyond those of ``documents`` are carried along.
@@ -26,11 +26,13 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language the classifier recognises."""
+    """Keep documents whose language the classifier recognises; with no labelled text to learn from, all that have a letter."""
     names = docs.columns
     marked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     text = f"c{names.index('text')}"
-    judged = langid.predict(marked, langid.fit(docs), text=text).where("lang_pred <> 'und'")
+    model = langid.fit(docs)
+    learned = bool(model[0])
+    judged = langid.predict(marked, model, text=text).where("lang_pred <> 'und'") if learned else marked.where(langid.has_letter(F.col(text)))
     return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 

@@ -45,13 +45,16 @@ RISE = 2.0  # weight of that rise among the features
 USUAL = 0.95  # share of untoxic texts whose best likeness is no rise
 DECAY = 0.6
 PER = 200.0  # mean likeness m enters as log(1 + PER * m)
-MEMO = 100_000
+MEMO = 300_000
 BLOCK = 20_000  # words of texts described at once
 
 _ALPHABET = 64
 _SPLIT = re.compile(r"[^\s.,;:!?\"()\[\]{}|]+")
 _APART = re.compile(r"(?<!\S)(?:\S[^\w\s]*[ ]{1,3}){2,}\S(?=[^\w\s]*(?!\S))")
 _BROKEN = re.compile(r"(?<![^\W_])[^\W_]++(?:(?:[^\w\s]|_)++[^\W_]++)+")
+#: a text without a match of these has none of the two above, which cost more to look for
+_MAY_APART = re.compile(r" \S[^\w\s]* {1,3}\S[^\w\s]*(?!\S)")
+_MAY_BROKEN = re.compile(r"(?:[^\w\s]|_)[^\W_]")
 _SIGNS = re.compile(r"[\W_]+")
 _WIDE = LONGEST + 1
 _TRIPLES = np.array([(i, j, k) for i in range(_WIDE) for j in range(i + 1, _WIDE) for k in range(j + 1, _WIDE) if k - i < STRETCH])
@@ -63,9 +66,9 @@ def words_of(text: str) -> Counter[str]:
     """The words of a text and how often each occurs."""
     text = text.lower()
     words = Counter(_SPLIT.findall(text))
-    for m in _APART.finditer(text):
+    for m in _APART.finditer(text) if _MAY_APART.search(text) else ():
         words[_SIGNS.sub("", m.group()) or m.group().replace(" ", "")] += 1
-    for m in _BROKEN.finditer(text):
+    for m in _BROKEN.finditer(text) if _MAY_BROKEN.search(text) else ():
         words[_SIGNS.sub("", m.group())] += 1
     return words
 
@@ -123,6 +126,9 @@ class Likeness:
         self.table[0] = 0
         length = np.sqrt((self.table**2).sum(axis=0))
         self.table /= np.where(length > 0, length, 1)
+        # one copy of the table for each stretch, weighted by it, so that a subsequence is one row to be added
+        spans, self.copy = np.unique(_SPAN, return_inverse=True)
+        self.weighted = np.concatenate([self.table * np.float32(DECAY**s) for s in spans])
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
@@ -134,10 +140,19 @@ class Likeness:
             rows, cols = np.nonzero(features)
             if len(rows) == 0:
                 continue
-            part = self.table[features[rows, cols]] * weights[cols, None]
-            first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            own = rows[first]
-            out[some[own]] = np.add.reduceat(part, first) / np.maximum(_norms(codes[own], weights), 1e-6)[:, None]
+            # the subsequences of a word that any landmark has, packed to the left, words with many of them first
+            hits = np.bincount(rows, minlength=len(some))
+            place = np.empty(len(some), np.int64)
+            busy = np.argsort(-hits, kind="stable")
+            place[busy] = np.arange(len(some))
+            packed = np.zeros((hits.max(), len(some)), np.int64)
+            rank = np.arange(len(rows)) - np.repeat(np.cumsum(hits) - hits, hits)
+            packed[rank, place[rows]] = self.copy[cols] * len(self.table) + features[rows, cols]
+            sums = np.zeros((int((hits > 0).sum()), len(self.landmarks)), np.float32)
+            for line, n in zip(packed, len(some) - np.searchsorted(np.sort(hits), np.arange(hits.max()), "right")):
+                sums[:n] += self.weighted[line[:n]]
+            own = busy[: len(sums)]
+            out[some[own]] = sums / np.maximum(_norms(codes[own], weights), 1e-6)[:, None].astype(np.float32)
         return out
 
 
@@ -147,13 +162,17 @@ class Describer:
     def __init__(self, landmarks: list[str]):
         self.kernel = Likeness(landmarks)
         self.memo: dict[str, int] = {}
+        self.again = np.zeros(MEMO + BLOCK, bool)  # met again since it was learned
         self.known = np.zeros((MEMO + BLOCK, len(landmarks)), np.float32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         """Likeness of each word, at most ``BLOCK`` of them: that of its best piece."""
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.memo))
+            self._forget()
+        places = np.fromiter((self.memo.get(w, -1) for w in words), np.int64, len(words))
+        unknown = np.flatnonzero(places < 0).tolist()
+        self.again[places[places >= 0]] = True
+        new = list(dict.fromkeys(words[i] for i in unknown))
         pieces = [_pieces(w) for w in new]
         base = len(self.memo)
         self.known[base : base + len(new)] = 0
@@ -165,7 +184,19 @@ class Describer:
             best = np.maximum.reduceat(self.kernel(flat[at : at + BLOCK]), first, axis=0)
             self.known[own[first]] = np.maximum(self.known[own[first]], best)
         self.memo.update(zip(new, range(base, base + len(new))))
-        return self.known[[self.memo[w] for w in words]]
+        for i in unknown:
+            places[i] = self.memo[words[i]]
+        return self.known[places]
+
+    def _forget(self) -> None:
+        """Keep the words that were met again, or none if these are too many."""
+        kept = np.flatnonzero(self.again[: len(self.memo)])
+        if len(kept) > MEMO // 2:
+            kept = kept[:0]
+        words = list(self.memo)
+        self.memo = {words[i]: at for at, i in enumerate(kept)}
+        self.known[: len(kept)] = self.known[kept]
+        self.again[:] = False
 
     def __call__(self, texts: list[bytes | None]) -> np.ndarray:
         size = len(self.kernel.landmarks)
@@ -179,9 +210,14 @@ class Describer:
             if not words:
                 return
             rows, own = self._rows(words), np.array(owner)
+            number = np.array(times, np.float32)
+            powers = rows.copy()
+            for _ in range(POWER - 1):
+                powers *= rows
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            best[own[first]] = np.maximum(best[own[first]], np.maximum.reduceat(rows, first, axis=0))
-            total[own[first]] += np.add.reduceat(rows**POWER * np.array(times, np.float32)[:, None], first, axis=0)
+            for a, b in zip(first, [*first[1:], len(own)]):
+                best[own[a]] = np.maximum(best[own[a]], rows[a:b].max(axis=0))
+                total[own[a]] += number[a:b] @ powers[a:b]
             for held in (words, times, owner):
                 held.clear()
 
@@ -240,11 +276,15 @@ def _landmarks(picked: DataFrame, count: int) -> list[str]:
     best = [r["w"] for r in counts.withColumn("z", lift).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), F.desc(F.length("w")), "w").limit(CANDIDATES).collect()]
     chosen: list[str] = []
     if best:
-        near = np.zeros(len(best), np.float32)
+        codes, weights = _subsequences(best)
+        lengths, near = np.maximum(_norms(codes, weights), 1e-6), np.zeros(len(best))
         for i, w in enumerate(best):
             if near[i] < 0.65 and len(chosen) < count:
                 chosen.append(w)
-                near = np.maximum(near, Likeness([w])(best)[:, 0])
+                own = np.zeros(_ALPHABET**3, np.float32)
+                np.add.at(own, codes[i], weights)
+                own[0] = 0
+                near = np.maximum(near, (own[codes] @ weights) / (lengths * lengths[i]))
     return chosen
 
 

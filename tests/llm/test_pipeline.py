@@ -9,6 +9,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from collections import Counter
 
@@ -75,3 +77,11 @@ def test_run_and_empty_tables(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_without_labels(spark):
+    """Nothing to learn from: documents with a letter stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert kept.count() == docs.where(F.col("text").rlike("\\p{L}")).count() > 0

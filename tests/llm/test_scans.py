@@ -248,7 +248,7 @@ def test_toxicity_held_out(spark):
     judged = out.join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").toPandas()
     right = (judged["predicted"] == judged["toxic"]).mean()
     caught = judged[judged["toxic"] == 1]["predicted"].mean()
-    assert right > 0.94 and caught > 0.6, (right, caught)  # a third of these toxic texts only has words that clean ones have too
+    assert right > 0.97 and caught > 0.85, (right, caught)
 
 
 def test_toxicity_tolerates_gaps_and_odd_rows(spark):
@@ -368,3 +368,37 @@ def test_bpe_appends_and_edits():
         i, j = sorted((rnd.randint(0, len(data)), rnd.randint(0, len(data))))
         edited, table_ = encoder.replace(data, last, i, j, word(rnd.randint(0, 5)))
         assert table_ == encoder.extend(edited, [])
+
+
+def test_columns_with_any_name(spark):
+    """Columns named like helpers' own, and with dots, come through every scan."""
+    names = ["doc_id", "text", "ids", "_row", "_text", "_letter", "a.b", "bytes", "c0", "n0"]
+    rows = [(i, t, "i", "r", "t", "l", "ab", "b", "c", "n") for i, t in enumerate(["one two three four five six seven eight nine ten eleven", None, "Guten Tag", ""])]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    items = spark.createDataFrame([("q", "two three four five six seven eight nine ten eleven")], "item_id string, text string")
+    for most in (10, 0):
+        out = decontaminate.scan_documents(docs, items, max_windows=most)
+        assert out.columns[: len(names)] == names
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert [got[i]["n_hit"] for i in range(4)] == [10, 0, 0, 0]
+        assert all(tuple(got[i])[2 : len(names)] == rows[i][2:] for i in range(4))
+    model = langid.fit(spark.createDataFrame([(1, "Guten Tag", "de"), (2, "one two three", "en")], "doc_id bigint, text string, lang string"))
+    out = langid.predict(docs, model)
+    assert out.columns == [*names, "lang_pred", "score"]
+    assert {r["doc_id"]: (r["lang_pred"], r["_letter"], r["a.b"]) for r in out.collect()} == {0: ("en", "l", "ab"), 1: ("und", "l", "ab"), 2: ("de", "l", "ab"), 3: ("und", "l", "ab")}
+
+
+def test_decontamination_sql_has_no_end(spark, tmp_path):
+    """A window after word 19 999 of an item counts in the SQL as in the query."""
+    import duckdb
+
+    words = [f"w{i}" for i in range(20_050)]
+    spark.createDataFrame([(1, " ".join(words[20_020:20_040])), (2, "none")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({queries.OP5_SQL})").fetchall()
+    got = queries.op5_decontamination(spark, str(tmp_path)).select(*cols).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r[0]: r[2] for r in want} == {1: 20, 2: 0}

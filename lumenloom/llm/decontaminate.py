@@ -159,7 +159,8 @@ def _hits_by_join(words: DataFrame, known: DataFrame, width: int) -> DataFrame:
 def _scan_by_join(docs: DataFrame, known: DataFrame, text: str, width: int, keep: list[str] | None) -> DataFrame:
     """The same columns for a benchmark beyond the broadcast bound."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in _FIELDS]
-    base = cut_lineage(docs.select(*names, F.col(text).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row")))
+    kept = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)]
+    base = cut_lineage(docs.select(*kept, F.col(f"`{text}`").cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row")))
     words = base.select("_row", _words(F.col("_text")).alias("w"))
     hits = _hits_by_join(words, known, width)
     marked = hits.select("_row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("p")).distinct().groupBy("_row").agg(F.count("p").alias("n_hit"))
@@ -167,7 +168,7 @@ def _scan_by_join(docs: DataFrame, known: DataFrame, text: str, width: int, keep
     out = base.join(words.select("_row", F.size("w").cast("bigint").alias("n_words")), "_row").join(marked, "_row", "left").join(listed, "_row", "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
-        *names,
+        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)],
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.size(ids).cast("bigint").alias("n_items"),

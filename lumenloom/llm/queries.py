@@ -168,8 +168,8 @@ WITH d AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark
 ), bw AS (
-  SELECT DISTINCT item_id, array_to_string(w[s.i : s.i + 9], ' ') AS g, least(10, len(w)) AS n
-  FROM b, (SELECT unnest(range(1, 20000)) AS i) s WHERE len(w) > 0 AND s.i <= greatest(1, len(w) - 9)
+  SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS g, least(10, len(w)) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)
 ), sizes AS (SELECT DISTINCT n FROM bw
 ), dw AS (
   SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, sizes WHERE len(w) >= n

@@ -66,11 +66,13 @@ class SimilarityOptions:
         return self.threshold + 4
 
 
+# --- fixed values: the named similarity settings -----------------------------------
 SIMILARITY_PRESETS = {
     "strict": SimilarityOptions(4, 0.05, True),
     "balanced": SimilarityOptions(6, 0.15, True),
     "loose": SimilarityOptions(10, 0.25, False),
 }
+# ---------------------------------------------------------------------------------
 
 
 # --- fixed values: settings that stored presets start from where they differ from a request's

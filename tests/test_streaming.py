@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lumenloom.params import CaptionOptions
@@ -72,3 +73,55 @@ def test_recent_events_keep_the_newest(spark, tmp_path):
         S.keep_recent(df, b, path)
     S.keep_recent(df, 2, path)
     assert sorted(r["event_id"] for r in S.recent(spark, path).collect()) == list(range(70, 120))
+
+
+def test_lookup_opens_only_the_slots_of_a_batch(spark, tmp_path):
+    path = str(tmp_path / "captions")
+    stems = F.concat(F.lit("img/"), F.col("id").cast("string"))
+    for b in range(3):
+        rows = spark.range(b * 400, b * 400 + 400).select(stems.alias("uri_stem"), F.when(F.col("id") % 100 == 7, "").otherwise(F.concat(F.lit("c"), "id")).alias("caption"), F.lit(1).alias("n_tags"))
+        S.record_captions(rows, path, b)
+    S.record_captions(rows, path, 2)  # replayed
+    table = spark.read.parquet(path)
+    assert table.count() == 1200 and table.select("uri_stem").distinct().count() == 1200
+    batch = spark.createDataFrame([(s,) for s in ("img/3", "img/900", "img/900", "img/107", "img/new")], "uri_stem string")
+    found = S.recorded_captions(batch, path, 3)
+    assert {tuple(r) for r in found.collect()} == {("img/3", "c3"), ("img/900", "c900"), ("img/107", "")}
+    assert len(found.inputFiles()) <= 4 * 3 < len(table.inputFiles()) / 20
+    assert {r["uri_stem"]: r["captioned"] for r in S.with_captioned(batch, path, 2).collect()} == {"img/3": True, "img/900": False, "img/107": False, "img/new": False}
+    assert S.recorded_captions(batch, path, 0).count() == 0
+    assert S.recorded_captions(batch, str(tmp_path / "none"), 3) is None
+    assert S.recorded_captions(batch.limit(0), path, 3) is None
+    many = spark.range(5000).select(stems.alias("uri_stem"))
+    assert S.recorded_captions(many, path, 3).count() == 1200  # more stems than are looked up by value
+
+
+def test_a_broken_table_is_not_taken_for_none(spark, tmp_path):
+    path = tmp_path / "captions"
+    batch = spark.createDataFrame([("img/1",)], "uri_stem string")
+    slot = batch.select(S.slot_of(F.col("uri_stem")).alias("s")).first()["s"]
+    (path / f"slot={slot}" / "batch_id=0").mkdir(parents=True)
+    (path / f"slot={slot}" / "batch_id=0" / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):
+        S.with_captioned(batch, str(path), 1).collect()
+
+
+def test_restarts_are_counted_and_end(spark, tmp_path):
+    inbox = tmp_path / "in"
+    spark.range(10).write.parquet(str(inbox))
+    falls = []
+
+    def start(most):
+        def step(batch, batch_id):
+            if len(falls) < most:
+                falls.append(batch_id)
+                raise RuntimeError("stopped on purpose")
+            batch.write.mode("overwrite").parquet(str(tmp_path / f"out{batch_id}"))
+
+        rows = spark.readStream.schema("id bigint").parquet(str(inbox))
+        return lambda: rows.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+
+    with pytest.raises(StreamingQueryException):
+        S.run_to_end(start(2), attempts=2)
+    assert S.run_to_end(start(3), attempts=2) == 1
+    assert falls == [0, 0, 0] and spark.read.parquet(str(tmp_path / "out0")).count() == 10

@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,8 +151,10 @@ class Likeness:
             rank = np.arange(len(rows)) - np.repeat(np.cumsum(hits) - hits, hits)
             packed[rank, place[rows]] = self.copy[cols] * len(self.table) + features[rows, cols]
             sums = np.zeros((int((hits > 0).sum()), len(self.landmarks)), np.float32)
+            taken = np.empty_like(sums)
             for line, n in zip(packed, len(some) - np.searchsorted(np.sort(hits), np.arange(hits.max()), "right")):
-                sums[:n] += self.weighted[line[:n]]
+                np.take(self.weighted, line[:n], axis=0, out=taken[:n], mode="clip")
+                sums[:n] += taken[:n]
             own = busy[: len(sums)]
             out[some[own]] = sums / np.maximum(_norms(codes[own], weights), 1e-6)[:, None].astype(np.float32)
         return out
@@ -186,7 +190,7 @@ class Describer:
         self.memo.update(zip(new, range(base, base + len(new))))
         for i in unknown:
             places[i] = self.memo[words[i]]
-        return self.known[places]
+        return np.take(self.known, places, axis=0, mode="clip")
 
     def _forget(self) -> None:
         """Keep the words that were met again, or none if these are too many."""
@@ -211,8 +215,8 @@ class Describer:
                 return
             rows, own = self._rows(words), np.array(owner)
             number = np.array(times, np.float32)
-            powers = rows.copy()
-            for _ in range(POWER - 1):
+            powers = rows * rows
+            for _ in range(POWER - 2):
                 powers *= rows
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             for a, b in zip(first, [*first[1:], len(own)]):
@@ -260,17 +264,26 @@ def _strings(text: bytes | None) -> dict[str, float]:
 def _landmarks(picked: DataFrame, count: int) -> list[str]:
     """Words and word beginnings more common in toxic texts than in others, no two of them alike, found on the sample."""
 
-    def explode():
-        def work(texts):
-            found = [_strings(t) for t in texts]
-            return {"words": [list(f) for f in found], "rates": [list(f.values()) for f in found]}
-
-        return work
-
-    pairs = per_text(picked, "t", explode, {"words": "array<string>", "rates": "array<double>"}, ["y"]).select("y", F.explode(F.arrays_zip("words", "rates")).alias("p"))
-    counts = pairs.groupBy(F.col("p.words").alias("w")).agg(
-        F.sum(F.col("y") * F.col("p.rates")).alias("bad"), F.sum("p.rates").alias("all"), F.sum(F.col("p.rates") * F.col("p.rates")).alias("squares"), F.count(F.lit(1)).alias("n")
-    ).where("n >= 5")
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per string of a task's texts (the sample is bounded): bad, all and squared rates, and texts."""
+        found: dict[str, list[float]] = {}
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w, rate in _strings(text).items():
+                    row = found.get(w)
+                    if row is None:
+                        row = found[w] = [0.0, 0.0, 0.0, 0]
+                    row[0] += y * rate
+                    row[1] += rate
+                    row[2] += rate * rate
+                    row[3] += 1
+        words, rows = list(found), list(found.values())
+        for at in range(0, len(words), BLOCK):
+            columns = [pa.array(c) for c in zip(*rows[at : at + BLOCK])]
+            yield pa.RecordBatch.from_arrays([pa.array(words[at : at + BLOCK]), *columns], names=["w", "bad", "all", "squares", "n"])
+
+    each = picked.select(F.col("t").cast("binary").alias("t"), "y").mapInArrow(sums, "w string, bad double, all double, squares double, n bigint")
+    counts = each.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("bad", "all", "squares", "n")]).where("n >= 5")
     share = picked.agg(F.avg("y")).first()[0] or 0.0
     lift = F.round((F.col("bad") - F.col("all") * share) / F.sqrt(F.col("squares") * max(share * (1 - share), 1e-9)), 6)
     best = [r["w"] for r in counts.withColumn("z", lift).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), F.desc(F.length("w")), "w").limit(CANDIDATES).collect()]

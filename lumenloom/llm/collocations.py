@@ -167,7 +167,8 @@ def _counted(chunks: DataFrame, overlap: int, sizes: range, bits: np.ndarray | N
                 held = _Held()
         yield from _count(held, overlap, sizes, shared.value)
 
-    each = chunks.select("lang", "chunk", "freq").mapInArrow(run, "key string, f bigint")
+    # tasks have summed already; a second partial sum before the shuffle finds little more and costs much
+    each = chunks.select("lang", "chunk", "freq").mapInArrow(run, "key string, f bigint").repartition("key")
     sums = each.groupBy("key").agg(F.sum("f").alias("f")).withColumn("gram", F.substring_index("key", "\n", 1))
     kept = sums.where((F.col("f") >= at_least) | (F.col("gram") == ""))
     return kept.select(F.expr("substring(key, length(gram) + 2)").alias("lang"), "gram", "f")

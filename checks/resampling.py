@@ -67,12 +67,13 @@ def _rendered(spark, sf, out_w, out_h, action):
     return _png_sums(pixels.render(pics, plan, []).where("error is null"))
 
 
-_EVEN = F.col("image_id") % 2 == 0
+def _by_parity(even, odd):
+    return F.when(F.col("image_id") % 2 == 0, even).otherwise(odd)
 
 
 def q_lanczos(spark, sf):
     """Pictures resized by the export job, smaller and larger, read back from their PNG bytes."""
-    return _rendered(spark, sf, F.when(_EVEN, 5).otherwise(11), F.when(_EVEN, 6).otherwise(10), "resize")
+    return _rendered(spark, sf, _by_parity(5, 11), _by_parity(6, 10), "resize")
 
 
 _LANCZOS = f"""WITH {PLANES}, {_PX}, {weights([(8, 5), (8, 6), (8, 11), (8, 10)])},
@@ -84,7 +85,7 @@ def q_resampled_table(spark, sf):
     """The same as a table of pixels, resampled by joins with weights."""
     p = planes(spark, sf)
     px = p.select("image_id", F.posexplode("plane").alias("k", "v")).select("image_id", (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).cast("int").alias("y"), "v")
-    sizes = p.select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.when(_EVEN, 5).otherwise(11).alias("out_w"), F.when(_EVEN, 6).otherwise(10).alias("out_h"))
+    sizes = p.select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"), _by_parity(5, 11).alias("out_w"), _by_parity(6, 10).alias("out_h"))
     return resample(px, sizes).select("image_id", "x", "y", F.col("v").cast("bigint").alias("v"))
 
 

@@ -162,3 +162,32 @@ def test_grid_bounds_both_sides_and_meets_once(spark):
     met = a.select(F.col("id").alias("x"), *cells).join(b.select(F.col("id").alias("y"), *cells), cells).select("x", "y")
     want = low.join(high.withColumnRenamed("id", "y"), "key").select(F.col("id").alias("x"), "y")
     assert met.count() == want.count() == met.distinct().count() and met.exceptAll(want).isEmpty()
+
+
+def test_candidates_are_not_shuffled(spark):
+    """A loose test makes thousands of candidates of a row; what is shuffled is rows in tiles, not probes or pairs."""
+    o = SimilarityOptions(10, 0.25, False)
+    df = spark.createDataFrame(fingerprints(9, n=400), SCHEMA)
+    plan = similarity.similar_pairs(df, o)._jdf.queryExecution().optimizedPlan().toString()
+    assert " Join " not in plan.replace("Join LeftOuter", "").replace("Join Left", "") and "posexplode" not in plan
+
+
+def test_bit_groups_and_scans_find_the_same_pairs():
+    """Both ways of a tile, with ties in the aspect ratio and keys shared by several rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    centres = [rng.getrandbits(64) for _ in range(300)]
+    rows = [(i, signed(noisy(rng, rng.choice(centres), 3)), None, None, rng.choice([0.5, 1.5])) for i in range(3000)]
+    table = pa.table({"image_id": [r[0] for r in rows] * 2, "h1": [r[1] for r in rows] * 2, "aspect": [rng.choice([1.0, r[4]]) for r in rows] * 2, "low": [True] * 3000 + [False] * 3000})
+    o = SimilarityOptions(4, 1.0, False, None)
+    masks = similarity._bit_groups(list(range(64)), 5)
+    sides = [similarity._Side(table.slice(3000 * k, 3000), np.arange(3000), o, 64) for k in (0, 1)]
+    assert similarity._by_groups(*sides, o, masks) is not None
+    found = []
+    for way in (masks, None):
+        got = [r for b in similarity._tile_pairs(table, "image_id", o, way, 64) for r in zip(*b.to_pydict().values())]
+        assert len(got) == len(set(got))
+        found.append(set(got))
+    assert found[0] == found[1] and len(found[0]) > 3000

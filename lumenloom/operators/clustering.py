@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +58,8 @@ def _degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _greedy_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy cliques of one bounded component, seeds by falling degree then id."""
+def _greedy_component(pdf: pd.DataFrame, lowest: int | None = None) -> pd.DataFrame:
+    """Greedy cliques of one bounded component, seeds by falling degree then id, down to degree ``lowest``."""
     near: dict[int, dict[int, int]] = {}
     degree: dict[int, int] = {}
     for s, d, w, ds, dd in zip(pdf["src"], pdf["dst"], pdf["d1"], pdf["src_degree"], pdf["dst_degree"]):
@@ -67,6 +69,8 @@ def _greedy_component(pdf: pd.DataFrame) -> pd.DataFrame:
     free = set(near)
     rows = []
     for seed in sorted(near, key=lambda v: (-degree[v], v)):
+        if lowest is not None and degree[seed] < lowest:
+            break
         if seed not in free:
             continue
         free.discard(seed)
@@ -82,48 +86,87 @@ def _greedy_component(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["image_id", "seed", "seed_degree"])
 
 
+def _greedy_down_to(lowest: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: _greedy_component(pdf, lowest)
+
+
 _CLUSTER_SCHEMA = "image_id bigint, seed bigint, seed_degree bigint"
 
 
-def _cliques_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _grow(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """All seeds grow side by side, one member per step, by aggregation and joins."""
+    members = [seeds.select(F.col("seed").alias("image_id"), "seed", "seed_degree")]
+    open_ = cut_lineage(seeds.join(links, seeds["seed"] == links["src"]).select("seed", "seed_degree", F.col("dst").alias("cand"), F.col("d1").alias("far")))
+    while not open_.isEmpty():
+        pick = open_.groupBy("seed", "seed_degree").agg(F.min(F.struct("far", "cand")).alias("p")).select("seed", "seed_degree", F.col("p.cand").alias("pick"))
+        pick = cut_lineage(pick)
+        members.append(pick.select(F.col("pick").alias("image_id"), "seed", "seed_degree"))
+        step = open_.join(pick.select("seed", "pick"), "seed").where("cand <> pick")
+        open_ = cut_lineage(
+            step.join(links, (step["pick"] == links["src"]) & (step["cand"] == links["dst"]))
+            .select("seed", "seed_degree", "cand", F.greatest("far", "d1").alias("far"))
+        )
+        if len(members) >= 16:
+            members = [cut_lineage(_union(members))]
+    return cut_lineage(_union(members))
+
+
+def _apart(free: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes that come first among all free nodes within two steps: no two of them share a neighbour."""
+
+    def spread(best: DataFrame) -> DataFrame:
+        """Smallest place among a node and its neighbours."""
+        from_links = links.join(best, "dst").groupBy("src").agg(F.min("place").alias("near"))
+        own = best.select(F.col("dst").alias("src"), "place")
+        return own.join(from_links, "src", "left").select(F.col("src").alias("dst"), F.least(F.col("place"), F.coalesce("near", "place")).alias("place"))
+
+    within_two = spread(spread(free.select(F.col("image_id").alias("dst"), "place"))).toDF("image_id", "best")
+    return cut_lineage(free.join(within_two, "image_id").where("place = best").select(F.col("image_id").alias("seed"), F.col("degree").alias("seed_degree")))
+
+
+def _next_seeds(links: DataFrame, group_edges: int) -> tuple[DataFrame, int] | None:
+    """The links that the next seeds in order need, and the place of the last of them.
+
+    The seeds up to place p need the links between nodes that each are such a
+    seed or next to one. A link is needed from the larger of its ends' smallest
+    such places on, so the places are cut where about ``group_edges`` links are needed.
+    """
+    first = links.groupBy("src").agg(F.least(F.min("dst_place"), F.first("src_place")).alias("_from"))
+    one_way = links.where("src < dst").join(first.toDF("src", "_a"), "src").join(first.toDF("dst", "_b"), "dst")
+    needed = cut_lineage(one_way.withColumn("_from", F.greatest("_a", "_b")).drop("_a", "_b"))
+    total = needed.count()
+    share = min(1.0, group_edges / total)
+    last = needed.agg(F.percentile_approx("_from", share, 10_000).alias("p") if share < 1 else F.max("_from").alias("p")).first()["p"]
+    for p in (last, last - 1):
+        n = needed.where(F.col("_from") <= p).count()
+        if 0 < n <= 1.5 * group_edges:
+            return needed.where(F.col("_from") <= p), p
+    return None
+
+
+def _cliques_by_rounds(nodes: DataFrame, edges: DataFrame, group_edges: int) -> DataFrame:
     """The same greedy clustering without gathering a component anywhere.
 
-    A node that comes first in seed order among all free nodes within two steps
-    can be served now: no earlier seed can touch its neighbourhood. All such
-    seeds grow side by side, one member per step, by aggregation and joins.
+    A round serves the next seeds in order, as many as need about
+    ``group_edges`` links, in one task. If the first of them alone needs more,
+    the round serves all nodes that come first among the free nodes within two
+    steps: no earlier seed can touch their neighbourhoods, so they grow side by side by joins.
     """
-    free = cut_lineage(nodes.select("image_id", "degree", F.struct((-F.col("degree")).alias("d"), F.col("image_id").alias("i")).alias("rank")))
-    links = cut_lineage(_both_ways(edges.select("src", "dst", "d1")))
+    places = cut_lineage(ordinal(nodes.select("image_id", "degree"), [F.col("degree").desc(), F.col("image_id")], "place"))
+    ends = places.select("image_id", "place")
+    links = _both_ways(edges.select("src", "dst", "d1")).join(ends.toDF("src", "src_place"), "src").join(ends.toDF("dst", "dst_place"), "dst")
+    free, links = places, cut_lineage(links)
     served: list[DataFrame] = []
-    while True:
-        ranks = free.select(F.col("image_id").alias("dst"), "rank")
-
-        def spread(best: DataFrame) -> DataFrame:
-            """Smallest rank among a node and its neighbours."""
-            from_links = links.join(best, "dst").groupBy("src").agg(F.min("rank").alias("near"))
-            own = best.select(F.col("dst").alias("src"), "rank")
-            return own.join(from_links, "src", "left").select(
-                F.col("src").alias("dst"), F.least(F.col("rank"), F.coalesce(F.col("near"), F.col("rank"))).alias("rank")
-            )
-
-        within_two = spread(spread(ranks)).toDF("image_id", "best")
-        seeds = cut_lineage(free.join(within_two, "image_id").where("rank = best").select(F.col("image_id").alias("seed"), F.col("degree").alias("seed_degree")))
-        if seeds.isEmpty():
-            break
-        members = [seeds.select(F.col("seed").alias("image_id"), "seed", "seed_degree")]
-        open_ = cut_lineage(seeds.join(links, seeds["seed"] == links["src"]).select("seed", "seed_degree", F.col("dst").alias("cand"), F.col("d1").alias("far")))
-        while not open_.isEmpty():
-            pick = open_.groupBy("seed", "seed_degree").agg(F.min(F.struct("far", "cand")).alias("p")).select("seed", "seed_degree", F.col("p.cand").alias("pick"))
-            pick = cut_lineage(pick)
-            members.append(pick.select(F.col("pick").alias("image_id"), "seed", "seed_degree"))
-            step = open_.join(pick.select("seed", "pick"), "seed").where("cand <> pick")
-            open_ = cut_lineage(
-                step.join(links, (step["pick"] == links["src"]) & (step["cand"] == links["dst"]))
-                .select("seed", "seed_degree", "cand", F.greatest("far", "d1").alias("far"))
-            )
-            if len(members) >= 16:
-                members = [cut_lineage(_union(members))]
-        done = cut_lineage(_union(members))
+    while not links.isEmpty():
+        batch = _next_seeds(links, group_edges) if group_edges else None
+        if batch:
+            needed, last = batch
+            group = needed.select("src", "dst", "d1", (-F.col("src_place")).alias("src_degree"), (-F.col("dst_place")).alias("dst_degree"), F.lit(0).alias("_group"))
+            grown = group.groupBy("_group").applyInPandas(_greedy_down_to(-last), _CLUSTER_SCHEMA)
+            degrees = places.select(F.col("image_id").alias("seed"), F.col("degree").alias("seed_degree"))
+            done = cut_lineage(grown.drop("seed_degree").join(degrees, "seed").select("image_id", "seed", "seed_degree"))
+        else:
+            done = _grow(_apart(free, links), links.select("src", "dst", "d1"))
         served.append(done)
         if len(served) >= 16:
             served = [cut_lineage(_union(served))]
@@ -132,7 +175,8 @@ def _cliques_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         links = cut_lineage(
             links.join(gone, links["src"] == gone["image_id"], "left_anti").join(gone, links["dst"] == gone["image_id"], "left_anti")
         )
-    return _union(served) if served else edges.sparkSession.createDataFrame([], _CLUSTER_SCHEMA)
+    alone = free.select("image_id", F.col("image_id").alias("seed"), F.col("degree").alias("seed_degree"))
+    return _union([*served, alone])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -160,13 +204,13 @@ def clique_clusters(nodes: DataFrame, edges: DataFrame, component_edges: int = C
         .join(d.toDF("src", "src_degree"), "src")
         .join(d.toDF("dst", "dst_degree"), "dst")
         .groupBy("component")
-        .applyInPandas(_greedy_component, _CLUSTER_SCHEMA)
+        .applyInPandas(_greedy_down_to(None), _CLUSTER_SCHEMA)
     )
     parts = [small]
     large = keyed.where(F.col("n_edges") > component_edges)
     if not large.isEmpty():
         on_large = comp.join(large.select("component").distinct(), "component", "left_semi")
-        parts.append(_cliques_by_rounds(nodes.join(on_large, "image_id", "left_semi"), large))
+        parts.append(_cliques_by_rounds(nodes.join(on_large, "image_id", "left_semi"), large, component_edges))
     alone = nodes.join(comp, "image_id", "left_anti").select("image_id", F.col("image_id").alias("seed"), F.col("degree").alias("seed_degree"))
     return _union([*parts, alone])
 

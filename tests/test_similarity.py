@@ -191,3 +191,19 @@ def test_bit_groups_and_scans_find_the_same_pairs():
         assert len(got) == len(set(got))
         found.append(set(got))
     assert found[0] == found[1] and len(found[0]) > 3000
+
+
+@pytest.mark.parametrize("group_edges", [12, 50])
+def test_rounds_of_seeds_in_order_equal_one_greedy_run(spark, group_edges):
+    """One large component; the first seeds need more links than a round may hold, or several rounds are needed."""
+    import pandas as pd
+
+    rng = random.Random(8)
+    edges = sorted({tuple(sorted(rng.sample(range(20), 2))) for _ in range(110)})
+    edges = [(a, b, rng.randint(0, 4)) for a, b in edges]
+    degree = {i: sum(i in e[:2] for e in edges) for i in range(20)}
+    whole = pd.DataFrame([(*e, degree[e[0]], degree[e[1]]) for e in edges], columns=["src", "dst", "d1", "src_degree", "dst_degree"])
+    want = set(clustering._greedy_component(whole).itertuples(index=False, name=None))
+    nodes = spark.createDataFrame([(i, degree[i]) for i in range(20)], "image_id bigint, degree bigint")
+    got = clustering._cliques_by_rounds(nodes, spark.createDataFrame(edges, "src bigint, dst bigint, d1 int"), group_edges).collect()
+    assert len(got) == 20 and {tuple(r) for r in got} == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from lumenloom.sources import dictionaries, scan, sinks
 
 def _folder(spark, name):
     """A fresh folder beside the session's checkpoints, which all tasks share, as a plain path."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}").removeprefix("file:")
+    return re.sub("^file:/+", "/", os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}"))
 
 
 def _body(text):

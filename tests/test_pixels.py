@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -139,6 +140,47 @@ def test_images_inside_archives(spark, folder, tmp_path):
     assert scan.archive_pixels(spark, archives.where("false"), str(tmp_path / "none")).count() == 0
 
 
+def _filtered(img, kinds):
+    """PNG bytes whose rows use the given filters."""
+    h, w, n = img.shape
+    v = np.pad(img.astype(int), ((1, 0), (1, 0), (0, 0)))
+    a, b, c, x = v[1:, :-1], v[:-1, 1:], v[:-1, :-1], v[1:, 1:]
+    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+    paeth = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+    cut = np.stack([x, x - a, x - b, x - (a + b) // 2, x - paeth]) & 255
+    rows = b"".join(bytes([k]) + cut[k, y].astype(np.uint8).tobytes() for y, k in enumerate(kinds))
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, {1: 0, 3: 2, 4: 6}[n], 0, 0, 0])
+    return P.PNG_MAGIC + P._chunk(b"IHDR", head) + P._chunk(b"IDAT", zlib.compress(rows)) + P._chunk(b"IEND", b"")
+
+
+def test_folders_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Plain PNG files as Spark's image source decodes them, whatever their filters; only other files are listed by the driver."""
+    rng = np.random.default_rng(1)
+    (tmp_path / "in [1]" / "_hidden").mkdir(parents=True)
+    for n in (1, 3, 4):
+        img = rng.integers(0, 256, (11, 7, n), np.uint8)
+        (tmp_path / "in [1]" / f"é %20 {n}.png").write_bytes(_filtered(img, [k % 5 for k in range(11)]))
+        (tmp_path / "in [1]" / f"plain{n}.PNG").write_bytes(P.encode_png(img))
+    (tmp_path / "in [1]" / "_hidden" / "x.png").write_bytes(P.encode_png(img))
+    (tmp_path / "in [1]" / "t.txt").write_text("été")
+    (tmp_path / "in [1]" / "b{1}.bmp").write_bytes(bitmap(6, 4))
+    listed = []
+    source = scan._image_source
+    monkeypatch.setattr(scan, "_image_source", lambda spark, paths: (listed.append(paths), source(spark, paths))[1])
+    got = {r["uri"]: r["image"] for r in scan.read_pixels(spark, str(tmp_path)).collect()}
+    want = {r["uri"]: r["image"] for r in source(spark, str(tmp_path)).collect()}
+    for image in (got, want):
+        assert len(image) == 8
+    assert {k: v[1:] for k, v in got.items()} == {k: v[1:] for k, v in want.items()}
+    assert sorted(p.rsplit("/", 1)[1] for p in listed[0]) == ["b\\{1\\}.bmp", "t.txt"]
+    whole = P.encode_png(img)
+    (tmp_path / "in [1]" / "plain1.PNG").write_bytes(whole[:41] + bytes(len(whole) - 53) + whole[-12:])
+    widths = {r["uri"].rsplit("/", 1)[1]: r["image"]["width"] for r in scan.read_pixels(spark, str(tmp_path)).collect()}
+    assert widths["plain1.PNG"] == -1 and widths["plain3.PNG"] == 7
+    texts = scan.read_files(spark, str(tmp_path), "*.txt").collect()
+    assert [(r["uri"], bytes(r["content"]).decode()) for r in texts] == [(str(tmp_path / "in [1]" / "t.txt"), "été")]
+
+
 def bitmap(w, h):
     """A 24-bit BMP file."""
     row = (w * 3 + 3) // 4 * 4

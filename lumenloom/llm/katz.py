@@ -205,7 +205,7 @@ def _by_size(counts: np.ndarray, groups: np.ndarray, size: int) -> tuple[dict, n
 
 def _count(sent: DataFrame, slices: int, frequent: dict[int, int]) -> DataFrame:
     """The slice tables."""
-    ordered = sent.repartition(slices, "slice").sortWithinPartitions("slice")
+    dealt = sent.repartition(slices, "slice")
     names = np.array(sorted(frequent), np.uint64)
     totals = np.array([frequent[int(n)] for n in names], np.int64)
 
@@ -219,6 +219,7 @@ def _count(sent: DataFrame, slices: int, frequent: dict[int, int]) -> DataFrame:
         owner = np.concatenate([np.frombuffer(h[4], np.uint16) for h in held])
         ref = np.repeat(np.arange(len(held)) * _TRAIN, size) + (owner & (_TRAIN - 1))
         train = owner >= _TRAIN
+        held.clear()
         order = np.lexsort((prior, word))
         word, prior, ref, train = word[order], prior[order], ref[order], train[order].astype(np.int64)
         del raw, owner, order
@@ -272,22 +273,18 @@ def _count(sent: DataFrame, slices: int, frequent: dict[int, int]) -> DataFrame:
             yield _table(UNLEARNED, len(cut), key=prior[cut].view(np.int64), other=number(ref[cut]))
 
     def run(batches):
-        current, held = None, []
+        held: dict[int, list] = {}  # a partition has one slice, or more where slices outnumber partitions
         for b in batches:
             for number, chunk, words, lengths, before, owners, meta in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if meta is not None:
                     m = np.frombuffer(meta, np.int64).reshape(-1, 4)
                     yield _table(META, len(m), key=chunk * _TRAIN + np.arange(len(m)), other=m[:, 0], b1=m[:, 1], b2=m[:, 2], n=m[:, 3])
                     continue
-                if number != current and held:
-                    yield from counted(held)
-                    held = []
-                current = number
-                held.append((chunk, words, lengths, before, owners))
-        if held:
-            yield from counted(held)
-
-    return ordered.mapInArrow(run, _ddl(_TABLE))
+                held.setdefault(number, []).append((chunk, words, lengths, before, owners))
+        while held:
+            yield from counted(held.popitem()[1])
+
+    return dealt.mapInArrow(run, _ddl(_TABLE))
 
 
 # --- discounts and scores ------------------------------------------------------------------

@@ -17,10 +17,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from lumenloom.runtime import broadcast_if_small
+from lumenloom.runtime import broadcast_if_small, cut_lineage
 
 _STEPS = 1 << 22
+TASK_VALUES = 250_000
 
 
 def _lanczos(x: Column) -> Column:
@@ -56,15 +58,21 @@ def filter_weights(sizes: DataFrame, kernel: str = "lanczos", steps: int | None
     return each.select("n_in", "n_out", "o", F.col("r.i").alias("i"), weight.alias("weight")).where("weight <> 0")
 
 
-def _pass(pixels: DataFrame, sizes: DataFrame, along: str, across: str, n_in: str, n_out: str, kernel: str) -> DataFrame:
-    lengths = sizes.select("image_id", F.col(n_in).cast("int").alias("n_in"), F.col(n_out).cast("int").alias("n_out"))
+def _pass(pixels: DataFrame, sizes: DataFrame, along: str, across: str, n_in: str, n_out: str, lines: str, kernel: str) -> DataFrame:
+    """One pass, line by line: values of a line meet in one task, which holds about ``TASK_VALUES`` of them."""
+    lengths = sizes.select("image_id", F.col(n_in).cast("int").alias("n_in"), F.col(n_out).cast("int").alias("n_out"), F.col(lines).cast("int").alias("_lines"))
     weights = broadcast_if_small(filter_weights(lengths, kernel))
-    met = pixels.join(lengths, "image_id").withColumnRenamed(along, "i").join(weights, ["n_in", "n_out", "i"])
+    values = lengths.agg(F.sum(F.greatest("n_in", "n_out").cast("bigint") * F.col("_lines")).alias("n")).first()["n"] or 0
+    tasks = max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(values / TASK_VALUES))
+    line = F.explode(F.sequence(F.lit(0), F.col("_lines") - 1).cast(ArrayType(pixels.schema[across].dataType)))
+    each = lengths.where("_lines > 0").select("image_id", "n_in", "n_out", line.alias(across)).repartition(tasks, "image_id", across)
+    met = pixels.repartition(tasks, "image_id", across).join(each, ["image_id", across]).withColumnRenamed(along, "i").join(weights, ["n_in", "n_out", "i"])
     mixed = met.groupBy("image_id", across, F.col("o").alias(along)).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
     return mixed.withColumn("v", F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(F.col("v") + 0.5).cast("double"))))
 
 
 def resample(pixels: DataFrame, sizes: DataFrame, kernel: str = "lanczos") -> DataFrame:
     """(image_id, x, y, v) of every picture in ``sizes`` (image_id, width, height, out_w, out_h), across and then down."""
-    wide = _pass(pixels.select("image_id", "x", "y", "v"), sizes, "x", "y", "width", "out_w", kernel)
-    return _pass(wide, sizes, "y", "x", "height", "out_h", kernel).select("image_id", "x", "y", "v")
+    sizes = cut_lineage(sizes.select("image_id", "width", "height", "out_w", "out_h"))
+    wide = _pass(pixels.select("image_id", "x", "y", "v"), sizes, "x", "y", "width", "out_w", "height", kernel)
+    return _pass(wide, sizes, "y", "x", "height", "out_h", "out_w", kernel).select("image_id", "x", "y", "v")

@@ -164,6 +164,19 @@ def test_entries_of_many_archives_share_batches(spark, tmp_path, monkeypatch):
     assert made[0][0].column("error").null_count == 195
 
 
+def test_pixel_tables_are_dealt_by_lines(spark, monkeypatch):
+    """The number of tasks follows the number of values, so a task's share stays as it is."""
+    from lumenloom.operators import resample as R
+
+    monkeypatch.setattr(R, "TASK_VALUES", 10)
+    px = spark.range(64).selectExpr("id div 32 AS image_id", "CAST(id % 8 AS int) AS x", "CAST(id % 32 div 8 AS int) AS y", "CAST(id AS double) AS v")
+    sizes = spark.createDataFrame([(0, 8, 4, 5, 4), (1, 8, 4, 8, 6)], "image_id bigint, width int, height int, out_w int, out_h int")
+    out = R.resample(px, sizes)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+    assert out.rdd.getNumPartitions() == 7  # 5 x 4 and 8 x 6 values in tens
+    assert out.groupBy("image_id").count().orderBy("image_id").collect() == [(0, 20), (1, 48)]
+
+
 def _filtered(img, kinds):
     """PNG bytes whose rows use the given filters."""
     h, w, n = img.shape

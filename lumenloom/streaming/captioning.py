@@ -17,6 +17,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, StreamingQueryException
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -210,26 +211,30 @@ def accepted_requests(events: DataFrame, waiting: str = "pending") -> DataFrame:
     """Requests that enter the queue, from (event_id, ts, uri, status) in the order of their times.
 
     A path is refused while it waits. Any other status finishes it, after which it
-    may be queued again. State is kept for waiting paths only.
+    may be queued again. Paths are dealt out to ``SLOTS`` groups by a hash; the state
+    of a group names its waiting paths only.
     """
 
     def step(key, frames, state):
-        queued = state.exists and state.get[0]
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        taken = []
-        for event_id, ts, status in zip(rows["event_id"], rows["ts"], rows["status"]):
-            if status == waiting and not queued:
-                taken.append((event_id, ts, key[0]))
-            queued = status == waiting
+        queued = set(state.get[0]) if state.exists else set()
+        rows = pd.concat(list(frames)).sort_values(["uri", "ts", "event_id"])
+        uri, asks = rows["uri"].to_numpy(dtype=object), (rows["status"] == waiting).to_numpy(dtype=bool)
+        first = np.append(True, uri[1:] != uri[:-1])
+        last = np.append(first[1:], True)
+        before = np.append(False, asks[:-1])
+        before[first] = [u in queued for u in uri[first]]
+        queued.difference_update(uri[last])
+        queued.update(uri[last & asks])
         if queued:
-            state.update((True,))
+            state.update((list(queued),))
         elif state.exists:
             state.remove()
-        if taken:
-            yield pd.DataFrame(taken, columns=["event_id", "ts", "uri"])
+        taken = rows[asks & ~before]
+        if len(taken):
+            yield taken[["event_id", "ts", "uri"]]
 
-    rows = events.select("event_id", "ts", "uri", "status")
-    return rows.groupBy("uri").applyInPandasWithState(step, "event_id bigint, ts timestamp, uri string", "queued boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select("event_id", "ts", "uri", "status", slot_of(F.col("uri")).alias("slot"))
+    return rows.groupBy("slot").applyInPandasWithState(step, "event_id bigint, ts timestamp, uri string", "queued array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def running_counts(events: DataFrame) -> DataFrame:

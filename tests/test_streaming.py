@@ -125,3 +125,10 @@ def test_restarts_are_counted_and_end(spark, tmp_path):
         S.run_to_end(start(2), attempts=2)
     assert S.run_to_end(start(3), attempts=2) == 1
     assert falls == [0, 0, 0] and spark.read.parquet(str(tmp_path / "out0")).count() == 10
+
+
+def test_requests_are_dealt_to_bounded_groups(spark):
+    """Many paths share a group and its state; one call per path is not made."""
+    rows = spark.readStream.format("rate").load().selectExpr("value AS event_id", "timestamp AS ts", "CAST(value AS string) AS uri", "'pending' AS status")
+    plan = S.accepted_requests(rows)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "slot" in plan

@@ -44,6 +44,7 @@ K = 5
 KEPT = 0.01  # taken from every larger count
 FREQUENT = 1e-3  # share of tokens from which a token is dealt out over all slices
 _BLOCK = 1 << 20
+_TOKENS = 1 << 17  # tokens or pairs worked on at a time
 _U = np.uint64
 _MASK = _U((1 << 48) - 1)
 _M = _U(0x9E3779B97F4A7C15)
@@ -146,16 +147,29 @@ def _count_frequent(docs: DataFrame, frequent: np.ndarray) -> dict[int, int]:
     return {r["h"] & ((1 << 64) - 1): r["n"] for r in rows}
 
 
+def _where(word: np.ndarray, prior: np.ndarray, frequent: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of every token, in blocks."""
+    out = np.empty(len(word), np.uint16 if slices <= 1 << 16 else np.uint32)
+    for i in range(0, len(word), _TOKENS):
+        w, p = word[i : i + _TOKENS], prior[i : i + _TOKENS]
+        spread = frequent[np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)] == w
+        out[i : i + _TOKENS] = (np.where(spread, (w + p) * _M, w) >> _U(33)) % _U(slices)
+    return out
+
+
 def _send(docs: DataFrame, keys: list[int], frequent: np.ndarray) -> DataFrame:
     """Per batch of texts its tokens by slice, and one row about the texts."""
     slices = len(keys)
 
+    def packed(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, t in zip(columns, _SENT.values())], names=list(_SENT))
+
     def run(batches):
         part = TaskContext.get().partitionId()
         for number, b in enumerate(batches):
             chunk = part << 20 | number
             train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            words, before, owners = [], [], []
+            words = []
             meta = np.zeros((b.num_rows, 4), np.int64)  # id, id is null, train, tokens
             meta[:, 0] = b.column("d").fill_null(0).to_numpy(zero_copy_only=False)
             meta[:, 1] = b.column("d").is_null().to_numpy(zero_copy_only=False)
@@ -164,14 +178,19 @@ def _send(docs: DataFrame, keys: list[int], frequent: np.ndarray) -> DataFrame:
                 t = tokens_of(data.as_py())
                 meta[i, 3] = len(t)
                 words.append(t)
-                before.append(np.concatenate((np.array([START], np.uint64), t[:-1] & _MASK)))
-                owners.append(np.full(len(t), i | (_TRAIN if train[i] else 0), np.uint16))
-            out: list[list] = [[] for _ in _SENT]
-            word, prior, owner = np.concatenate(words), np.concatenate(before), np.concatenate(owners)
-            spread = frequent[np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)] == word
-            where = (np.where(spread, (word + prior) * _M, word) >> _U(33)) % _U(slices)
+            out, held = [[] for _ in _SENT], 0
+            # a batch has a million tokens and more, so every array of them is dropped or overwritten as soon as it can be
+            word = np.concatenate(words)
+            words.clear()
+            prior = np.empty_like(word)
+            np.bitwise_and(word[:-1], _MASK, out=prior[1:])
+            prior[np.cumsum(meta[:, 3]) - meta[:, 3]] = START
+            owner = np.repeat(np.arange(b.num_rows, dtype=np.uint16) | np.where(train, _TRAIN, 0).astype(np.uint16), meta[:, 3])
+            where = _where(word, prior, frequent, slices)
             order = np.lexsort((word, where))
-            word, prior, owner, where = word[order], prior[order], owner[order], where[order]
+            word, owner, where = word[order], owner[order], where[order]
+            prior = prior[order]
+            del order
             ends = np.searchsorted(where, np.arange(slices + 1))
             low = prior.view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits, little-endian
             for s in range(slices):
@@ -182,9 +201,13 @@ def _send(docs: DataFrame, keys: list[int], frequent: np.ndarray) -> DataFrame:
                     lengths = np.diff(np.append(first, z - a)).astype(np.uint32)
                     for column, value in zip(out, (keys[s], chunk, w[first].tobytes(), lengths.tobytes(), low[a:z].tobytes(), owner[a:z].tobytes(), None)):
                         column.append(value)
+                    held += z - a
+                    if held >= _TOKENS:
+                        yield packed(out)
+                        out, held = [[] for _ in _SENT], 0
             for column, value in zip(out, (keys[chunk % slices], chunk, None, None, None, None, meta.tobytes())):
                 column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, t in zip(out, _SENT.values())], names=list(_SENT))
+            yield packed(out)
 
     return docs.mapInArrow(run, _ddl(_SENT))
 
@@ -210,23 +233,32 @@ def _count(sent: DataFrame, slices: int, frequent: dict[int, int]) -> DataFrame:
     totals = np.array([frequent[int(n)] for n in names], np.int64)
 
     def counted(held):
+        # a slice has more than a million tokens: arrays of them all are few and go as soon as they can, the rest is done in blocks
         chunks = np.array([h[0] for h in held], np.int64)
-        word = np.concatenate([np.repeat(np.frombuffer(h[1], np.uint64), np.frombuffer(h[2], np.uint32)) for h in held])
         size = [len(h[4]) // 2 for h in held]
+        word = np.concatenate([np.repeat(np.frombuffer(h[1], np.uint64), np.frombuffer(h[2], np.uint32)) for h in held])
         raw = np.zeros((len(word), 8), np.uint8)
-        raw[:, :6] = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(-1, 6)
-        prior = raw.view(np.uint64).ravel()
-        owner = np.concatenate([np.frombuffer(h[4], np.uint16) for h in held])
-        ref = np.repeat(np.arange(len(held)) * _TRAIN, size) + (owner & (_TRAIN - 1))
-        train = owner >= _TRAIN
+        ref, train = np.empty(len(word), np.int32 if len(held) < 1 << 16 else np.int64), np.empty(len(word), bool)
+        for i, (h, end) in enumerate(zip(held, np.cumsum(size))):
+            here = slice(end - size[i], end)
+            owner = np.frombuffer(h[4], np.uint16)
+            raw[here, :6] = np.frombuffer(h[3], np.uint8).reshape(-1, 6)
+            ref[here], train[here] = (owner & (_TRAIN - 1)) + ref.dtype.type(i * _TRAIN), owner >= _TRAIN
+            held[i] = None
         held.clear()
+        prior = raw.view(np.uint64).ravel()
         order = np.lexsort((prior, word))
-        word, prior, ref, train = word[order], prior[order], ref[order], train[order].astype(np.int64)
-        del raw, owner, order
+        word = word[order]
+        prior = prior[order]
+        ref = ref[order]
+        train = train[order]
+        del raw, order
         pair_start, word_start = _runs(word, prior), _runs(word)
-        pair_count = np.add.reduceat(train, pair_start)
-        word_count = np.add.reduceat(train, word_start)
+        pair_count = np.add.reduceat(train, pair_start, dtype=np.int64)
+        word_count = np.add.reduceat(train, word_start, dtype=np.int64)
         names_here = word[word_start]
+        before = prior[pair_start]
+        del word, prior, train
         at = np.minimum(np.searchsorted(names, names_here), max(len(names) - 1, 0))
         spread = names[at] == names_here if len(names) else np.zeros(len(names_here), bool)
         word_count = np.where(spread, totals[at] if len(names) else 0, word_count)
@@ -234,43 +266,40 @@ def _count(sent: DataFrame, slices: int, frequent: dict[int, int]) -> DataFrame:
         whole = word_count[~spread]
         stats = {0: whole.sum(), 1: (whole > 0).sum(), **{10 + r: (whole == r).sum() for r in range(1, K + 2)}, **{20 + r: (pair_count == r).sum() for r in range(1, K + 2)}}
         yield _table(STATS, len(stats), key=np.array(list(stats)), n=np.array(list(stats.values())))
-        # contexts, by the word before
+        of_word = np.searchsorted(word_start, pair_start, "right") - 1
+        # contexts, by the word before; one that is cut by a block has two rows
         learned = np.flatnonzero(pair_count)
-        of_word = np.searchsorted(word_start, pair_start[learned], "right") - 1
-        if len(learned):
-            context = prior[pair_start[learned]]
-            o = np.argsort(context, kind="stable")
-            context, c, cw = context[o], pair_count[learned][o], word_count[of_word][o]
+        learned = learned[np.argsort(before[learned], kind="stable")]
+        for i in range(0, len(learned), _TOKENS):
+            pairs = learned[i : i + _TOKENS]
+            context, c, cw = before[pairs], pair_count[pairs], word_count[of_word[pairs]]
             start = _runs(context)
             group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context))))
             b, large = _by_size(c, group, len(start))
             u, common = _by_size(cw, group, len(start))
             columns = {f"b{r + 1}": b[r] for r in range(K)} | {f"u{r + 1}": u[r] for r in range(K)}
-            total = np.add.reduceat(c, start)
-            for i in range(0, len(start), 50_000):
-                cut = slice(i, i + 50_000)
-                yield _table(CONTEXT, len(start[cut]), key=context[start][cut].view(np.int64), n=total[cut], x=large[cut], y=common[cut], **{k: v[cut] for k, v in columns.items()})
-        # documents
-        pc = np.repeat(pair_count, np.diff(np.append(pair_start, len(word))))
-        wc = np.repeat(word_count, np.diff(np.append(word_start, len(word))))
-        docs = np.unique(ref)
-        slot = np.searchsorted(docs, ref)
-        n = len(docs)
-        seen, known = pc > 0, wc > 0
-        b, _ = _by_size(pc, slot, n)
-        new = ~seen
-        u, _ = _by_size(wc[new], slot[new], n)
-        total = lambda mask, value=None: np.bincount(slot[mask], None if value is None else value[mask], n)
+            yield _table(CONTEXT, len(start), key=context[start].view(np.int64), n=np.add.reduceat(c, start), x=large, y=common, **columns)
+        del learned
+        # documents and the pairs of theirs that were not learned; a document that is cut by a block has two rows
+        pair = np.repeat(np.arange(len(pair_start), dtype=np.int32 if len(pair_start) < 1 << 31 else np.int64), np.diff(np.append(pair_start, len(ref))))
+        del pair_start
+        order = np.argsort(ref, kind="stable")
         log = lambda v: np.log10(np.maximum(v, 1e-9))
-        as_context = known & (word != _U(END))
-        x = total(pc > K, log(pc - KEPT)) + total(new & (wc > K), log(wc - KEPT)) - total(as_context, log(wc))
-        columns = {f"b{r + 1}": b[r] for r in range(K)} | {f"u{r + 1}": u[r] for r in range(K)}
-        number = lambda r: chunks[r // _TRAIN] * _TRAIN + r % _TRAIN
-        yield _table(DOC, n, key=number(docs), n=total(known), x=x, y=total(known, np.log10(wc + 1.0)), known=total(new & known), unknown=total(new & ~known), **columns)
-        missed = np.flatnonzero(new)
-        for i in range(0, len(missed), 50_000):
-            cut = missed[i : i + 50_000]
-            yield _table(UNLEARNED, len(cut), key=prior[cut].view(np.int64), other=number(ref[cut]))
+        for i in range(0, len(order), _TOKENS):
+            here = order[i : i + _TOKENS]
+            pairs, number = pair[here], chunks[ref[here] // _TRAIN] * _TRAIN + ref[here] % _TRAIN
+            pc, wc, last = pair_count[pairs], word_count[of_word[pairs]], names_here[of_word[pairs]] == _U(END)
+            start = _runs(number)
+            n = len(start)
+            slot = np.repeat(np.arange(n), np.diff(np.append(start, len(here))))
+            total = lambda mask, value=None: np.bincount(slot[mask], None if value is None else value[mask], n)  # noqa: B023, E731
+            known, new = wc > 0, pc == 0
+            b, _ = _by_size(pc, slot, n)
+            u, _ = _by_size(wc[new], slot[new], n)
+            x = total(pc > K, log(pc - KEPT)) + total(new & (wc > K), log(wc - KEPT)) - total(known & ~last, log(wc))
+            columns = {f"b{r + 1}": b[r] for r in range(K)} | {f"u{r + 1}": u[r] for r in range(K)}
+            yield _table(DOC, n, key=number[start], n=total(known), x=x, y=total(known, np.log10(wc + 1.0)), known=total(new & known), unknown=total(new & ~known), **columns)
+            yield _table(UNLEARNED, int(new.sum()), key=before[pairs[new]].view(np.int64), other=number[new])
 
     def run(batches):
         held: dict[int, list] = {}  # a partition has one slice, or more where slices outnumber partitions

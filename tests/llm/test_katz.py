@@ -6,9 +6,14 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +125,56 @@ def test_tokens_frequent_only_through_copies_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("cast(text AS binary) AS data", "true AS train")
     found = set(katz._frequent(docs.repartition(7)).tolist())
     assert {katz.word_hash(b"junk%d" % i) for i in range(20)} <= found and katz.word_hash(b"rare5") not in found
+
+
+class Captured:
+    """Stands for a frame; gives back the function that a task would run."""
+
+    def repartition(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def sliced(monkeypatch, texts, traced=None):
+    """What the tasks of the only slice make of texts, summed by kind and key; their largest memory in ``traced``."""
+    monkeypatch.setattr(katz.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([i % 3 > 0 for i in range(len(texts))]), pa.array(texts, pa.binary())], names=["d", "train", "data"])
+    frequent = np.array([katz.END], np.uint64)
+
+    def peak(steps):
+        tracemalloc.start()
+        out = [b.to_pandas() if traced is None else b for b in steps]
+        if traced is not None:
+            traced.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return out
+
+    run = katz._send(Captured(), [0], frequent)
+    sent = list(run([batch]))
+    if traced is not None:
+        peak(run([batch]))
+    found = peak(katz._count(Captured(), 1, {katz.END: len(texts)})(iter(sent)))
+    if traced is None:
+        whole = pd.concat(found).reset_index(drop=True)
+        return whole.groupby(["kind", "key", "other"]).sum().round(9), len(whole)
+
+
+def test_blocks_change_no_sum(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(30))).encode() for _ in range(60)]
+    whole, rows = sliced(monkeypatch, texts)
+    monkeypatch.setattr(katz, "_TOKENS", 7)
+    cut, more = sliced(monkeypatch, texts)
+    assert more > rows and whole.index.equals(cut.index) and (whole - cut).abs().max().max() < 1e-6
+
+
+def test_memory_of_a_task_is_a_few_words_per_token(monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(words, k=1000)).encode() for _ in range(1000)]
+    peaks = []
+    sliced(monkeypatch, texts, peaks)
+    dealt, counted = (p / 1_001_000 for p in peaks)
+    assert dealt < 60 and counted < 90, (dealt, counted)

@@ -14,7 +14,7 @@ from lumenloom.operators.clustering import (
     mark_all_but_largest,
     rank_groups,
 )
-from lumenloom.operators.similarity import collapse_copies, similar_pairs
+from lumenloom.operators.similarity import chaining_links, collapse_copies, similar_pairs
 from lumenloom.params import SimilarityOptions
 from lumenloom.runtime import cut_lineage
 
@@ -42,11 +42,10 @@ def duplicate_groups(
 
 def transitive_groups(fingerprints: DataFrame, threshold: int = 15) -> DataFrame:
     """Groups linked by chains of near hashes alone: (image_id, component), singles left out."""
-    o = SimilarityOptions(threshold, 1.0, False, None)
     fp = fingerprints.select("image_id", "h1", F.lit(None).cast("bigint").alias("h2"), F.lit(None).cast("array<double>").alias("color"), F.lit(1.0).alias("aspect"))
     reps, membership = collapse_copies(cut_lineage(fp))
     reps = cut_lineage(reps)
-    comp = connected_components(similar_pairs(reps, o, frozen=True))
+    comp = connected_components(chaining_links(reps.select("image_id", "h1"), threshold))
     linked = membership.join(comp.withColumnRenamed("image_id", "rep_id"), "rep_id", "left")
     placed = linked.select("image_id", F.coalesce(F.col("component"), F.col("rep_id")).alias("component"))
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")

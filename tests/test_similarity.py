@@ -207,3 +207,42 @@ def test_rounds_of_seeds_in_order_equal_one_greedy_run(spark, group_edges):
     nodes = spark.createDataFrame([(i, degree[i]) for i in range(20)], "image_id bigint, degree bigint")
     got = clustering._cliques_by_rounds(nodes, spark.createDataFrame(edges, "src bigint, dst bigint, d1 int"), group_edges).collect()
     assert len(got) == 20 and {tuple(r) for r in got} == want
+
+
+def chained_by_hand(rows, threshold):
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() <= threshold:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {i: find(i) for i in root if sum(find(i) == find(j) for j in root) > 1}
+
+
+@pytest.mark.parametrize("threshold", [0, 4, 9])
+@pytest.mark.parametrize("hot", [10**9, 7])
+def test_chaining_links_join_what_pairs_join(spark, threshold, hot):
+    rng = random.Random(threshold)
+    bases = [rng.getrandbits(64) for _ in range(6)]
+    rows = [(i * 3 - 50, signed(noisy(rng, rng.choice(bases), threshold + 3))) for i in range(150)] + [(1000, signed(bases[0])), (1001, signed(bases[0]))]
+    df = spark.createDataFrame([*rows, (5000, None)], "image_id bigint, h1 bigint")
+    links = similarity.chaining_links(df, threshold, hot_rows=hot)
+    got = {r["image_id"]: r["component"] for r in clustering.connected_components(links).collect()}
+    assert got == chained_by_hand(rows, threshold)
+
+
+def test_transitive_groups_write_no_pairs(spark, monkeypatch):
+    bits = [0, *(1 << i for i in range(34)), *(1 << i | 1 << j for i in range(34) for j in range(i))]  # 596 hashes, all within 4 of each other
+    rows = [(i, h, 0, None, 1.0, f"{i}.png") for i, h in enumerate(bits)]
+    df = spark.createDataFrame(rows, "image_id bigint, h1 bigint, h2 bigint, color array<double>, aspect double, name string")
+    written = []
+    monkeypatch.setattr(dedup, "connected_components", lambda e: written.append(e.count()) or clustering.connected_components(e))
+    groups = dedup.transitive_groups(df, 4)
+    assert groups.count() == len(bits) and groups.select("component").distinct().count() == 1
+    assert written[0] < 5 * len(bits)

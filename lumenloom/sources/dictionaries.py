@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import fields
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.functions.tags import normalize_category
 from lumenloom.operators.ordered import row_number
 from lumenloom.params import PRESET_DEFAULTS, CaptionOptions
+from lumenloom.sources.scan import BATCH_BYTES, folder_of, listed, shared_folder
 
 # --- fixed values: where model metadata keeps its tables, first match wins ------
 CONTAINERS = ("$.dataset_info.tag_mapping", "$.tag_mapping", "$")
 NAME_KEYS = ("idx_to_tag", "idx2tag", "id_to_tag", "tags")
 CATEGORY_KEYS = ("tag_to_category", "tag2category", "categories")
+PACKED = r"[.](gz|bz2|deflate|snappy|lz4|zst|zstd|xz)$"
 # ---------------------------------------------------------------------------------
 
 
@@ -111,11 +116,48 @@ def read_model_metadata(spark: SparkSession, path: str) -> DataFrame:
     return read_model_metadata_files(spark, path).drop("file")
 
 
+def _preset_texts(uris: DataFrame) -> DataFrame:
+    """(text) of JSON files, in the encoding that they show; NULL if they do not keep to it."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts: list[str | None] = []
+            size = 0
+            for uri in batch.column("uri").to_pylist():
+                with open(uri, "rb") as f:
+                    body = f.read()
+                try:
+                    texts.append(body.decode(json.detect_encoding(body)))
+                except UnicodeDecodeError:
+                    texts.append(None)
+                size += len(body)
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+                    texts, size = [], 0
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+
+    return uris.mapInArrow(read, "text string")
+
+
 def read_presets(spark: SparkSession, path: str) -> DataFrame:
-    """Caption presets from JSON files: unknown keys dropped, missing ones defaulted."""
+    """Caption presets from JSON files: unknown keys dropped, missing ones defaulted.
+
+    In a folder that all tasks share, tasks list and read the files. Other
+    stores, patterns, and folders with packed files or with folders of
+    partitions go through Spark's reader, whose list of files the driver holds.
+    """
     kinds = {"str": "string", "float": "double", "int": "int", "bool": "boolean"}
     schema = ", ".join(f"{f.name} {kinds[f.type]}" for f in fields(CaptionOptions))
-    raw = spark.read.schema(schema).option("multiLine", "true").json(path)
+    folder = shared_folder(path)
+    uris = None if folder is None else listed(spark, folder, enter=lambda name: "=" in name)
+    if uris is None or not uris.where((folder_of(F.col("uri")) != folder.rstrip("/")) | F.col("uri").rlike(PACKED)).isEmpty():
+        return with_preset_defaults(spark.read.schema(schema).option("multiLine", "true").json(path))
+    texts = _preset_texts(uris).where("text is null or text rlike '[^ \\\\t\\\\r\\\\n]'")
+    # a file may hold a list of presets; one that cannot be read, or with an entry that is null, is a preset without settings
+    none = F.array(F.struct(*[F.lit(None).cast(kinds[f.type]).alias(f.name) for f in fields(CaptionOptions)]))
+    parsed = texts.select(F.from_json("text", f"array<struct<{schema}>>").alias("parsed"))
+    raw = parsed.select(F.inline(F.when(~F.exists("parsed", lambda p: p.isNull()), F.col("parsed")).otherwise(none)))
     return with_preset_defaults(raw)
 
 

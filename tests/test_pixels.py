@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 import zipfile
@@ -353,3 +354,23 @@ def test_tree_listing_skips_before_entering(spark, tmp_path):
     assert names("output") == top | {"out/d.png", "thumbs/c.png", "run/a.png", "run/session_state.json", "run/sub/b.png"}
     with pytest.raises(ValueError):
         scan.list_tree(spark, base, "all")
+
+
+def test_presets_are_read_by_tasks_as_spark_reads_them(spark, tmp_path):
+    bodies = [
+        b'{"threshold":0.5,"max_tags":3,"x":1}', b'[{"threshold":0.1},{"max_tags":2}]', b"", b" \n\t", b"[]", b"{}", b'{"threshold":', b'{"max_tags":5,"threshold":"x","exclude_tags":"q"}',
+        b'[{"threshold":0.3},{"threshold":"x","max_tags":9}]', b'\xef\xbb\xbf{"threshold":0.7}', '{"threshold":0.8,"exclude_tags":"é"}'.encode("utf-16"), b"5", b"null", b'{"threshold":0.1}{"threshold":0.2}',
+        b'{"exclude_tags":"\xff\xfe"}', b'[null,{"threshold":0.3}]', b'{"max_tags":99999999999}', b'[{"threshold":0.3},{"thr',
+    ]
+    folder = tmp_path / "presets"
+    os.makedirs(folder / "deeper")
+    for i, body in enumerate(bodies):
+        (folder / f"{i}.json").write_bytes(body)
+    (folder / "_hidden.json").write_bytes(bodies[0])
+    (folder / "deeper" / "a.json").write_bytes(bodies[0])
+    found = dictionaries.read_presets(spark, str(folder))
+    by_spark = dictionaries.read_presets(spark, f"{folder}/*.json")  # a pattern
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, by_spark.collect()))
+    assert not [f for f in found.inputFiles() if f.endswith(".json")]  # the plan holds no list of presets
+    (folder / "packed.json.gz").write_bytes(gzip.compress(bodies[0]))
+    assert dictionaries.read_presets(spark, str(folder)).count() == found.count() + 1

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.operators.ordered import ordinal
 from lumenloom.runtime import cut_lineage
 
-COMPONENT_EDGES = 200_000
+#: links that one task solves at a time; it holds some 30 bytes of each, so about 1 GB
+COMPONENT_EDGES = 32_000_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -60,37 +64,112 @@ def _degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _greedy_component(pdf: pd.DataFrame, lowest: int | None = None) -> pd.DataFrame:
     """Greedy cliques of one bounded component, seeds by falling degree then id, down to degree ``lowest``."""
-    near: dict[int, dict[int, int]] = {}
-    degree: dict[int, int] = {}
-    for s, d, w, ds, dd in zip(pdf["src"], pdf["dst"], pdf["d1"], pdf["src_degree"], pdf["dst_degree"]):
-        near.setdefault(s, {})[d] = w
-        near.setdefault(d, {})[s] = w
-        degree[s], degree[d] = ds, dd
-    free = set(near)
-    rows = []
-    for seed in sorted(near, key=lambda v: (-degree[v], v)):
-        if lowest is not None and degree[seed] < lowest:
-            break
-        if seed not in free:
-            continue
-        free.discard(seed)
-        rows.append((seed, seed, degree[seed]))
-        # farthest member so far, for every free node adjacent to all members
-        reach = {v: w for v, w in near[seed].items() if v in free}
-        while reach:
-            pick = min(reach, key=lambda v: (reach[v], v))
-            free.discard(pick)
-            rows.append((pick, seed, degree[seed]))
-            links = near[pick]
-            reach = {v: max(w, links[v]) for v, w in reach.items() if v != pick and v in links}
-    return pd.DataFrame(rows, columns=["image_id", "seed", "seed_degree"])
+    ids = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
+    degree = np.zeros(len(ids), np.int64)
+    a, b = np.searchsorted(ids, pdf["src"].to_numpy()), np.searchsorted(ids, pdf["dst"].to_numpy())
+    degree[a], degree[b] = pdf["src_degree"].to_numpy(), pdf["dst_degree"].to_numpy()
+    order = np.lexsort((ids, -degree))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    last = len(ids) - 1 if lowest is None else int((degree >= lowest).sum()) - 1
+    nodes, seeds = _greedy_cliques(place[a], place[b], pdf["d1"].to_numpy(), ids[order], last)
+    return pd.DataFrame({"image_id": ids[order][nodes], "seed": ids[order][seeds], "seed_degree": degree[order][seeds]})
+
 
+class _Links:
+    """Links of one end, sorted by it; 5 bytes a link."""
 
-def _greedy_down_to(lowest: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda pdf: _greedy_component(pdf, lowest)
+    def __init__(self, own: np.ndarray, other: np.ndarray, d1: np.ndarray, n: int):
+        order = np.argsort(own, kind="stable")
+        self.other, self.d1 = other[order], d1[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=n))])
 
 
-_CLUSTER_SCHEMA = "image_id bigint, seed bigint, seed_degree bigint"
+def _greedy_cliques(a: np.ndarray, b: np.ndarray, d1: np.ndarray, ids: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, their seeds) of the greedy run over links (a, b, d1) between places, seeds from place 0 to ``last``.
+
+    ``ids`` names the node of every place. A node is picked once and its links are read
+    then, so the run takes time in proportion to the links.
+    """
+    n = len(ids)
+    a, b, d1 = a.astype(np.int32, copy=False), b.astype(np.int32, copy=False), d1.astype(np.int8, copy=False)
+    ends = [_Links(a, b, d1, n), _Links(b, a, d1, n)]
+    free = np.zeros(n, bool)
+    free[a] = free[b] = True
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(ids, kind="stable")] = np.arange(n)
+    far_from = np.full(n, -1, np.int8)
+
+    def links(v: int) -> tuple[np.ndarray, np.ndarray]:
+        cuts = [(e, e.start[v], e.start[v + 1]) for e in ends]
+        return np.concatenate([e.other[s:t] for e, s, t in cuts]), np.concatenate([e.d1[s:t] for e, s, t in cuts])
+
+    members, seeds = [], []
+    for seed in np.flatnonzero(free[: last + 1]).tolist():
+        if not free[seed]:
+            continue
+        free[seed] = False
+        members.append(seed)
+        seeds.append(seed)
+        # farthest member so far, for every free node adjacent to all members
+        near, far = links(seed)
+        ok = free[near]
+        near, far = near[ok], far[ok]
+        while len(near):
+            first = near[far == far.min()]
+            pick = int(first[np.argmin(rank[first])])
+            free[pick] = False
+            members.append(pick)
+            seeds.append(seed)
+            next_to, d = links(pick)
+            far_from[next_to] = d
+            gap = far_from[near]
+            far_from[next_to] = -1
+            ok = gap >= 0
+            near, far = near[ok], np.maximum(far[ok], gap[ok])
+    return np.array(members, np.int64), np.array(seeds, np.int64)
+
+
+def _greedy_groups(links: DataFrame, last: int | None = None) -> DataFrame:
+    """The greedy run over each ``_group`` of links (src, dst, d1, src_place, dst_place); groups share no node.
+
+    Seeds go up to place ``last``; (image_id, seed) of the nodes served. A task reads 9 bytes
+    a link and holds some 30 while it sorts them.
+    """
+    packed = links.select("_group", "src", "dst", F.col("d1").cast("byte").alias("d1"), F.col("src_place").cast("int").alias("a"), F.col("dst_place").cast("int").alias("b"))
+
+    def solve(held: list[tuple[np.ndarray, ...]], ids: np.ndarray) -> pa.RecordBatch:
+        a, b, d1 = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        met = np.zeros(len(ids), bool)
+        met[a] = met[b] = True
+        at = np.cumsum(met, dtype=np.int32) - np.int32(1)
+        bound = len(ids) if last is None else last + 1
+        nodes, seeds = _greedy_cliques(at[a], at[b], d1, ids[met], int(met[:bound].sum()) - 1)
+        names = ids[met]
+        return pa.record_batch([pa.array(names[nodes]), pa.array(names[seeds])], names=["image_id", "seed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group, ids = [], None, np.zeros(0, np.int64)
+        for batch in batches:
+            groups = batch["_group"].to_numpy()
+            src, dst, a, b, d1 = (batch[c].to_numpy() for c in ("src", "dst", "a", "b", "d1"))
+            cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)]
+            for s, e in zip(cuts, cuts[1:]):
+                if s == e:
+                    continue
+                if held and groups[s] != group:
+                    yield solve(held, ids)
+                group = groups[s]
+                top = int(max(a[s:e].max(), b[s:e].max()))
+                if top >= len(ids):
+                    ids = np.concatenate([ids, np.zeros(max(top + 1, 2 * len(ids)) - len(ids), np.int64)])
+                ids[a[s:e]], ids[b[s:e]] = src[s:e], dst[s:e]
+                held.append((a[s:e].copy(), b[s:e].copy(), d1[s:e].copy()))
+        if held:
+            yield solve(held, ids)
+
+    return packed.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, "image_id bigint, seed bigint")
 
 
 def _grow(seeds: DataFrame, links: DataFrame) -> DataFrame:
@@ -161,10 +240,8 @@ def _cliques_by_rounds(nodes: DataFrame, edges: DataFrame, group_edges: int) ->
         batch = _next_seeds(links, group_edges) if group_edges else None
         if batch:
             needed, last = batch
-            group = needed.select("src", "dst", "d1", (-F.col("src_place")).alias("src_degree"), (-F.col("dst_place")).alias("dst_degree"), F.lit(0).alias("_group"))
-            grown = group.groupBy("_group").applyInPandas(_greedy_down_to(-last), _CLUSTER_SCHEMA)
-            degrees = places.select(F.col("image_id").alias("seed"), F.col("degree").alias("seed_degree"))
-            done = cut_lineage(grown.drop("seed_degree").join(degrees, "seed").select("image_id", "seed", "seed_degree"))
+            grown = _greedy_groups(needed.withColumn("_group", F.lit(0)), last)
+            done = cut_lineage(_with_degree(grown, places))
         else:
             done = _grow(_apart(free, links), links.select("src", "dst", "d1"))
         served.append(done)
@@ -190,31 +267,39 @@ def clique_clusters(nodes: DataFrame, edges: DataFrame, component_edges: int = C
     """Strict greedy clusters (image_id, seed, seed_degree) of representatives.
 
     ``nodes`` has image_id and copies. Every node gets a cluster, possibly of
-    its own. Components of at most ``component_edges`` edges are solved one per
-    group; larger ones by distributed rounds. Both give the same clusters.
+    its own. Components of at most ``component_edges`` edges are solved whole in
+    one task; larger ones by distributed rounds. Both give the same clusters.
     """
     nodes = cut_lineage(_degrees(nodes.select("image_id", "copies"), edges))
-    comp = connected_components(edges)
-    keyed = edges.join(comp.select(F.col("image_id").alias("src"), "component"), "src")
-    sizes = keyed.groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
-    keyed = cut_lineage(keyed.join(sizes, "component"))
-    d = nodes.select("image_id", "degree")
-    small = (
-        keyed.where(F.col("n_edges") <= component_edges)
-        .join(d.toDF("src", "src_degree"), "src")
-        .join(d.toDF("dst", "dst_degree"), "dst")
-        .groupBy("component")
-        .applyInPandas(_greedy_down_to(None), _CLUSTER_SCHEMA)
-    )
-    parts = [small]
-    large = keyed.where(F.col("n_edges") > component_edges)
+    comp = cut_lineage(connected_components(edges))
+    placed = ordinal(nodes.join(comp, "image_id").select("image_id", "component", "degree"), [F.col("degree").desc(), F.col("image_id")], "place")
+    ends = cut_lineage(placed.select("image_id", "component", "place"))
+    keyed = cut_lineage(edges.join(ends.toDF("src", "component", "src_place"), "src").join(ends.drop("component").toDF("dst", "dst_place"), "dst"))
+    sizes = cut_lineage(keyed.groupBy("component").agg(F.count(F.lit(1)).alias("n_edges")))
+    small, large = sizes.where(F.col("n_edges") <= component_edges), sizes.where(F.col("n_edges") > component_edges)
+    packs = _packs(small, component_edges)
+    grown = _greedy_groups(keyed.join(packs, "component"))
+    parts = [cut_lineage(_with_degree(grown, nodes))]
     if not large.isEmpty():
-        on_large = comp.join(large.select("component").distinct(), "component", "left_semi")
-        parts.append(_cliques_by_rounds(nodes.join(on_large, "image_id", "left_semi"), large, component_edges))
+        on_large = comp.join(large, "component", "left_semi")
+        wide = keyed.join(large, "component", "left_semi")
+        parts.append(_cliques_by_rounds(nodes.join(on_large, "image_id", "left_semi"), wide, component_edges))
     alone = nodes.join(comp, "image_id", "left_anti").select("image_id", F.col("image_id").alias("seed"), F.col("degree").alias("seed_degree"))
     return _union([*parts, alone])
 
 
+def _packs(sizes: DataFrame, links: int) -> DataFrame:
+    """(component, _group): components dealt out to groups of at most about ``links`` links."""
+    total = sizes.agg(F.sum("n_edges").alias("n")).first()["n"] or 0
+    groups = max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * math.ceil(total / max(1, links)))
+    return sizes.select("component", F.pmod(F.xxhash64("component"), F.lit(groups)).cast("int").alias("_group"))
+
+
+def _with_degree(grown: DataFrame, nodes: DataFrame) -> DataFrame:
+    degrees = nodes.select(F.col("image_id").alias("seed"), F.col("degree").alias("seed_degree"))
+    return grown.join(degrees, "seed").select("image_id", "seed", "seed_degree")
+
+
 def expand_groups(clusters: DataFrame, membership: DataFrame, min_size: int = 2) -> DataFrame:
     """Clusters of representatives back to all images; groups below ``min_size`` go."""
     rep = clusters.select(F.col("image_id").alias("rep_id"), F.col("seed").alias("group_id"), "seed_degree")

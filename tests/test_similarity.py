@@ -209,6 +209,15 @@ def test_rounds_of_seeds_in_order_equal_one_greedy_run(spark, group_edges):
     assert len(got) == 20 and {tuple(r) for r in got} == want
 
 
+def test_large_components_need_no_rounds(spark, monkeypatch):
+    """319 600 links in one component, where a round would serve few seeds of a dense core."""
+    monkeypatch.setattr(clustering, "_cliques_by_rounds", None)
+    ids = spark.range(800)
+    edges = ids.toDF("src").join(ids.toDF("dst")).where("src < dst").selectExpr("src", "dst", "cast((src + dst) % 7 as int) as d1")
+    got = clustering.clique_clusters(ids.selectExpr("id as image_id", "1L as copies"), edges)
+    assert got.count() == 800 and got.select("seed", "seed_degree").distinct().collect() == [(0, 799)]
+
+
 def chained_by_hand(rows, threshold):
     root = {i: i for i, _ in rows}
 

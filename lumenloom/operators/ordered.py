@@ -38,16 +38,17 @@ def row_number(df: DataFrame, keys: list[str], order: list[Column], out: str, ma
     if keys and largest_group(df, keys) <= max_rows:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     frozen = _ranges(df, keys, order)
+    carried, inside = f"_carried_{out}", f"_inside_{out}"  # ``out`` may be any name
     scope = [*keys, "_range"]
     sizes = frozen.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
     # one row per (key, range): a key spans at most as many rows as there are ranges
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*scope, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    local = frozen.withColumn("_local", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
+    offsets = sizes.select(*scope, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(carried))
+    local = frozen.withColumn(inside, F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
     return (
         _join_key(local, offsets, scope)
-        .withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
-        .drop("_local", "_before", "_range")
+        .withColumn(out, (F.col(inside) + F.col(carried)).cast("bigint"))
+        .drop(inside, carried, "_range")
     )
 
 
@@ -88,12 +89,12 @@ def running_sum(df: DataFrame, keys: list[str], order: str, col: str, out: str,
     if keys and largest_group(df, keys) <= max_rows:
         return df.withColumn(out, F.sum(col).over(upto(keys)))
     frozen = _ranges(df, keys, [F.col(order)])
-    scope = [*keys, "_range"]
+    scope, carried = [*keys, "_range"], f"_carried_{out}"  # ``out`` may be any name
     totals = frozen.groupBy(*scope).agg(F.sum(col).alias("_t"))
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*scope, F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_before"))
+    offsets = totals.select(*scope, F.coalesce(F.sum("_t").over(w), F.lit(0)).alias(carried))
     local = frozen.withColumn(out, F.sum(col).over(upto(scope)))
-    return _join_key(local, offsets, scope).withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_range")
+    return _join_key(local, offsets, scope).withColumn(out, F.col(out) + F.col(carried)).drop(carried, "_range")
 
 
 def upcoming_min(df: DataFrame, order: str, col: str, out: str) -> DataFrame:

@@ -37,6 +37,13 @@ def test_running_sum(events):
     same(ordered.running_sum(events, ["k"], "at", "v", "s"), ordered.running_sum(events, ["k"], "at", "v", "s", max_rows=10))
 
 
+@pytest.mark.parametrize("out", ["_before", "_local", "_t"])
+def test_sums_and_numbers_may_have_any_name(events, out):
+    """numbered_names sums into ``_before``, which failed once a group passed the limit."""
+    same(ordered.running_sum(events, ["k"], "at", "v", out), ordered.running_sum(events, ["k"], "at", "v", out, max_rows=10))
+    same(ordered.row_number(events, ["k"], [F.col("at")], out), ordered.row_number(events, ["k"], [F.col("at")], out, max_rows=10))
+
+
 def test_ordinal_is_dense(events):
     got = [r["o"] for r in ordered.ordinal(events, [F.col("at"), F.col("k")], "o").orderBy("at", "k").collect()]
     assert got == list(range(3000))

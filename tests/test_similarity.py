@@ -74,6 +74,22 @@ def test_pairs_equal_cross_product(spark, o, hot):
     assert set(got) == pairs_by_hand(rows, o)
 
 
+def test_pairs_of_copies_need_no_join(spark, monkeypatch):
+    """Copies written out in the tiles are those that joins of classes and members gave, and no pair is shuffled."""
+    import checks.similarity as queries
+
+    rows = fingerprints(5, n=80)
+    rows += [(100 + i, *rows[i % 7][1:]) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(queries, "fingerprints", lambda spark, sf: df)
+    got = queries.q_pairs_expanded(spark, "")
+    joined = similarity.expand_pairs(*similarity.similar_classes(df, queries.BALANCED))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joined.collect()))
+    assert {tuple(r) for r in got.collect()} == pairs_by_hand(rows, queries.BALANCED)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan[: plan.index("MapInArrow")]
+
+
 @pytest.mark.parametrize("rows", [1_000, 10**6, 10**9])
 def test_wide_groups_on_large_tables_stay_exact(spark, monkeypatch, rows):
     groups, radius = similarity.banding(6, rows)

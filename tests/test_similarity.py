@@ -74,6 +74,35 @@ def test_pairs_equal_cross_product(spark, o, hot):
     assert set(got) == pairs_by_hand(rows, o)
 
 
+def test_single_precision_leaves_only_close_colors_to_double(monkeypatch):
+    """Sums within rounding of the limit, or that do not fit, are taken in double; no others."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    colors = rng.random((300, 64)) / 64
+    colors[200:250] = colors[150:200]
+    colors[200:250, 5] += 0.25 + np.arange(-25, 25) * 2.0**-40  # about the limit from their twins
+    colors[250, 3], colors[251, 3], colors[252:254, 3] = np.nan, np.inf, 1e300
+    o = SimilarityOptions(64, 1.0, False, 0.25)
+
+    def side(rows):
+        known = pa.array([r if k % 7 else None for k, r in enumerate(rows.tolist())], pa.list_(pa.float64()))
+        return similarity._Side(pa.table({"aspect": np.ones(len(rows)), "h1": np.zeros(len(rows), np.int64), "color": known}), np.arange(len(rows)), o, 64)
+
+    seen = []
+    exactly = similarity._exactly_near
+    monkeypatch.setattr(similarity, "_exactly_near", lambda a, b, most: seen.append(len(a)) or exactly(a, b, most))
+    for n in (250, 300):  # without and with values that do not fit
+        low = side(colors[:n])
+        i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(n), np.arange(n)))
+        with np.errstate(invalid="ignore", over="ignore"):
+            want = [a % 7 == 0 or b % 7 == 0 or np.add.accumulate(np.abs(colors[a] - colors[b]))[-1] <= 0.25 for a, b in zip(i, j)]
+            assert similarity._color_near(low, low, i, j, 0.25).tolist() == want
+        if n == 250:
+            assert 50 < sum(seen) < 2000 < sum(want) < len(want) - 2000
+
+
 def test_pairs_of_copies_need_no_join(spark, monkeypatch):
     """Copies written out in the tiles are those that joins of classes and members gave, and no pair is shuffled."""
     import checks.similarity as queries
